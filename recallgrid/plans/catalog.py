@@ -1,3 +1,7 @@
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+"""All queries of the engine and the SQL that each is held against."""
+
+from recallgrid.plans import graph_queries  # noqa: F401  (registers its queries)
+from recallgrid.plans.memory_queries import ORACLES, QUERIES
+
+FLAGSHIP = "i1_recall"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
