@@ -1,32 +1,5 @@
-"""Tables in the folder that driver and executors share, and small helpers used by several operators."""
+"""Tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from recallgrid.sources.shared import shared_root, stored
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_local_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode without one, a temporary folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="recallgrid-"))
-        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
-    return _local_root[0]
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, whoever is lost later."""
-    path = f"{shared_root(df.sparkSession)}/recallgrid/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_root", "stored"]
