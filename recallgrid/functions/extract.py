@@ -41,7 +41,7 @@ def query_entities(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after ., ! or ? before white space, and at line ends."""
     marked = F.regexp_replace(text, r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, r"\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, r"\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def intentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
