@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: over words between single spaces; it must not take the space before or after. Order in the list breaks ties."""
+    """pattern: over words between single spaces; it must not take the space before or after. Order in the list breaks ties.
+
+    A rule runs only where the words hold ``keyword`` at the start of a word, and ``also`` anywhere.
+    """
 
     label: str
     keyword: str
     pattern: str
     priority: int
+    also: str = ""
 
 
 # The base phrases.
@@ -28,8 +32,8 @@ BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2
 
 # (label, keyword, name pattern, whether the bare name with "license" is enough).
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat|x11)", True),
-    ("mit-0", "mit", r"mit (?:no attribution|0)", False),
+    ("mit", "mit ", r"(?:mit|expat|x11)", True),
+    ("mit-0", "mit ", r"mit (?:no attribution|0)", False),
     ("bsd-2-clause", "bsd", r"(?:(?:bsd 2|2|two) clause(?: bsd)?|simplified bsd|freebsd)", True),
     ("bsd-3-clause", "bsd", r"(?:(?:bsd 3|3|three) clause(?: bsd)?|new bsd|modified bsd|revised bsd)", True),
     ("bsd-4-clause", "bsd", r"(?:(?:bsd 4|4|four) clause(?: bsd)?|original bsd)", True),
@@ -47,7 +51,7 @@ FAMILIES = (
     ("openssl", "openssl", r"openssl", True),
     ("php-3.01", "php", r"php(?: license)?(?: version)?(?: 3 01)?", True),
     ("ruby", "ruby", r"ruby", True),
-    ("vim", "vim", r"vim", True),
+    ("vim", "vim ", r"vim", True),
     ("perl-artistic-1", "artistic", r"artistic(?: license)?(?: version)? 1(?: 0)?", False),
     ("artistic-2", "artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?", False),
     ("ofl-1.1", "sil", r"sil open font(?: license)?(?: version)?(?: 1 1)?", True),
@@ -60,7 +64,8 @@ FAMILIES = (
     ("eupl-1.2", "european union", r"european union public(?: license| licence)?(?: version)? 1 2", False),
     ("cecill-2.1", "cecill", r"cecill(?: free software)?(?: license)?(?: 2 1)?", True),
     ("json", "json", r"json", True),
-    ("beerware", "beer", r"beerware|beer ware", True),
+    ("beerware", "beerware", r"beerware", False),
+    ("beerware", "beer ware", r"beer ware", False),
     ("proprietary", "proprietary", r"proprietary", True),
     ("all-rights-reserved", "all rights", r"all rights reserved", False),
     ("bsl-1.1", "business source", r"business source(?: license)?(?: 1 1)?", True),
@@ -86,7 +91,7 @@ VERSIONED = (
 )
 CC_KINDS = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?derivati(?:ve)?s?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?derivati(?:ve)?s?"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-_GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|shared) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+_GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|shared) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 _LICENSE = r"(?: licen[sc]es?)?"
 
 
@@ -95,9 +100,9 @@ def default_rules() -> list[Rule]:
     out: list[Rule] = []
 
     def forms(label: str, keyword: str, name: str, bare: bool) -> None:
-        out.append(Rule(label, keyword, rf"spdx license identifier {name}", 40))
-        out.append(Rule(label, keyword, rf"{_GRANT}(?:{name}){_LICENSE}", 30))
-        out.append(Rule(label, keyword, rf"(?:{name}) licen[sc]e" if bare else rf"(?:{name}){_LICENSE}", 20))
+        out.append(Rule(label, keyword, rf"spdx license identifier (?:{name})", 40, " spdx "))
+        out.append(Rule(label, keyword, rf"{_GRANT}(?:{name}){_LICENSE}", 30, "d under "))
+        out.append(Rule(label, keyword, rf"(?:{name}) licen[sc]e" if bare else rf"(?:{name}){_LICENSE}", 20, " licen" if bare else ""))
 
     for stem, keyword, name, versions in VERSIONED:
         for v in versions:
@@ -128,8 +133,16 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _rule_array(rules: list[Rule]) -> Column:
-    return F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(rf"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(i).alias("turn")) for i, r in enumerate(rules)))
+def _rule_groups(rules: list[Rule]) -> Column:
+    """An array of (keyword, rules), so that a text meets each keyword once and only then the rules behind it."""
+
+    def row(i: int, r: Rule) -> Column:
+        return F.struct(F.lit(r.label).alias("label"), F.lit(r.also).alias("also"), F.lit(rf"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(i).alias("turn"))
+
+    by: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        by.setdefault(r.keyword, []).append(row(i, r))
+    return F.array(*(F.struct(F.lit(f" {k}").alias("keyword"), F.array(*rs).alias("rules")) for k, rs in by.items()))
 
 
 def _matches(body: Column, rule: Column) -> Column:
@@ -139,7 +152,8 @@ def _matches(body: Column, rule: Column) -> Column:
     pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
     item = lambda at, x: F.struct((at + F.length(x["b"])).alias("from"), (at + F.length(x["b"]) + F.length(x["m"])).alias("to"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["turn"].alias("turn"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,label:string,priority:int,turn:int>>").alias("out"))
-    return F.aggregate(pairs, zero, lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(item(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+    placed = F.aggregate(pairs, zero, lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(item(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+    return F.when(F.rlike(body, rule["pattern"]), placed).otherwise(zero["out"])
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", base=BASE) -> DataFrame:
@@ -169,8 +183,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
     gate = F.lit(False)
     for k in keywords:
         gate = gate | F.contains(body, F.lit(f" {k}"))
-    table = _rule_array(rules)
-    hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(body, r["keyword"])), lambda r: _matches(body, r)))
+    named = F.flatten(F.transform(F.filter(_rule_groups(rules), lambda g: F.contains(body, g["keyword"])), lambda g: g["rules"]))
+    hits = F.flatten(F.transform(F.filter(named, lambda r: F.contains(body, r["also"])), lambda r: _matches(body, r)))
     order = F.transform(hits, lambda h: F.struct(h["from"].alias("from"), (-h["to"]).alias("end"), (-h["priority"]).alias("rank"), h["turn"].alias("turn"), h["label"].alias("label")))
     empty = F.array().cast("array<struct<from:int,end:int,rank:int,turn:int,label:string>>")
     rows = rows.withColumn("_hits", F.when(gate, F.array_sort(order)).otherwise(empty))
