@@ -163,7 +163,11 @@ def write_token_file(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
 
 
 def read_token_file(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored blocks; start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored blocks; start counts the ids of all documents before.
+
+    Only part totals are broadcast: a row of two numbers for each file part, and a file has at most as many parts as the
+    shuffle that sorted it has partitions.
+    """
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file part
     offsets = parts.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
@@ -177,5 +181,5 @@ def read_token_file(blocks: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(block.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.docs.all() + block.base), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = blocks.join(offsets, "part").select((F.col("part_start") + F.col("before")).alias("first"), "payload")
+    placed = blocks.join(F.broadcast(offsets), "part").select((F.col("part_start") + F.col("before")).alias("first"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
