@@ -213,6 +213,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
 
 def detections(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each detection of ``scan`` that is not suppressed: id, character interval in the words, label, priority."""
-    rows = scanned.select(id_col, F.monotonically_increasing_id().alias("_row"), F.posexplode("detections").alias("at", "d")).select(id_col, "_row", "at", "d.*")
+    numbered = scanned.select(id_col, "detections").withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select(id_col, "_row", F.posexplode("detections").alias("at", "d")).select(id_col, "_row", "at", "d.*")
     before = F.max("to").over(Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("_reach", before).where("_reach is null or to > _reach").drop("_reach", "_row", "at")
