@@ -77,3 +77,23 @@ TIMES = (
     ("ordinal", rf"(?i)\b((?:before|after|during|in)\s+(?:{_M}))\b"),
 )
 CONFLICT_MARK = r"--- \[Agent: ([^\]]+)\] ---"
+
+# Keywords that decide the kind of a search.
+TEMPORAL_KEYS = ("yesterday", "today", "last week", "last month", "last session", "recently", "before", "after", "when", "during", "while", "since", "until", "earlier", "later", "previous", "next", "morning", "evening", "night", "ago", "back then")
+CODE_KEYS = ("function", "class", "method", "variable", "import", "error", "bug", "fix", "refactor", "implement", "API", "endpoint", "database", "schema", "test", "deploy")
+RELATION_KEYS = ("relationship", "connection", "related", "between", "link", "cause", "effect", "impact", "influence", "depend", "lead to", "result in")
+QUESTION_WORDS = ("who", "what", "where", "when", "why", "how", "which", "whose", "whom")
+MODAL_WORDS = ("would", "could", "might", "likely", "probably", "possibly")
+# (question pattern, what follows group 1 in the statement)
+STATEMENTS = (
+    (r"(?i)^what\s+(?:is|are|was|were)\s+(.+?)\??$", " is"),
+    (r"(?i)^what\s+(?:does|did|do)\s+(.+?)\??$", ""),
+    (r"(?i)^who\s+(?:is|are|was|were)\s+(.+?)\??$", " is"),
+    (r"(?i)^where\s+(?:is|are|was|were)\s+(.+?)\??$", " is located"),
+    (r"(?i)^when\s+(?:did|does|do|was|were|is|are)\s+(.+?)\??$", ""),
+    (r"(?i)^how\s+(?:does|did|do|is|are|was|were|can|could|should|would)\s+(.+?)\??$", ""),
+    (r"(?i)^why\s+(?:does|did|do|is|are|was|were)\s+(.+?)\??$", " because"),
+    (r"(?i)^(?:is|are|was|were)\s+(.+?)\??$", ""),
+    (r"(?i)^(?:does|did|do)\s+(.+?)\??$", ""),
+    (r"(?i)^(?:can|could|would|should)\s+(.+?)\??$", ""),
+)

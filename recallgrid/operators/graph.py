@@ -122,3 +122,14 @@ def successors(chances: DataFrame, gamma: float = 0.9, terms: int = 20) -> DataF
         power = power.join(step, power["dst"] == step["mid"]).groupBy("src", "to").agg(F.sum(F.col("m") * F.col("p") * gamma).alias("m")).withColumnRenamed("to", "dst")
         total = total.unionAll(power)
     return total.groupBy("src", "dst").agg(F.sum("m").alias("m"))
+
+
+def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """(id, community): label spreading by summed weight, ties to the least label; deterministic, a written table each round."""
+    both = stored(undirected(edges), "edges")
+    labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    for _ in range(rounds):
+        seen = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        best = seen.groupBy("src").agg(F.min(F.struct((-F.round("w", 6)).alias("w"), "community"))["community"].alias("community"))
+        labels = stored(best.withColumnRenamed("src", "id"), "labels")
+    return labels

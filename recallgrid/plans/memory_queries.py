@@ -318,9 +318,10 @@ def _(spark, d):
 @over_memories("h31_contradictions", f""", n AS (SELECT id, directory, regexp_matches(content, {q(P.NEGATION)}) AS neg, list_distinct(list_transform(regexp_extract_all(content, {q(P.ACTION)}), lambda x: lower(x))) AS act FROM mem)
   SELECT a.id AS a, b.id AS b, a.neg <> b.neg OR (len(a.act) > 0 AND len(b.act) > 0 AND len(list_intersect(a.act, b.act)) = 0) AS contradicts FROM n a JOIN n b ON a.directory = b.directory AND a.id < b.id AND b.id - a.id < 60""")
 def _(m):
-    a = m.select(c("id").alias("a"), "directory", c("content").alias("ca"))
-    b = m.select(c("id").alias("b"), "directory", c("content").alias("cb"))
-    return a.join(b, "directory").where((c("a") < c("b")) & (c("b") - c("a") < 60)).select("a", "b", S.contradicts(c("ca"), c("cb")).alias("contradicts"))
+    near = F.floor(c("id") / 60)
+    a = m.select(c("id").alias("a"), "directory", c("content").alias("ca"), near.alias("near"))
+    b = m.select(c("id").alias("b"), "directory", c("content").alias("cb"), F.explode(F.array(near, near - 1)).alias("near"))
+    return a.join(b, ["directory", "near"]).where((c("a") < c("b")) & (c("b") - c("a") < 60)).select("a", "b", S.contradicts(c("ca"), c("cb")).alias("contradicts"))
 
 
 # Vectors and search
