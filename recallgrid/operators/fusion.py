@@ -36,36 +36,41 @@ def max_norm(signals: DataFrame) -> DataFrame:
     return signals.withColumn("norm", F.col("score") / F.nullif(F.max("score").over(w), F.lit(0.0)))
 
 
-def confidence(signals: DataFrame) -> DataFrame:
-    """(query_id, signal, confidence) by the rule of each signal; a signal without rows has none."""
-    ranked = signals.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("score"), "id")))
-    stats = ranked.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second")
-    )
-    gap = F.coalesce(F.col("top") - F.col("second"), F.col("top"))
-    graph = F.when(F.col("n") == 1, F.col("top")).when(F.col("top") > 0, (F.col("top") - F.col("mean")) / F.col("top")).otherwise(0.0)
-    s = F.col("signal")
+def _rated(signals: DataFrame) -> DataFrame:
+    """Signals with their rank r and the confidence of their signal; one shuffle, and the signals are computed once."""
+    w = Window.partitionBy(*KEYS)
+    rows = signals.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "id")))
+    n, top, mean = F.count(F.lit(1)).over(w), F.max("score").over(w), F.avg("score").over(w)
+    gap = F.coalesce(top - F.max(F.when(F.col("r") == 2, F.col("score"))).over(w), top)
+    graph = F.when(n == 1, top).when(top > 0, (top - mean) / top).otherwise(0.0)
+    s, one = F.col("signal"), F.lit(1.0)
     value = (
-        F.when(s == "vector", F.least(F.lit(1.0), F.col("top") * (1 + gap))).when(s.isin("fts", "hdc"), F.least(F.lit(1.0), F.col("n") / 5))
-        .when(s.isin("sr", "temporal"), F.least(F.lit(1.0), F.col("n") / 3)).when(s.isin("ppr", "spread"), graph).otherwise(F.col("top"))
+        F.when(s == "vector", F.least(one, top * (1 + gap))).when(s.isin("fts", "hdc"), F.least(one, n / 5))
+        .when(s.isin("sr", "temporal"), F.least(one, n / 3)).when(s.isin("ppr", "spread"), graph).otherwise(top)
     )
-    return stats.select(*KEYS, value.alias("confidence"))
+    return rows.withColumn("confidence", value)
+
+
+def confidence(signals: DataFrame) -> DataFrame:
+    """(query_id, signal, confidence) by the rule of each signal; a signal without rows has none."""
+    return _rated(signals).where("r = 1").select(*KEYS, "confidence")
 
 
 def gated(signals: DataFrame, weights: dict[str, float], least: float = 0.1) -> DataFrame:
-    """Signals with their weight; a signal whose confidence is under ``least`` weighs 0."""
-    known = confidence(signals).select(*KEYS, F.when(F.col("confidence") < least, 0.0).otherwise(weight_of(F.col("signal"), weights)).alias("weight"))
-    return signals.join(known, KEYS)
+    """Signals with their rank r and weight; a signal whose confidence is under ``least`` weighs 0."""
+    weight = F.when(F.col("confidence") < least, 0.0).otherwise(weight_of(F.col("signal"), weights))
+    return _rated(signals).withColumn("weight", weight)
 
 
 def convex(signals: DataFrame, weights: dict[str, float] | None = None, gate: bool = True) -> DataFrame:
-    """(query_id, id, score): sum of min-max scores by weights that add up to 1; ids count in a signal where their score is over 0."""
-    weights = weights or WEIGHTS
-    rows = signals.where("score > 0")
-    rows = gated(rows, weights) if gate else rows.withColumn("weight", weight_of(F.col("signal"), weights))
-    rows = min_max(rows)
-    total = rows.select(*KEYS, "weight").distinct().groupBy("query_id").agg(F.sum("weight").alias("total")).where("total > 0")
-    return rows.join(total, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / F.col("total") * F.col("norm")), 6).alias("score"))
+    """(query_id, id, score): sum of min-max scores by weights that add up to 1; ids count in a signal where their score is over 0.
+
+    The weights of a query's signals are summed over the first row of each; without any weight the query has no result.
+    """
+    rows = min_max(gated(signals.where("score > 0"), weights or WEIGHTS, 0.1 if gate else float("-inf")))
+    total = F.sum(F.when(F.col("r") == 1, F.col("weight"))).over(Window.partitionBy("query_id"))
+    rows = rows.withColumn("total", total).where("total > 0")
+    return rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / F.col("total") * F.col("norm")), 6).alias("score"))
 
 
 def weighted(signals: DataFrame, weights: dict[str, float], multiply: bool = True) -> DataFrame:

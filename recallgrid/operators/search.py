@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors as V
@@ -42,17 +42,29 @@ def postings(docs: DataFrame, text: str = "content") -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: dict[str, float], k: int = 50, text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25): BM25 of weighted query terms. The index is cut to the terms before any shuffle."""
-    words = docs.select("id", tokens(F.col(text)).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
-    wanted = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(float(q)).alias("qtf")) for t, q in sorted(terms.items())))
-    hits = words.select("id", F.size("w").alias("dl"), "w", F.inline(wanted))
-    hits = hits.withColumn("tf", F.size(F.filter("w", lambda x: x == F.col("term")))).where("tf > 0").drop("w")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(stats.select("n").scalar()) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / stats.select("mean").scalar()))
-    return top(hits.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("bm25")), k, "bm25")  # df: a row for each query term
+    """(id, bm25): BM25 of weighted query terms, the k best.
+
+    Two scans without a shuffle of rows: one aggregate gives the row count, mean length and each term's document count, and
+    the second scores every row by itself; only its top k leaves a task.
+    """
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    split = docs.select("id", tokens(F.col(text)).alias("w"))
+    rows = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("w"))
+    listed = sorted(terms.items())
+    counts = [F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, (t, _) in enumerate(listed)]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *counts).select(F.struct("*").alias("s")).scalar()
+    total = F.lit(0.0)
+    for i, (t, weight) in enumerate(listed):
+        tf, df = _occurrences("w", t), stats[f"df{i}"]
+        idf = F.log((stats["n"] - df + 0.5) / (df + 0.5))
+        part = weight * F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / stats["mean"]))
+        total = total + F.when(tf > 0, part).otherwise(0.0)
+    return top(rows.where(F.size("w") > 0).select("id", F.round(total, 6).alias("bm25")), k, "bm25")
+
+
+def _occurrences(array: str, value: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == value))
 
 
 def mmr(candidates: DataFrame, k: int, keep: float = 0.7, score: str = "score", vector: str = "embedding") -> DataFrame:
