@@ -133,3 +133,24 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
         best = seen.groupBy("src").agg(F.min(F.struct((-F.round("w", 6)).alias("w"), "community"))["community"].alias("community"))
         labels = stored(best.withColumnRenamed("src", "id"), "labels")
     return labels
+
+
+def neighbourhood(edges: DataFrame, start: int, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their least depth, edges between them) within ``depth`` undirected steps of ``start``."""
+    both = undirected(edges).select("src", "dst").distinct()
+    front = edges.sparkSession.createDataFrame([(start, 0)], "id long, depth int")
+    reached = front
+    for d in range(1, depth + 1):
+        front = front.select("id").join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(d))
+        reached = reached.unionAll(front)
+    nodes = reached.groupBy("id").agg(F.min("depth").alias("depth"))
+    inside = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes, inside
+
+
+def dream_pairs(memories: DataFrame, pairs: int = 20, salt: int = 1) -> DataFrame:
+    """(a, b): disjoint pairs of memories in hash order, the sampling step of replay; 2 * ``pairs`` rows leave the scan."""
+    drawn = memories.select("id").orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(2 * pairs)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id", F.lit(salt)), "id")) - 1
+    placed = drawn.withColumn("r", rank).withColumn("pair", F.floor(F.col("r") / 2))
+    return placed.groupBy("pair").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from recallgrid.functions import expansions as E
 from recallgrid.functions import extract as X
 from recallgrid.functions import patterns as P
 from recallgrid.functions import queries as Q
 from recallgrid.functions import vectors as V
-from recallgrid.operators import causal, graph, maintain, ordered, search
+from recallgrid.operators import causal, graph, ingest, maintain, ordered, relate, rerank, search
 from recallgrid.plans.frames import EDGE_SQL, edges, memories, now, quoted, table
 from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, query, r6
 from recallgrid.plans.memory_queries import _domain_sql as DOMAIN_SQL
@@ -188,6 +189,45 @@ def _(m):
     return m.select("id", (c("file_hash") != F.concat(F.lit("h"), c("id") * 3 % 50)).alias("is_stale"))
 
 
+_hyper = ", ".join(f"CASE WHEN contains(low, '{k}') THEN '{v}' END" for k, v in E.HYPERNYMS.items())
+_nominal = ", ".join(f"CASE WHEN list_contains(w, '{k}') THEN '{v}' END" for k, v in E.NOMINALS.items())
+
+
+@over_memories("h41_expansions", f"""SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_hyper}, {_nominal}], lambda x: x IS NOT NULL))), ',') AS expansions FROM (SELECT id, lower(content) AS low, string_split_regex(lower(content), '[^a-z0-9_]+') AS w FROM mem)""")
+def _(m):
+    return m.select("id", F.array_join(F.array_sort(E.expansions(c("content"))), ",").alias("expansions"))
+
+
+@over_memories("i42_enriched", f"""SELECT id, CASE WHEN len(e) > 0 THEN length(content) + 3 + length(array_to_string(e, ', ')) ELSE length(content) END AS size FROM (SELECT *, list_distinct(list_filter([{_hyper}, {_nominal}], lambda x: x IS NOT NULL)) AS e FROM (SELECT id, content, lower(content) AS low, string_split_regex(lower(content), '[^a-z0-9_]+') AS w FROM mem))""")
+def _(m):
+    return m.select("id", F.length(E.enriched(c("content"))).cast("long").alias("size"))
+
+
+@over_memories("i5_cross_rerank", f"""SELECT id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(0.4 * heat + 0.6 * (CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END) * CASE WHEN n < 10 THEN 0.5 WHEN n < 20 THEN 0.8 ELSE 1.0 END, 6) AS score FROM
+  (SELECT *, max(s) OVER () AS hi, min(s) OVER () AS lo FROM (SELECT id, heat, len(string_split_regex(trim(content), '\\s+')) AS n, len(list_intersect(['the', 'parser', 'success.'], list_distinct(string_split_regex(lower(content), '\\s+')))) / 3 AS s FROM mem WHERE heat >= 0.5)))) WHERE rank <= 10""")
+def _(m):
+    pool = m.where("heat >= 0.5").select(F.lit(0).alias("query_id"), "id", F.lit("the parser success.").alias("query"), "content", c("heat").alias("score"))
+    return rerank.cross_rerank(pool, 10).select("id", "score", c("rank").cast("long").alias("rank"))
+
+
+@query("i12_neighbourhood", """, n1 AS (SELECT dst AS id FROM both_ways WHERE src = 2), n2 AS (SELECT b.dst AS id FROM both_ways b JOIN n1 ON b.src = n1.id)
+  SELECT id, min(d) AS depth FROM (SELECT 2 AS id, 0 AS d UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2) GROUP BY id""", EDGE_SQL)
+def _(spark, d):
+    return graph.neighbourhood(edges(spark, d), 2)[0]
+
+
+@query("i33_dream_pairs")
+def _(spark, d):
+    return graph.dream_pairs(memories(spark, d))
+
+
+@query("i23_remember")
+def _(spark, d):
+    docs = table(spark, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"), F.concat(F.lit("/src/"), "source").alias("directory"), F.array("lang").alias("tags"))
+    known = relate.embed(docs.where("id % 2 = 0")).select("id", "content", "directory", "embedding")
+    return ingest.remember(docs.where("id % 2 = 1"), known, now()).select("id", "action", "near_id", "store_type", "surprisal")
+
+
 # Results that SQL does not express; the tests hold them against plain Python
 @query("f10_mmr")
 def _(spark, d):

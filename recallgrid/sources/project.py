@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders and endings that are passed over, and starting heats.
@@ -55,3 +55,22 @@ def seed(found: DataFrame, folder: str) -> DataFrame:
     grouped = parts.select(F.concat("d", F.lit(" holds "), F.col("n"), F.lit(" files")).alias("content"), F.lit("component").alias("kind"))
     out = whole.select("content", "kind").unionByName(single).unionByName(grouped)
     return out.select("content", "kind", heat(F.col("kind")).alias("heat"), F.array(F.lit("seed"), F.col("kind")).alias("tags"), F.lit(folder).alias("directory"))
+
+
+def manifest_summary(name: str = "name", text: str = "text") -> Column:
+    """One line for a package manifest: its kind, name, version and number of dependencies; null for other files."""
+    t, n = F.col(text), F.lower(name)
+    package = F.from_json(t, "name string, version string, dependencies map<string,string>, devDependencies map<string,string>")
+    size = lambda m: F.coalesce(F.size(F.map_keys(m)), F.lit(0))
+    of = lambda pattern: F.regexp_extract(t, pattern, 1)
+    named = r'(?m)^name\s*=\s*"([^"]+)"'
+    version = r'(?m)^version\s*=\s*"([^"]+)"'
+    block = F.regexp_extract(t, r"(?s)dependencies\s*=\s*\[(.*?)\]", 1)
+    crates = F.regexp_extract(t, r"(?s)\[dependencies\](.*?)(?:\n\[|$)", 1)
+    line = lambda kind, a, b, c: F.concat_ws(" ", F.lit(kind), a, b, F.concat(c.cast("string"), F.lit(" dependencies")))
+    return (
+        F.when(n == "package.json", line("npm", package["name"], package["version"], F.greatest(size(package["dependencies"]), F.lit(0)) + F.greatest(size(package["devDependencies"]), F.lit(0))))
+        .when(n == "pyproject.toml", line("python", of(named), of(version), F.regexp_count(block, F.lit(r'"[^"]+"'))))
+        .when(n == "cargo.toml", line("rust", of(named), of(version), F.regexp_count(crates, F.lit(r"(?m)^[\w-]+\s*="))))
+        .when(n == "go.mod", line("go", of(r"(?m)^module\s+(\S+)"), of(r"(?m)^go\s+(\S+)"), F.regexp_count(t, F.lit(r"(?m)^\s+\S+\s+v\d"))))
+    )

@@ -19,3 +19,36 @@ def limited(fired: DataFrame, most: int = 5) -> DataFrame:
         yield pd.DataFrame({"trigger_id": key[0], "id": rows["id"], "count": range(count + 1, count + len(rows) + 1)})
 
     return fired.groupBy("trigger_id").applyInPandasWithState(run, "trigger_id long, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def rotated(turns: DataFrame, size: int = 200_000, overlap: int = 8_000) -> DataFrame:
+    """(session_id, turn, episode) of a stream of (session_id, turn, text): a new episode opens when the characters since
+    the last cut exceed ``size``; ``overlap`` of them carry over. Turns are taken in order within a batch; batches in order.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, episode = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("turn", ignore_index=True)
+        out = []
+        for n in rows["text"].fillna("").str.len():
+            if total and total + n > size:
+                episode, total = episode + 1, min(overlap, total)
+            total += int(n)
+            out.append(episode)
+        state.update((int(total), int(episode)))
+        yield pd.DataFrame({"session_id": key[0], "turn": rows["turn"], "episode": out})
+
+    return turns.groupBy("session_id").applyInPandasWithState(run, "session_id long, turn long, episode long", "total long, episode long", "append", GroupStateTimeout.NoTimeout)
+
+
+def every(calls: DataFrame, n: int = 50) -> DataFrame:
+    """(key, id, count) of each key's every n-th call of a stream of (key, id): cooldown counters."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("id", ignore_index=True)
+        rows["count"] = range(count + 1, count + len(rows) + 1)
+        state.update((count + len(rows),))
+        yield rows.loc[rows["count"] % n == 0, ["key", "id", "count"]]
+
+    return calls.groupBy("key").applyInPandasWithState(run, "key string, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
