@@ -29,14 +29,15 @@ from recallgrid.llm.textscan import Words, mix, slices
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """width: words in a shingle. chunk: nodes on each side of a block. steps: MinHash values compared before each test."""
+    """width: words in a shingle. chunk: nodes on each side of a block, in groups of up to 32
+    chunks; beyond, it grows with the square root of the group, to 32 times as much, so that a node travels less often. steps: MinHash values compared before each test."""
 
     width: int = 5
     threshold: float = 0.8
     bands: int = 30
     rows: int = 5
     tolerance: float = 1e-9
-    chunk: int = 512
+    chunk: int = 128
     steps: tuple[int, ...] = (25, 50, 75, 100, 150)
 
 
@@ -241,7 +242,9 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = placed.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     near = placed.join(centres, "band").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     groups = components(near)
-    sizes = stored(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / settings.chunk).cast("int").alias("chunks")), "sizes")
+    size = F.count(F.lit(1))
+    side = settings.chunk * F.least(F.lit(32.0), F.greatest(F.lit(1.0), F.sqrt(size / (32 * settings.chunk))))
+    sizes = stored(groups.groupBy("component").agg(F.ceil(size / side).cast("int").alias("chunks")), "sizes")
     active = groups.join(sizes, "component").join(nodes.select("node", "rep", "weight"), "node")
     texts = rows.join(active, F.col("id").eqNullSafe(F.col("rep"))).select("id", "text", "node", "component", "weight", "chunks")
     blocks = texts.mapInArrow(_spread(settings), "component long, i long, j long, node long, weight long, chunk long, sign binary, shingles binary")
