@@ -76,19 +76,20 @@ def now():
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected weighted edges between nations: orders that join a supplier nation and a customer nation, 1 in 40 kept by weight."""
+    """Undirected weighted edges between nations: pairs whose order lines exceed the mean of all pairs by a tenth."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("y"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("x"))
     pairs = l.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").where("x <> y")
     n = pairs.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    return n.where((F.col("src") * 7 + F.col("dst") * 3) % 5 == 0).select("src", "dst", (F.col("n") / F.lit(1e1)).alias("weight"))
+    mean = n.agg(F.struct(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("lines")).alias("m")).scalar()
+    return n.where(F.col("n") * 10 * mean["pairs"] > 11 * mean["lines"]).select("src", "dst", (F.col("n") / F.lit(1e1)).alias("weight"))
 
 
 EDGE_SQL = """
-edge AS (SELECT src, dst, n / 1e1 AS weight FROM (
+edge AS (SELECT src, dst, n / 1e1 AS weight FROM (SELECT *, count(*) OVER () AS pairs, sum(n) OVER () AS lines FROM (
   SELECT CAST(least(s_nationkey, c_nationkey) AS BIGINT) AS src, CAST(greatest(s_nationkey, c_nationkey) AS BIGINT) AS dst, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE s_nationkey <> c_nationkey GROUP BY ALL) WHERE (src * 7 + dst * 3) % 5 = 0),
+  WHERE s_nationkey <> c_nationkey GROUP BY ALL)) WHERE n * 10 * pairs > 11 * lines),
 both_ways AS (SELECT src, dst, weight FROM edge UNION ALL SELECT dst, src, weight FROM edge)"""

@@ -46,17 +46,16 @@ def _(spark, d):
 
 @query("i15_components")
 def _(spark, d):
-    strong = edges(spark, d).where((c("src") + c("dst")) % 3 == 0)
-    return graph.components(strong)
+    return graph.components(edges(spark, d).where("weight > 25"))
 
 
-_O["i15_components"] = f"""WITH RECURSIVE {EDGE_SQL.strip()}, s AS (SELECT src, dst FROM both_ways WHERE (src + dst) % 3 = 0),
+_O["i15_components"] = f"""WITH RECURSIVE {EDGE_SQL.strip()}, s AS (SELECT src, dst FROM both_ways WHERE weight > 25),
 reach(id, seen) AS (SELECT DISTINCT src, src FROM s UNION SELECT reach.id, s.dst FROM reach JOIN s ON reach.seen = s.src) SELECT id, min(seen) AS component FROM reach GROUP BY id"""
 
 
-@query("i35_isolated", ", g AS (SELECT src, count(*) AS k FROM both_ways WHERE weight > 21 GROUP BY src) SELECT CAST(n_nationkey AS BIGINT) AS id, coalesce(k, 0) AS degree, CASE WHEN coalesce(k, 0) = 0 THEN 0.6 ELSE 0.4 END AS severity FROM nation LEFT JOIN g ON src = n_nationkey WHERE coalesce(k, 0) <= 1", EDGE_SQL)
+@query("i35_isolated", ", g AS (SELECT src, count(*) AS k FROM both_ways WHERE weight > 25 GROUP BY src) SELECT CAST(n_nationkey AS BIGINT) AS id, coalesce(k, 0) AS degree, CASE WHEN coalesce(k, 0) = 0 THEN 0.6 ELSE 0.4 END AS severity FROM nation LEFT JOIN g ON src = n_nationkey WHERE coalesce(k, 0) <= 1", EDGE_SQL)
 def _(spark, d):
-    return graph.isolated(table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("id")), edges(spark, d).where("weight > 21"))
+    return graph.isolated(table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("id")), edges(spark, d).where("weight > 25"))
 
 
 PAIR_SQL = """pairs AS (SELECT CAST(least(s_nationkey, c_nationkey) AS BIGINT) AS src, CAST(greatest(s_nationkey, c_nationkey) AS BIGINT) AS dst, count(*) AS n
@@ -163,11 +162,11 @@ def _(spark, d):
     return relate.mentions(rows, p.select(c("p_brand").alias("name")).distinct())
 
 
-@query("c15_triggers", """WITH x AS (SELECT event_id AS id, '/u/' || (user_id % 9) AS directory, event_type || ' ' || coalesce(props, '') AS content, ts FROM events WHERE event_id < 3000)
+@query("c15_triggers", """WITH x AS (SELECT event_id AS id, '/u/' || (user_id % 9) AS directory, event_type || ' ' || coalesce(props, '') AS content, ts FROM events)
   SELECT id, 1 AS trigger_id FROM x WHERE contains(directory, '/u/3') UNION ALL SELECT id, 2 FROM x WHERE contains(lower(content), 'purchase') OR contains(lower(content), 'signup')
   UNION ALL SELECT id, 3 FROM x WHERE string_split(content, ' ')[1] = 'error' UNION ALL SELECT id, 4 FROM x WHERE hour(ts) = 9 AND minute(ts) = 30 UNION ALL SELECT id, 5 FROM x WHERE isodow(ts) = 3""", "")
 def _(spark, d):
-    x = table(spark, d, "events").where("event_id < 3000").select(c("event_id").alias("id"), F.concat(F.lit("/u/"), c("user_id") % 9).alias("directory"), F.concat("event_type", F.lit(" "), F.coalesce("props", F.lit(""))).alias("content"), F.array("event_type").alias("entities"), "ts")
+    x = table(spark, d, "events").select(c("event_id").alias("id"), F.concat(F.lit("/u/"), c("user_id") % 9).alias("directory"), F.concat("event_type", F.lit(" "), F.coalesce("props", F.lit(""))).alias("content"), F.array("event_type").alias("entities"), "ts")
     t = spark.createDataFrame([(1, "directory_match", "x", "/u/3"), (2, "keyword_match", "purchase signup", ""), (3, "entity_match", "Error", ""), (4, "time_based", "9:30", ""), (5, "time_based", "weekday:2", "")], "trigger_id int, kind string, condition string, target string")
     return relate.fired(x, t)
 

@@ -316,12 +316,11 @@ def _(spark, d):
 
 
 @over_memories("h31_contradictions", f""", n AS (SELECT id, directory, regexp_matches(content, {q(P.NEGATION)}) AS neg, list_distinct(list_transform(regexp_extract_all(content, {q(P.ACTION)}), lambda x: lower(x))) AS act FROM mem)
-  SELECT a.id AS a, b.id AS b, a.neg <> b.neg OR (len(a.act) > 0 AND len(b.act) > 0 AND len(list_intersect(a.act, b.act)) = 0) AS contradicts FROM n a JOIN n b ON a.directory = b.directory AND a.id < b.id AND b.id - a.id < 60""")
+  SELECT a, b, n1 <> n2 OR (len(a1) > 0 AND len(a2) > 0 AND len(list_intersect(a1, a2)) = 0) AS contradicts FROM (SELECT lag(id) OVER w AS a, id AS b, lag(neg) OVER w AS n1, neg AS n2, lag(act) OVER w AS a1, act AS a2 FROM n WINDOW w AS (PARTITION BY directory ORDER BY id)) WHERE a IS NOT NULL""")
 def _(m):
-    near = F.floor(c("id") / 60)
-    a = m.select(c("id").alias("a"), "directory", c("content").alias("ca"), near.alias("near"))
-    b = m.select(c("id").alias("b"), "directory", c("content").alias("cb"), F.explode(F.array(near, near - 1)).alias("near"))
-    return a.join(b, ["directory", "near"]).where((c("a") < c("b")) & (c("b") - c("a") < 60)).select("a", "b", S.contradicts(c("ca"), c("cb")).alias("contradicts"))
+    w = Window.partitionBy("directory").orderBy("id")
+    pairs = m.select(F.lag("id").over(w).alias("a"), c("id").alias("b"), F.lag("content").over(w).alias("ca"), c("content").alias("cb")).where("a is not null")
+    return pairs.select("a", "b", S.contradicts(c("ca"), c("cb")).alias("contradicts"))
 
 
 # Vectors and search
@@ -531,10 +530,10 @@ def _(m):
     return metrics.retrieval_metrics(search.nearest_batch(m, queries), relevant)
 
 
-@over_memories("d17_token_f1", f""", p AS (SELECT a.id, {TOK_SQL.format('a.text')} AS p, {TOK_SQL.format('b.text')} AS t FROM mem a JOIN mem b ON b.id = a.id + 1 WHERE a.id < 120),
+@over_memories("d17_token_f1", f""", p AS (SELECT a.id, {TOK_SQL.format('a.text')} AS p, {TOK_SQL.format('b.text')} AS t FROM mem a JOIN mem b ON b.id = a.id + 1),
   f AS (SELECT id, len(p) + len(t) AS n, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))) AS k FROM p) SELECT id, round(2.0 * k / n, 6) AS f1 FROM f""")
 def _(m):
-    a, b = m.where("id < 120").select("id", c("text").alias("p")), m.select((c("id") - 1).alias("id"), c("text").alias("t"))
+    a, b = m.select("id", c("text").alias("p")), m.select((c("id") - 1).alias("id"), c("text").alias("t"))
     return metrics.token_f1(a.join(b, "id"), "p", "t")
 
 
@@ -648,11 +647,11 @@ def _(m):
     return m.where(replicas.conflicted(c("content"))).select("id", replicas.resolve(c("content"), "latest").alias("latest"))
 
 
-@over_memories("c16_replica_merge", """, l AS (SELECT text AS content, max(heat) AS heat FROM mem WHERE id % 3 <> 0 GROUP BY text), r AS (SELECT text AS content, max(heat) AS heat FROM mem WHERE id % 2 = 0 GROUP BY text)
+@over_memories("c16_replica_merge", """, l AS (SELECT text AS content, max(heat) AS heat FROM mem WHERE agent <> 'agent-0' GROUP BY text), r AS (SELECT text AS content, max(heat) AS heat FROM mem WHERE access_count >= 8 GROUP BY text)
   SELECT coalesce(l.content, r.content) AS content, round(greatest(l.heat, r.heat), 6) AS heat, CASE WHEN l.content IS NULL THEN 'remote' WHEN r.content IS NULL THEN 'local' ELSE 'equal' END AS origin FROM l FULL JOIN r ON l.content = r.content""")
 def _(m):
     side = lambda keep: m.where(keep).groupBy(c("text").alias("content")).agg(F.max("heat").alias("heat")).select("content", F.array(F.lit("x")).alias("tags"), "heat", F.lit(0.5).alias("importance"), F.create_map(F.lit("p"), F.lit(1)).alias("clock"))
-    return replicas.merge_records(side("id % 3 <> 0"), side("id % 2 = 0")).select("content", r6(c("heat"), "heat"), "origin")
+    return replicas.merge_records(side("agent <> 'agent-0'"), side("access_count >= 8")).select("content", r6(c("heat"), "heat"), "origin")
 
 
 @over_memories("f12_restore_sets", """, hot AS (SELECT id FROM mem ORDER BY heat DESC, id LIMIT 30), anchored AS (SELECT id FROM mem WHERE is_protected), recent AS (SELECT id FROM mem ORDER BY created_at DESC, id LIMIT 30)

@@ -60,17 +60,16 @@ def _(m):
 
 
 @query("d10_reweigh", """, e AS (SELECT src, dst, weight, (src * 37 % 100) / 1e2 AS a, (dst * 37 % 100) / 1e2 AS b FROM edge)
-  SELECT src, dst, round(CASE WHEN (a + b) / 2 > 0.7 AND weight >= 5 THEN weight + 0.5 WHEN (a + b) / 2 < 0.3 THEN greatest(weight * 0.9, 0.1) ELSE weight END, 6) AS weight FROM e WHERE (a + b) / 2 NOT BETWEEN 0.1 AND 0.3""", EDGE_SQL)
+  SELECT src, dst, round(CASE WHEN (a + b) / 2 > 0.7 AND weight >= 5 THEN weight + 0.5 WHEN (a + b) / 2 < 0.1 THEN greatest(weight * 0.9, 0.1) ELSE weight END, 6) AS weight FROM e""", EDGE_SQL)
 def _(spark, d):
     heat = table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("id"), (c("n_nationkey") * 37 % 100 / F.lit(1e2)).alias("heat"))
-    ends = edges(spark, d).join(heat.toDF("src", "a"), "src").join(heat.toDF("dst", "b"), "dst").where(~((c("a") + c("b")) / 2).between(0.1, 0.3))
-    return maintain.reweigh(ends.select("src", "dst", "weight"), heat).select("src", "dst", r6(c("weight"), "weight"))
+    return maintain.reweigh(edges(spark, d), heat).select("src", "dst", r6(c("weight"), "weight"))
 
 
-@query("d11_derived_facts", ", f AS (SELECT src, dst FROM edge WHERE weight >= 20), k AS (SELECT src, dst FROM edge WHERE src % 2 = 0) SELECT src, dst FROM f EXCEPT SELECT src, dst FROM k", EDGE_SQL)
+@query("d11_derived_facts", ", f AS (SELECT src, dst FROM edge), k AS (SELECT src, dst FROM edge WHERE weight >= 27) SELECT src, dst FROM f EXCEPT SELECT src, dst FROM k", EDGE_SQL)
 def _(spark, d):
     e = edges(spark, d)
-    return e.where("weight >= 20").select("src", "dst").join(e.where("src % 2 = 0").select("src", "dst"), ["src", "dst"], "left_anti")
+    return e.select("src", "dst").join(e.where("weight >= 27").select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 SCORED_SQL = f"""s AS (SELECT id, unnest({SENTENCE_SQL}) AS s, generate_subscripts({SENTENCE_SQL}, 1) AS pos FROM mem), sc AS (SELECT *, CASE WHEN regexp_matches(s, {q(P.FILE_PATH)}) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(s, {q(P.ERROR_WORDS)}) THEN 4 ELSE 0 END
@@ -179,9 +178,9 @@ def _(m):
     return m.where("is_protected").groupBy("agent").agg(F.max(c("id") % 10).alias("epoch"), (F.max(c("id") % 10) + 1).alias("next_epoch"), F.max_by("id", "id").alias("active"))
 
 
-@over_memories("k3_reinforce", "SELECT id, round(least(1.0, heat + 0.1), 6) AS heat FROM mem WHERE id % 4 = 0")
+@over_memories("k3_reinforce", "SELECT id, round(least(1.0, heat + 0.1), 6) AS heat FROM mem WHERE heat >= 0.5")
 def _(m):
-    return m.where("id % 4 = 0").select("id", r6(F.least(F.lit(1.0), c("heat") + 0.1), "heat"))
+    return m.where("heat >= 0.5").select("id", r6(F.least(F.lit(1.0), c("heat") + 0.1), "heat"))
 
 
 @over_memories("i41_validate", "SELECT id, file_hash <> 'h' || ((id * 3) % 50) AS is_stale FROM mem")
@@ -223,9 +222,9 @@ def _(spark, d):
 
 @query("i23_remember")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"), F.concat(F.lit("/src/"), "source").alias("directory"), F.array("lang").alias("tags"))
-    known = relate.embed(docs.where("id % 2 = 0")).select("id", "content", "directory", "embedding")
-    return ingest.remember(docs.where("id % 2 = 1"), known, now()).select("id", "action", "near_id", "store_type", "surprisal")
+    docs = table(spark, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"), F.concat(F.lit("/src/"), "source").alias("directory"), F.array("lang").alias("tags"), "n_chars")
+    known = relate.embed(docs.where("n_chars >= 1000")).select("id", "content", "directory", "embedding")
+    return ingest.remember(docs.where("n_chars < 1000"), known, now()).select("id", "action", "near_id", "store_type", "surprisal")
 
 
 # Results that SQL does not express; the tests hold them against plain Python
@@ -276,5 +275,4 @@ def _(spark, d):
 
 @query("i14_communities")
 def _(spark, d):
-    strong = edges(spark, d).where("weight > 20")
-    return graph.communities(strong)
+    return graph.communities(edges(spark, d))
