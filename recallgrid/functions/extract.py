@@ -81,15 +81,41 @@ def _of_kind(kind: str, name: str, change=lambda c: c):
 
 ENTITY_FORMS = (
     ("file", rf"({P.FILE_PATH})"),
-    ("function", r"\bdef\s+(\w+)"),
-    ("function", r"\bclass\s+(\w+)"),
+    ("function", r"\b(?:def|class)\s+(\w+)"),
+    ("function", P.FUNCTION_WORD),
     ("error", r"\b(\w*(?:Error|Exception))\b"),
-    ("dependency", r"(?m)^import\s+([\w.]+)"),
-    ("dependency", r"\bfrom\s+([\w.]+)\s+import\b"),
+    ("error", P.TRACEBACK),
+    ("dependency", P.IMPORTED),
+    ("dependency", r"(?:^|\n)\s*from\s+([\w.]+)\s+import"),
+    ("dependency", P.REQUIRED),
+    ("decision", P.DECISION_SPAN),
 )
 
 
 def entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, kind) of files, definitions, errors and imports, each once for an id."""
+    """(id, name, kind) of code files, definitions, errors, imports and decisions, each once for an id."""
     found = [F.transform(all_of(F.col(text_col), p, 1), _of_kind(k, "name")) for k, p in ENTITY_FORMS]
-    return df.select(id_col, F.inline(F.array_distinct(F.flatten(F.array(*found)))))
+    rows = df.select(id_col, F.inline(F.array_distinct(F.flatten(F.array(*found)))))
+    return rows.where((F.col("kind") != "file") | F.col("name").rlike(P.CODE_SUFFIX))
+
+
+def _typed(names: Column, kind: str, context: str = "") -> Column:
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(context).alias("context")))
+
+
+def typed_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, name, kind, context) of imports, definitions, errors and decisions, each once for an id.
+
+    context is the kind of relation that the text states: imports (names of a module), calls (a function of the same text,
+    outside lines that define), resolved_by (an error that was fixed), decided_to_use (both sides of a decision), or empty.
+    """
+    text = F.col(text_col)
+    imported = F.flatten(F.transform(all_of(text, P.FROM_IMPORT, 2), lambda names: F.transform(F.split(names, ","), lambda n: F.trim(n))))
+    lines = F.filter(F.split(text, "\n"), lambda l: ~l.rlike(r"^\s*def "))
+    called = F.array_intersect(F.flatten(F.transform(lines, lambda l: all_of(l, P.CALLED, 1))), all_of(text, P.DEFINED, 1))
+    found = F.array(
+        _typed(all_of(text, P.FROM_IMPORT, 1), "dependency"), _typed(F.filter(imported, lambda n: n != ""), "function", "imports"), _typed(all_of(text, P.IMPORTED, 1), "dependency"),
+        _typed(all_of(text, P.DEFINED, 1), "function"), _typed(called, "function", "calls"), _typed(all_of(text, P.ERROR_FIXED, 1), "error", "resolved_by"),
+        _typed(all_of(text, P.DECIDED, 1), "decision", "decided_to_use"), _typed(all_of(text, P.DECIDED, 2), "decision", "decided_to_use"),
+    )
+    return df.select(id_col, F.inline(F.array_distinct(F.flatten(found))))

@@ -97,3 +97,84 @@ STATEMENTS = (
     (r"(?i)^(?:does|did|do)\s+(.+?)\??$", ""),
     (r"(?i)^(?:can|could|would|should)\s+(.+?)\??$", ""),
 )
+
+# Words that carry no content in a question, and words at which a compared option ends besides them.
+QUERY_STOPS = (
+    "who", "what", "where", "when", "why", "how", "which", "whose", "whom", "would", "could", "should", "does", "did", "is", "are",
+    "was", "were", "do", "has", "have", "had", "can", "will", "the", "a", "an", "if", "not", "it", "in", "on", "at", "to", "of",
+    "for", "and", "or", "but", "with", "by", "from", "as", "be", "this", "that", "so", "no", "yes", "my", "your", "its", "our",
+    "their", "we", "he", "she", "they", "me", "him", "her", "us", "them", "about", "also", "likely", "probably", "possibly",
+    "still", "more", "most", "very", "around", "what's", "whats", "interested", "going", "considered", "consider", "considering",
+)
+OPTION_STOPS = ("interest", "might", "less")
+ARTICLES = ("a", "an", "the")
+LEADING_WORDS = ("what", "when", "where", "who", "why", "how", "does", "did", "is", "are", "was", "were", "would", "could", "should", "do", "can", "will", "has", "have", "had")
+CUE_PHRASES = (
+    "personality trait", "personality traits", "what attributes", "political leaning", "financial status", "religious", "patriotic", "career",
+    "job might", "degree", "interested in", "more interested", "enjoy the song", "bookshelf", "member of the lgbtq", "ally",
+)
+TOPICS = (
+    ("national park", ("camping", "outdoors", "nature", "hiking")),
+    ("theme park", ("rides", "amusement park")),
+    ("dr. seuss", ("children's books", "kids books", "classic books")),
+    ("bookshelf", ("books", "reading", "collects")),
+    ("vivaldi", ("classical music", "orchestra", "composer")),
+    ("four seasons", ("classical music", "orchestra", "composer")),
+    ("patriotic", ("serve country", "military", "public service")),
+    ("religious", ("faith", "church", "spiritual")),
+    ("political leaning", ("lgbtq rights", "liberal", "progressive")),
+    ("financial status", ("money", "wealth", "afford", "comfortable")),
+    ("personality traits", ("thoughtful", "authentic", "driven", "caring")),
+    ("attributes", ("thoughtful", "authentic", "driven", "caring")),
+    ("ally", ("supportive", "accepting", "rights")),
+    ("member of the lgbtq", ("lgbtq", "transgender", "queer")),
+)
+# (pattern of a question, the statement that it asks to confirm)
+CONFIRMED = (
+    (r"(?i)^would\s+(\w+)\s+prefer\s+(.*)", " prefers "),
+    (r"(?i)^does\s+(\w+)\s+enjoy\s+(.*)", " enjoys "),
+    (r"(?i)^is\s+(\w+)\s+(?:a\s+)?(.*)", " is "),
+    (r"(?i)^what\s+are\s+(\w+)'s\s+(.*)", " has "),
+)
+CONFIRM_LEAD = r"(?i)^(?:would|does|is|can|did|has|could|might)\s+"
+SPEAKER = r"^([A-Z][a-z]+) said:\s*(.+)$"
+# (pattern of a line: subject and object, verb of the fact)
+FACTS = (
+    (r"(?i)^([A-Z][a-z]+)\s+(?:really\s+|also\s+|just\s+|always\s+|often\s+|never\s+|still\s+|definitely\s+|usually\s+|sometimes\s+)?(?:loves|likes|enjoys|prefers|adores)\s+([^.!?\n]+)", " enjoys "),
+    (r"(?i)^([A-Z][a-z]+)\s+is\s+(?:a fan of|into|keen on|interested in|passionate about)\s+([^.!?\n]+)", " is interested in "),
+    (r"(?i)^([A-Z][a-z]+)\s+(?:wants|hopes|plans|dreams)\s+to\s+([^.!?\n]+)", " wants to "),
+)
+CLAUSE_END = r"(?s)\b(?:because|since|while|but|and|so|though)\b.*$"
+# (words in what one speaker says, what they tell about the other)
+PRAISE = (
+    (r"you're so thoughtful|you are so thoughtful", " is thoughtful"),
+    (r"your drive|drive to help", " is driven"),
+    (r"being real|authentic", " is authentic"),
+    (r"helping others|caring heart", " is caring"),
+)
+# (words of a line, words that exclude, what they tell about its subject)
+HINTS = (
+    (r"camping|campfire|meteor shower|hiking|forest|mountains", "", " enjoys outdoor activities, nature, camping, hiking, and national parks"),
+    (r"nature|outdoors", r"camping|campfire|meteor shower|hiking|forest|mountains", " enjoys outdoor activities and nature"),
+    (r"classical|bach|mozart|orchestra|symphony", "", " enjoys classical music and composers like Vivaldi"),
+    (r"(?s)dr\. seuss|children's books|kids' books|kids books|classic.*book|book.*classic", "", " collects children's books and classic books"),
+    (r"counseling|mental health", "", " is interested in counseling and mental health careers"),
+    (r"volunteer|shelter|make a difference|help others|community service", "", " values helping others and community service"),
+    (r"church|faith|cross necklace|spiritual|prayer", "", " has religious or spiritual beliefs"),
+    (r"serve my country|join the military|running for office|policymaking|veteran", "", " is patriotic and interested in public service"),
+    (r"adoption|have a family|having a family|kids who need it", "", " wants a family and cares about children"),
+    (r"lgbtq|transgender|rights|acceptance|supportive community", "", " supports LGBTQ rights and acceptance"),
+)
+
+# Code, errors and decisions named in a text.
+IMPORTED = r"(?:^|\n)\s*import\s+([\w.]+)"
+FROM_IMPORT = r"(?:^|\n)\s*from\s+([\w.]+)\s+import\s+([\w, ]+)"
+DEFINED = r"\bdef\s+(\w+)\s*\("
+CALLED = r"\b(\w+)\s*\("
+ERROR_FIXED = r"(?i)(?:fix(?:ed)?|resolv(?:ed|e|ing)|solved?)\s+(?:the\s+)?(\w*(?:Error|Exception|error|bug|issue))"
+DECIDED = r"(?i)decided\s+to\s+use\s+(\w+(?:\s+\w+){0,2})\s+instead\s+of\s+(\w+(?:\s+\w+){0,2})"
+CODE_SUFFIX = r"\.(?:py|js|ts|tsx|jsx|go|rs|java|c|h|cpp|rb|toml|yaml|yml|json|md|txt|cfg|ini|sh|css|html|sql|proto)$"
+TRACEBACK = r"(Traceback) \(most recent call last\)"
+FUNCTION_WORD = r"\bfunction\s+(\w+)"
+REQUIRED = r"require\(['\"]([^'\"]+)['\"]\)"
+DECISION_SPAN = r"(?i)((?:decided|chose|choosing|using|switched to|migrated to|replaced with)\s+\w+(?:\s+\w+){0,3})"

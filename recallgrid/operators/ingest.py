@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from recallgrid.functions import extract as X
 from recallgrid.functions import patterns as P
 from recallgrid.functions import scoring as S
-from recallgrid.operators.relate import embed
+from recallgrid.operators.relate import embed, mentions
 
+# What the write gate always lets pass.
+PASS_ERRORS = r"(?i)\b(error|exception|traceback|failed|bug|crash)\b"
+PASS_DECISIONS = r"(?i)\b(decided|chose|switched to|migrated|architecture)\b"
+PASS_TAGS = ("important", "critical")
 BYPASS_TAGS = ("important", "remember", "decision", "critical")
 
 
@@ -53,6 +57,62 @@ def nearest_known(batch: DataFrame, known: DataFrame, block: int = 1024) -> Data
     return top.select("id", (-F.col("m.n")).alias("near_id"), F.col("m.cosine").alias("cosine"))
 
 
+def _nearest_anywhere(batch: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """``nearest_known`` over all directories."""
+    everywhere = lambda rows: rows.select(F.col("id").alias("id"), F.lit("").alias("directory"), F.col("embedding").alias("embedding"))
+    return nearest_known(everywhere(batch), everywhere(known), block)
+
+
+def curate(batch: DataFrame, known: DataFrame, merge: float = 0.85, link: float = 0.6, overlap: float = 0.5, block: int = 1024) -> DataFrame:
+    """The batch with action, near_id and cosine: ``merge`` where the nearest known row is that similar and shares more than
+    ``overlap`` of the words, ``link`` from ``link`` on, else ``create``. Rows of both: id, content, embedding.
+    """
+    near = _nearest_anywhere(batch, known, block)
+    texts = known.select(F.col("id").alias("near_id"), F.col("content").alias("_near"))
+    words = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"))
+    shared = S.jaccard(words(F.col("content")), words(F.col("_near")))
+    action = F.when((F.col("cosine") >= merge) & (shared > overlap), "merge").when(F.col("cosine") >= link, "link").otherwise("create")
+    rows = batch.join(near, "id", "left").join(texts, "near_id", "left").withColumn("action", action).drop("_near")
+    return rows.withColumn("near_id", F.when(F.col("action") != "create", F.col("near_id")))
+
+
+def write_gate(batch: DataFrame, known: DataFrame, names: DataFrame, relations: DataFrame, now: Column, continuity: Column | None = None, block: int = 1024) -> DataFrame:
+    """id, vector, entity, topic, structure (four novelties), surprisal, stored and reason of each new row.
+
+    batch: id, content, directory, tags, embedding; known: the same with heat and created_at. names: known entity names;
+    relations: known kinds of relations (``context``). A row of a directory without known rows has surprisal 0.8. Topic
+    novelty is 0.1, 0.3 or 0.7 by the hours since a known row of some heat held one of the row's names. Errors, decisions
+    and marked tags pass; others need a surprisal of 0.4, lowered by 0.15 of the task's continuity (0 to 1), at least 0.1.
+    """
+    found = X.typed_entities(batch, "id", "content")
+    listed = names.select("name").distinct()
+    kinds = relations.select("context").distinct().withColumn("_old", F.lit(True))
+    judged = found.join(listed.withColumn("_known", F.lit(True)), "name", "left").join(F.broadcast(kinds), "context", "left")  # kinds of relations: a fixed few
+    own = judged.groupBy("id").agg(
+        F.avg(F.when(F.col("_known"), 0.0).otherwise(1.0)).alias("entity"), F.max((F.col("context") != "") & F.col("_old").isNull()).alias("_new")
+    )
+    spoken = found.select("id", "name").unionAll(mentions(batch, listed)).distinct()
+    every = listed.unionAll(found.select("name")).distinct()
+    latest = mentions(known.where("heat > 0"), every).join(known.select("id", "created_at"), "id").groupBy("name").agg(F.max("created_at").alias("seen"))
+    seen = spoken.join(latest, "name").groupBy("id").agg(F.max("seen").alias("seen"))
+    places = known.select("directory").distinct().withColumn("_place", F.lit(True))
+    rows = batch.join(_nearest_anywhere(batch, known, block).select("id", "cosine"), "id", "left").join(own, "id", "left").join(seen, "id", "left").join(places, "directory", "left")
+    hours = S.hours_between(F.col("seen"), now)
+    signals = {
+        "vector": F.when(F.col("cosine").isNull(), 0.8).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("cosine")))),
+        "entity": F.coalesce("entity", F.lit(0.5)),
+        "topic": F.when(F.col("seen").isNull(), 0.7).when(hours < 1, 0.1).when(hours < 24, 0.3).otherwise(0.7),
+        "structure": F.when(F.col("_new"), 0.8).otherwise(0.2),
+    }
+    rows = rows.withColumns(signals)
+    weighted = 0.4 * F.col("vector") + 0.25 * F.col("entity") + 0.2 * F.col("topic") + 0.15 * F.col("structure")
+    surprisal = F.round(F.when(F.col("_place"), weighted).otherwise(0.8), 6)
+    least = F.greatest(F.lit(0.1), 0.4 - 0.15 * (F.lit(0.0) if continuity is None else continuity))
+    marked = F.arrays_overlap(F.transform("tags", lambda t: F.lower(t)), F.array(*map(F.lit, PASS_TAGS)))
+    reason = F.when(F.col("content").rlike(PASS_ERRORS), "error").when(F.col("content").rlike(PASS_DECISIONS), "decision").when(marked, "tag").when(F.col("surprisal") >= least, "surprising").otherwise("expected")
+    return rows.withColumn("surprisal", surprisal).withColumn("reason", reason).select("id", "vector", "entity", "topic", "structure", "surprisal", (F.col("reason") != "expected").alias("stored"), "reason")
+
+
 def remember(batch: DataFrame, known: DataFrame, now: Column, gate: float = 0.25, merge: float = 0.85, link: float = 0.6, encoder=None) -> DataFrame:
     """The batch with embedding, importance, valence, class, domains, surprise, surprisal, action and near_id.
 

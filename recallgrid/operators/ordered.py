@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -68,25 +69,43 @@ def slots(stores: DataFrame, n_slots: int = 100, half_life: float = 6.0, boost:
     ordered = rows.repartition("agent").sortWithinPartitions("agent", "us", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, level, seen, held = None, None, None, None
+        last, state = None, None
         for batch in batches:
             got = []
             for agent, us in zip(batch["agent"], batch["us"], strict=True):
                 if agent != last:
-                    last, level, seen, held = agent, np.zeros(n_slots), np.full(n_slots, us, np.int64), np.zeros(n_slots, np.int64)
-                now = level * 2.0 ** (-np.maximum(us - seen, 0) / 3.6e9 / half_life)
-                slot = int(now.argmax())
-                got.append((slot, held[slot]))
-                held[slot] += 1
-                level[slot], seen[slot] = min(1.0, now[slot] + boost), us
-                for d in (*range(-reach, 0), *range(1, reach + 1)):
-                    if 0 <= slot + d < n_slots:
-                        level[slot + d], seen[slot + d] = max(0.0, now[slot + d] - inhibit), us
+                    last, state = agent, SlotState.new(n_slots, us)
+                got.append(state.take(us, half_life, boost, inhibit, reach))
             yield pd.DataFrame({"agent": batch["agent"], "id": batch["id"], "slot": [s for s, _ in got], "linked": [n for _, n in got]})
 
     return ordered.mapInPandas(run, "agent string, id long, slot long, linked long")
 
 
+@dataclass
+class SlotState:
+    """Excitability of an agent's slots as of ``seen`` (microseconds), and the number of stores that each holds."""
+
+    level: np.ndarray
+    seen: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def new(cls, n_slots: int, us: int) -> SlotState:
+        return cls(np.zeros(n_slots), np.full(n_slots, us, np.int64), np.zeros(n_slots, np.int64))
+
+    def take(self, us: int, half_life: float, boost: float, inhibit: float, reach: int) -> tuple[int, int]:
+        """(slot, its earlier stores) of a store at ``us``; the slot rises and its neighbours sink."""
+        now = self.level * 2.0 ** (-np.maximum(us - self.seen, 0) / 3.6e9 / half_life)
+        slot = int(now.argmax())
+        linked = int(self.held[slot])
+        self.held[slot] += 1
+        self.level[slot], self.seen[slot] = min(1.0, now[slot] + boost), us
+        for d in (*range(-reach, 0), *range(1, reach + 1)):
+            if 0 <= slot + d < len(self.level):
+                self.level[slot + d], self.seen[slot + d] = max(0.0, now[slot + d] - inhibit), us
+        return slot, linked
+
+
 def atom(name: str, dims: int) -> np.ndarray:
     """A fixed bipolar vector of a name: signs from a generator seeded by its CRC, the same in every process."""
     return np.random.default_rng(zlib.crc32(name.encode())).integers(0, 2, dims, dtype=np.int8) * 2 - 1

@@ -35,6 +35,25 @@ def nearest_batch(memories: DataFrame, queries: list[tuple[int, list[float]]], k
     return top_by(pairs, ["query_id"], k, "similarity")
 
 
+LEVEL_WEIGHTS = ((10, (0.3, 0.5, 1.0)), (31, (1.0, 1.0, 1.0)), (None, (1.0, 0.5, 0.3)))  # fixed values: fewer words than this, weights of levels 0, 1, 2
+
+
+def tree(memories: DataFrame, query: list[float], text: str, keys: tuple[str, str], k: int = 10, vector: str = "embedding") -> DataFrame:
+    """(level, item, score): the k best memories, clusters and super-clusters (by the two ``keys``), each level weighted by
+    the number of words of the query: short ones prefer the broad levels, long ones the memories.
+    """
+    weights = next(w for below, w in LEVEL_WEIGHTS if below is None or len(text.split()) < below)
+    q = F.array(*(F.lit(float(x)) for x in query))
+    levels = [memories.where(F.col(vector).isNotNull()).select(F.col("id").cast("string").alias("item"), F.round(weights[0] * V.similarity(F.col(vector), q), 6).alias("score"))]
+    for key, weight in zip(keys, weights[1:], strict=True):
+        levels.append(V.centroid(memories, [key], vector, unit=False).select(F.col(key).cast("string").alias("item"), F.round(weight * V.cosine(F.col("centroid"), q), 6).alias("score")))
+    out = None
+    for level, rows in enumerate(levels):
+        best = top(rows, k, "score", "item").select(F.lit(level).alias("level"), "item", "score")
+        out = best if out is None else out.unionAll(best)
+    return out
+
+
 def postings(docs: DataFrame, text: str = "content") -> DataFrame:
     """(term, id, tf, dl): the inverted index. A hot term's rows are many but never meet in one group."""
     words = docs.select("id", tokens(F.col(text)).alias("w"))

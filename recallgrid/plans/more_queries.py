@@ -9,10 +9,11 @@ from recallgrid.functions import expansions as E
 from recallgrid.functions import extract as X
 from recallgrid.functions import patterns as P
 from recallgrid.functions import queries as Q
+from recallgrid.functions import subqueries as U
 from recallgrid.functions import vectors as V
-from recallgrid.operators import causal, graph, ingest, maintain, ordered, relate, rerank, search
-from recallgrid.plans.frames import EDGE_SQL, edges, memories, now, quoted, table
-from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, query, r6
+from recallgrid.operators import causal, graph, ingest, jobs, maintain, ordered, relate, rerank, search
+from recallgrid.plans.frames import EDGE_SQL, HOURS_SQL, edges, memories, now, quoted, table
+from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DIST_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, query, r6
 from recallgrid.plans.memory_queries import _domain_sql as DOMAIN_SQL
 
 q = quoted
@@ -21,23 +22,34 @@ static = lambda: F.array(*map(F.lit, STATIC))
 ASKED = (
     "What is the parser?", "When did we deploy v2?", "fix the login bug", "relationship of orders and parts", "hello world", "the big red fox", "one two three four five six",
     "Would Alice like this?", "who wrote it", "How does the retrieval system work?", "Why is it slow?", "Can we ship it?", "meeting last week", "Is Bob here?",
+    "Would Carol prefer a quiet beach or the old mountain cabin?", "Is Dana going to a national park or theme park, or home?", "What are Alice's plans?",
+    "Does Erin enjoy classical music like Vivaldi?", "what kind of degree does Frank want", "which one is it.",
 )
 ASKED_SQL = "asked(id, text) AS (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(ASKED)) + ")"
 _any_sql = lambda keys: "(" + " OR ".join(f"contains(low, {q(k.lower())})" for k in keys) + ")"
 
 
+_word_sql = lambda text: f"regexp_extract_all({text}, {q(U.WORD)})"
+_listed = lambda words: ", ".join(map(q, words))
+_bare_words = f"lambda x: x NOT IN {P.ARTICLES}"
+OPTION_SQL = f"""ow AS (SELECT id, {_word_sql('lower(text)')} AS w FROM asked), oi AS (SELECT * FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM ow) WHERE w[i] = 'or'),
+  ob AS (SELECT id, 2 * i AS place, list_filter(list_reverse(w[1:i - 1]), {_bare_words}) AS b FROM oi UNION ALL SELECT id, 2 * i + 1, list_filter(w[i + 1:len(w)], {_bare_words}) FROM oi),
+  os AS (SELECT id, place, list_slice(b, 1, least(3, coalesce(nullif(list_position(list_transform(b, lambda x: x IN ({_listed(P.QUERY_STOPS + P.OPTION_STOPS)})), true), 0), len(b) + 1) - 1)) AS b FROM ob),
+  opt AS (SELECT * FROM (SELECT id, o, min(place) AS place, row_number() OVER (PARTITION BY id ORDER BY min(place)) AS r FROM (SELECT id, place, array_to_string(CASE WHEN place % 2 = 0 THEN list_reverse(b) ELSE b END, ' ') AS o FROM os) WHERE o <> '' GROUP BY id, o) WHERE r <= 2)"""
+
+
 def _asked(spark):
     return spark.createDataFrame(list(enumerate(ASKED)), "id int, text string")
 
 
-@query("h9_query_kind", f"""WITH {ASKED_SQL}, w AS (SELECT id, trim(lower(text)) AS low, string_split_regex(trim(lower(text)), '\\s+') AS w FROM asked)
-  SELECT id, CASE WHEN {_any_sql(P.TEMPORAL_KEYS)} THEN 'temporal' WHEN (list_has_any(w, {list(P.MODAL_WORDS)}) AND {_any_sql(P.RELATION_KEYS)}) OR regexp_matches(low, '^(?:would|could|might) ') THEN 'open_domain'
+@query("h9_query_kind", f"""WITH {ASKED_SQL}, {OPTION_SQL}, w AS (SELECT id, trim(lower(text)) AS low, string_split_regex(trim(lower(text)), '\\s+') AS w FROM asked)
+  SELECT id, CASE WHEN {_any_sql(P.TEMPORAL_KEYS)} THEN 'temporal' WHEN {_any_sql(P.CUE_PHRASES)} OR {_any_sql([t for t, _ in P.TOPICS])} OR id IN (SELECT id FROM opt) OR (list_has_any(w, {list(P.MODAL_WORDS)}) AND {_any_sql(P.RELATION_KEYS)}) OR regexp_matches(low, '^(?:would|could|might) ') THEN 'open_domain'
   WHEN list_has_any(w, {list(P.QUESTION_WORDS)}) THEN 'factoid' WHEN {_any_sql(P.CODE_KEYS)} THEN 'code' WHEN {_any_sql(P.RELATION_KEYS)} THEN 'relational' WHEN len(w) <= 2 THEN 'keyword' WHEN len(w) < 5 THEN 'simple' ELSE 'complex' END AS kind FROM w""", "")
 def _(spark, d):
     return _asked(spark).select("id", Q.kind(c("text")).alias("kind"))
 
 
-_statement_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN trim(regexp_replace(regexp_replace(t, {q(p)}, {q(chr(92) + '1' + a)}), '[?.!]+$', ''))" for p, a in P.STATEMENTS) + " ELSE rtrim(regexp_replace(t, '[?.!]+$', '')) END"
+_statement_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN trim(regexp_replace(regexp_replace(t, {q(p)}, {q(chr(92) + '1' + a)}), '[?.!]+$', ''))" for p, a in P.STATEMENTS) + f""" ELSE CASE WHEN regexp_matches(t, {q(Q.LEAD)}) AND trim(regexp_replace(regexp_replace(t, {q(Q.LEAD)}, ''), '[?.!]+$', '')) <> '' THEN trim(regexp_replace(regexp_replace(t, {q(Q.LEAD)}, ''), '[?.!]+$', '')) ELSE trim(regexp_replace(t, '[?]+$', '')) END END"""
 
 
 @query("h6_statement", f"WITH {ASKED_SQL}, t AS (SELECT id, trim(text) AS t FROM asked) SELECT id, {_statement_sql} AS statement FROM t", "")
@@ -45,6 +57,35 @@ def _(spark, d):
     return _asked(spark).select("id", Q.statement(c("text")).alias("statement"))
 
 
+_plain_sql = "trim(regexp_replace(trim(text), '[?]+$', ''))"
+_confirmed_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN regexp_replace(t, {q(p)}, {q(chr(92) + '1' + v + chr(92) + '2')})" for p, v in P.CONFIRMED) + f" ELSE regexp_replace(t, {q(P.CONFIRM_LEAD)}, '') END"
+
+
+@query("h7_confirmed", f"WITH {ASKED_SQL}, t AS (SELECT id, {_plain_sql} AS t FROM asked) SELECT id, {_confirmed_sql} AS statement FROM t", "")
+def _(spark, d):
+    return _asked(spark).select("id", U.confirmed(c("text")).alias("statement"))
+
+
+@query("h8_content_terms", f"WITH {ASKED_SQL}, w AS (SELECT id, list_filter({_word_sql('text')}, lambda x: length(x) >= 3 AND lower(x) NOT IN ({_listed(P.QUERY_STOPS)})) AS w FROM asked), l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w) SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(l, lower(x)) = i), ' ') AS terms FROM l", "")
+def _(spark, d):
+    return _asked(spark).select("id", F.array_join(U.content_terms(c("text")), " ").alias("terms"))
+
+
+@query("h8_options", f"WITH {ASKED_SQL}, {OPTION_SQL} SELECT asked.id, coalesce(string_agg(o, '; ' ORDER BY r), '') AS options FROM asked LEFT JOIN opt ON asked.id = opt.id GROUP BY asked.id", "")
+def _(spark, d):
+    return _asked(spark).select("id", F.array_join(U.options(c("text")), "; ").alias("options"))
+
+
+@query("h10_subqueries")
+def _(spark, d):
+    return _asked(spark).select("id", F.explode(U.subqueries(c("text"), Q.statement(c("text")))).alias("subquery"))
+
+
+@query("h10_implied_facts")
+def _(spark, d):
+    return memories(spark, d).select("id", F.explode(U.implied_facts(F.regexp_replace("content", r"([.!?])\s+", "$1\n"))).alias("fact"))
+
+
 _cut_sql = r"string_split_regex(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '[_.]', ' ', 'g'), '\s+')"
 _bare_sql = rf"""list_transform({_cut_sql}, lambda t: regexp_replace(t, '^[?!,;:()\[\]{{}}"'']+|[?!,;:()\[\]{{}}"'']+$', '', 'g'))"""
 
@@ -120,6 +161,15 @@ def _(m):
     return search.top(own.join(centre, "label").select("id", r6(0.3 * c("s0") + 0.5 * c("s1"), "score")), 20, "score")
 
 
+_level_sql = lambda key: f"(SELECT {key} AS k, list(x ORDER BY pos) AS v FROM (SELECT {key}, pos, avg(x) AS x FROM (SELECT {key}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL) GROUP BY {key})"
+
+
+@over_memories("i16_tree_levels", f""", s AS (SELECT 0 AS level, id::VARCHAR AS item, round(0.3 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS score FROM mem UNION ALL SELECT 1, k::VARCHAR, round(0.5 * {COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('label')} UNION ALL SELECT 2, k::VARCHAR, round({COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('directory')})
+  SELECT level, item, score FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, item) AS r FROM s) WHERE r <= 10""")
+def _(m):
+    return search.tree(m, STATIC, "where is the parser", ("label", "directory"))
+
+
 @over_memories("i9_auto_recall", """, s AS (SELECT id, directory, heat, importance FROM mem WHERE regexp_matches(lower(content), 'parser|postgres')) SELECT id, round(importance * CASE WHEN directory = '/src/src3' THEN 1.5 ELSE 1 END * (1 + heat), 6) AS score FROM s ORDER BY score DESC, id LIMIT 15""")
 def _(m):
     hit = m.where(F.lower("content").rlike("parser|postgres"))
@@ -138,16 +188,57 @@ def _(m):
     return search.top_by(s, ["store_type"], 10, "score").drop("rank")
 
 
-@over_memories("i24_curation", f"""SELECT id, CASE WHEN cos >= 0.3 AND heat > 0.5 THEN 'merge' WHEN cos >= 0.15 THEN 'link' ELSE 'create' END AS action FROM (SELECT id, heat, round({COS_SQL}, 6) AS cos FROM mem)""")
+KNOWN_SQL = f""", b AS (SELECT * FROM mem WHERE store_type = 'episodic'), k AS (SELECT * FROM mem WHERE store_type = 'semantic'),
+  cs AS (SELECT b.id, k.id AS near, round({DOT_SQL.format(a='b.embedding', b='k.embedding')} / sqrt({DOT_SQL.format(a='b.embedding', b='b.embedding')}) / sqrt({DOT_SQL.format(a='k.embedding', b='k.embedding')}), 6) AS cosine FROM b, k),
+  nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, near) AS r FROM cs) WHERE r = 1)"""
+
+
+def _new_and_known(m):
+    return m.where("store_type = 'episodic'"), m.where("store_type = 'semantic'")
+
+
+_set_sql = r"list_distinct(string_split_regex(lower({}), '\s+'))"
+
+
+@over_memories("i24_curation", KNOWN_SQL + f""" SELECT b.id, CASE WHEN cosine >= 0.35 AND len(list_intersect({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))::DOUBLE / len(list_distinct(list_concat({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))) > 0.02 THEN 'merge'
+  WHEN cosine >= 0.3 THEN 'link' ELSE 'create' END AS action, CASE WHEN cosine >= 0.3 THEN near END AS near_id FROM b JOIN nr USING (id) JOIN k ON k.id = nr.near""")
 def _(m):
-    cos = F.round(V.cosine(c("embedding"), static()), 6)
-    return m.select("id", F.when((cos >= 0.3) & (c("heat") > 0.5), "merge").when(cos >= 0.15, "link").otherwise("create").alias("action"))
+    return ingest.curate(*_new_and_known(m), merge=0.35, link=0.3, overlap=0.02).select("id", "action", "near_id")
+
+
+TYPED_SQL = f"""SELECT id, unnest(regexp_extract_all(content, {q(P.FROM_IMPORT)}, 1)) AS name, 'dependency' AS kind, '' AS context FROM {{t}}
+  UNION SELECT id, n, 'function', 'imports' FROM (SELECT id, trim(unnest(string_split(l, ','))) AS n FROM (SELECT id, unnest(regexp_extract_all(content, {q(P.FROM_IMPORT)}, 2)) AS l FROM {{t}})) WHERE n <> ''
+  UNION SELECT id, unnest(regexp_extract_all(content, {q(P.IMPORTED)}, 1)), 'dependency', '' FROM {{t}}
+  UNION SELECT id, unnest(regexp_extract_all(content, {q(P.DEFINED)}, 1)), 'function', '' FROM {{t}}
+  UNION SELECT id, unnest(list_intersect(regexp_extract_all(content, {q(P.DEFINED)}, 1), flatten(list_transform(list_filter(string_split(content, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*def ')), lambda l: regexp_extract_all(l, {q(P.CALLED)}, 1))))), 'function', 'calls' FROM {{t}}
+  UNION SELECT id, unnest(regexp_extract_all(content, {q(P.ERROR_FIXED)}, 1)), 'error', 'resolved_by' FROM {{t}}
+  UNION SELECT id, unnest(regexp_extract_all(content, {q(P.DECIDED)}, 1)), 'decision', 'decided_to_use' FROM {{t}}
+  UNION SELECT id, unnest(regexp_extract_all(content, {q(P.DECIDED)}, 2)), 'decision', 'decided_to_use' FROM {{t}}""".replace("{{", "{").replace("}}", "}")
+_typed_sql = lambda t: TYPED_SQL.replace("{t}", t)
 
 
-@over_memories("h29_write_gate", f"""SELECT id, round(0.4 * (1 - greatest(0, {COS_SQL})) + 0.25 * surprise + 0.2 * CASE WHEN list_contains(tags, 'standard') THEN 0 ELSE 1 END + 0.15 * (1 - heat), 6) AS surprisal FROM mem""")
+@over_memories("h11_typed_entities", ", t AS (" + _typed_sql("mem") + ") SELECT DISTINCT id, name, kind, context FROM t")
 def _(m):
-    novelty = 1 - F.greatest(F.lit(0.0), V.cosine(c("embedding"), static()))
-    return m.select("id", r6(0.4 * novelty + 0.25 * c("surprise") + 0.2 * F.when(F.array_contains("tags", "standard"), 0.0).otherwise(1.0) + 0.15 * (1 - c("heat")), "surprisal"))
+    return X.typed_entities(m, "id", "content")
+
+
+GATE_SQL = KNOWN_SQL + f""", eb AS MATERIALIZED ({_typed_sql('b')}), ek AS MATERIALIZED ({_typed_sql('k')}), nm AS (SELECT DISTINCT name FROM ek), rel AS (SELECT DISTINCT context FROM ek WHERE context <> ''),
+  wd AS (SELECT id, store_type, heat, created_at, lower(content) AS low, unnest(list_distinct(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}_]+'))) AS word FROM mem),
+  an AS (SELECT name, regexp_extract(lower(name), '[\\p{{L}}\\p{{N}}_]+') AS word FROM (SELECT name FROM nm UNION SELECT name FROM eb)),
+  mn AS (SELECT wd.*, name FROM wd JOIN an USING (word) WHERE contains(low, lower(name))),
+  lt AS (SELECT name, max(created_at) AS seen FROM mn WHERE store_type = 'semantic' AND heat > 0 GROUP BY name),
+  bn AS (SELECT id, name FROM eb UNION SELECT id, name FROM mn WHERE store_type = 'episodic' AND name IN (FROM nm)),
+  tm AS (SELECT id, max(seen) AS seen FROM bn JOIN lt USING (name) GROUP BY id),
+  en AS (SELECT id, sum(CASE WHEN name IN (FROM nm) THEN 0 ELSE 1 END)::DOUBLE / count(*) AS fresh, bool_or(context <> '' AND context NOT IN (FROM rel)) AS novel FROM eb GROUP BY id),
+  g AS (SELECT b.id, greatest(0, least(1, 1 - cosine)) AS vector, coalesce(fresh, 0.5) AS names, CASE WHEN seen IS NULL THEN 0.7 WHEN {HOURS_SQL.format('seen')} < 1 THEN 0.1 WHEN {HOURS_SQL.format('seen')} < 24 THEN 0.3 ELSE 0.7 END AS topic, CASE WHEN coalesce(novel, false) THEN 0.8 ELSE 0.2 END AS structure,
+    b.directory IN (SELECT directory FROM k) AS known FROM b JOIN nr USING (id) LEFT JOIN en USING (id) LEFT JOIN tm USING (id))"""
+
+
+@over_memories("h29_write_gate", GATE_SQL + " SELECT id, round(CASE WHEN known THEN 0.4 * vector + 0.25 * names + 0.2 * topic + 0.15 * structure ELSE 0.8 END, 6) AS surprisal FROM g")
+def _(m):
+    new, known = _new_and_known(m)
+    typed = X.typed_entities(known, "id", "content")
+    return ingest.write_gate(new, known, typed.select("name").distinct(), typed.where("context <> ''").select("context").distinct(), now()).select("id", "surprisal")
 
 
 @over_memories("h22_content_merge", "SELECT id, CASE WHEN length(content) + length(text) + 1 > 2000 THEN substr(content, 1, 500) || chr(10) || substr(text, 1, 500) ELSE content || chr(10) || text END AS merged FROM mem")
@@ -273,6 +364,24 @@ def _(spark, d):
     return maintain.cycle(memories(spark, d), now()).select("id", r6(c("heat"), "heat"), r6(c("importance"), "importance"), "store_type")
 
 
+@query("i29_consolidation")
+def _(spark, d):
+    new, stats = jobs.consolidate(_bundle(spark, d), now(), similar=0.35)
+    return stats
+
+
+@query("i29_sleep")
+def _(spark, d):
+    new, stats = jobs.sleep(_bundle(spark, d), now())
+    return stats
+
+
+def _bundle(spark, d):
+    e = table(spark, d, "events")
+    heat = table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("id"), (c("n_nationkey") * 37 % 100 / F.lit(1e2)).alias("heat"))
+    return {"memories": memories(spark, d), "edges": edges(spark, d), "heat": heat, "actions": e.select("user_id", "ts", "event_type")}
+
+
 @query("i14_communities")
 def _(spark, d):
     return graph.communities(edges(spark, d))

@@ -1,13 +1,17 @@
-"""Keyed state on streams: triggers that fire a limited number of times."""
+"""Keyed state on streams: limited triggers, episode rotation, cooldowns, excitable slots, recent stores."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallgrid.operators.ordered import SlotState
+
 
 def limited(fired: DataFrame, most: int = 5) -> DataFrame:
     """(trigger_id, id, count) of a stream of (trigger_id, id): each trigger's first ``most`` firings, by id within a batch."""
@@ -52,3 +56,46 @@ def every(calls: DataFrame, n: int = 50) -> DataFrame:
         yield rows.loc[rows["count"] % n == 0, ["key", "id", "count"]]
 
     return calls.groupBy("key").applyInPandasWithState(run, "key string, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def slotted(stores: DataFrame, n_slots: int = 100, half_life: float = 6.0, boost: float = 0.5, inhibit: float = 0.2, reach: int = 2) -> DataFrame:
+    """(agent, id, slot, linked) of a stream of (agent, id, us): ``ordered.slots`` with the state kept between batches.
+
+    us: microseconds. Stores of a batch are taken in (us, id) order, batches in order. State: three numbers for each slot.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "id"], ignore_index=True)
+        if state.exists:
+            slots = SlotState(*(np.array(v, t) for v, t in zip(json.loads(state.get[0]), (float, np.int64, np.int64), strict=True)))
+        else:
+            slots = SlotState.new(n_slots, int(rows["us"].iloc[0]))
+        got = [slots.take(int(us), half_life, boost, inhibit, reach) for us in rows["us"]]
+        state.update((json.dumps([slots.level.tolist(), slots.seen.tolist(), slots.held.tolist()]),))
+        yield pd.DataFrame({"agent": key[0], "id": rows["id"], "slot": [s for s, _ in got], "linked": [n for _, n in got]})
+
+    return stores.groupBy("agent").applyInPandasWithState(run, "agent string, id long, slot long, linked long", "slots string", "append", GroupStateTimeout.NoTimeout)
+
+
+def continued(stores: DataFrame, most: int = 10, hour_us: int = 3_600_000_000) -> DataFrame:
+    """(session_id, id, continuity) of a stream of (session_id, id, us, directory, embedding).
+
+    Continuity with the session's last ``most`` stores: 0.3 for their share in the same directory, 0.3 for their share
+    within the hour before, 0.4 for the best cosine; 0 for the first store. It lowers the threshold of the write gate.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent = json.loads(state.get[0]) if state.exists else []
+        rows, out = pd.concat(list(batches), ignore_index=True).sort_values(["us", "id"], ignore_index=True), []
+        for us, directory, vector in zip(rows["us"], rows["directory"], rows["embedding"], strict=True):
+            v = np.asarray(vector if vector is not None else [], float)
+            v = v / max(np.linalg.norm(v), 1e-12)
+            near = [float(v @ np.array(r[2])) for r in recent if len(r[2]) == len(v)]
+            n = max(len(recent), 1)
+            score = 0.3 * sum(r[1] == directory for r in recent) / n + 0.3 * sum(us - r[0] < hour_us for r in recent) / n + 0.4 * max(near, default=0.0)
+            out.append(round(min(1.0, score), 6))
+            recent = [*recent, [int(us), directory, v.tolist()]][-most:]
+        state.update((json.dumps(recent),))
+        yield pd.DataFrame({"session_id": key[0], "id": rows["id"], "continuity": out})
+
+    return stores.groupBy("session_id").applyInPandasWithState(run, "session_id long, id long, continuity double", "recent string", "append", GroupStateTimeout.NoTimeout)
