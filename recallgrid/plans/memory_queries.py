@@ -279,7 +279,7 @@ def _(m):
     return X.times(m, "id", "content")
 
 
-@over_memories("h11_entities", ", t AS (" + " UNION ".join(f"SELECT DISTINCT id, unnest(regexp_extract_all(content, {q(p)}, 1)) AS name, '{k}' AS kind FROM mem" for k, p in X.ENTITY_FORMS) + f") SELECT DISTINCT id, name, kind FROM t WHERE kind <> 'file' OR regexp_matches(name, {q(P.CODE_SUFFIX)})")
+@over_memories("h12_entities", ", t AS (" + " UNION ".join(f"SELECT DISTINCT id, unnest(regexp_extract_all(content, {q(p)}, 1)) AS name, '{k}' AS kind FROM mem" for k, p in X.ENTITY_FORMS) + f") SELECT DISTINCT id, name, kind FROM t WHERE kind <> 'file' OR regexp_matches(name, {q(P.CODE_SUFFIX)})")
 def _(m):
     return X.entities(m, "id", "content")
 

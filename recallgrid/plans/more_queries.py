@@ -217,7 +217,7 @@ TYPED_SQL = f"""SELECT id, unnest(regexp_extract_all(content, {q(P.FROM_IMPORT)}
 _typed_sql = lambda t: TYPED_SQL.replace("{t}", t)
 
 
-@over_memories("h11_typed_entities", ", t AS (" + _typed_sql("mem") + ") SELECT DISTINCT id, name, kind, context FROM t")
+@over_memories("h11_entities", ", t AS (" + _typed_sql("mem") + ") SELECT DISTINCT id, name, kind, context FROM t")
 def _(m):
     return X.typed_entities(m, "id", "content")
 
