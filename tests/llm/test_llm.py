@@ -373,6 +373,18 @@ def test_url_rules_and_templates(spark):
     assert len(by) == 1
 
 
+def test_url_method_needs_labels_of_its_own(spark):
+    blocked = [(i, f"x://a.com/en/{i}") for i in range(40)]
+    clean = [(200, "x://clean.info/about/us"), (201, "x://a.com/de/page"), (202, None)]
+    rules = (*urls.RULES, ("allow", "good.info", "/in/1"), ("block", "bad.info", "/in/1"))
+    near = [(300, "x://good.info/in/1"), (301, "x://good.info/in/2"), (400, "x://bad.info/in/1"), (401, "x://bad.info/in/2")]
+    got = urls.judge(spark.createDataFrame(blocked + clean + near, "page_id long, url string"), rules).collect()
+    seen = {r.page_id: (r.rule, r.verdict) for r in got}
+    assert all(seen[i][1] == "block" for i, _ in blocked)
+    assert seen[200] == seen[201] == seen[202] == (None, "allow")
+    assert seen[301] == (None, "allow") and seen[401] == (None, "block")
+
+
 def test_perspectives(spark):
     turns = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 300, "bob", "late"), (2, 0, None, "x"), (3, 0, "system", "only"), (None, 1, "a", "b"), (1, 1, "ann", "hi")]
     got = chat.perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
