@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 class Rule:
     """pattern: over words between single spaces; it must not take the space before or after. Order in the list breaks ties.
 
-    A rule runs only where the words hold ``keyword`` at the start of a word, and ``also`` anywhere.
+    A rule runs only where the words hold ``keyword`` at the start of a word, and ``also`` anywhere; so every text that
+    the pattern matches must hold both.
     """
 
     label: str
@@ -30,13 +31,19 @@ class Rule:
 # The base phrases.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-# (label, keyword, name pattern, whether the bare name with "license" is enough).
+# (label, keyword, name pattern, whether the bare name with "license" is enough); names without a common keyword are apart.
 FAMILIES = (
-    ("mit", "mit ", r"(?:mit|expat|x11)", True),
+    ("mit", "mit ", r"mit", True),
+    ("mit", "expat ", r"expat", True),
+    ("mit", "x11 ", r"x11", True),
     ("mit-0", "mit ", r"mit (?:no attribution|0)", False),
-    ("bsd-2-clause", "bsd", r"(?:(?:bsd 2|2|two) clause(?: bsd)?|simplified bsd|freebsd)", True),
-    ("bsd-3-clause", "bsd", r"(?:(?:bsd 3|3|three) clause(?: bsd)?|new bsd|modified bsd|revised bsd)", True),
-    ("bsd-4-clause", "bsd", r"(?:(?:bsd 4|4|four) clause(?: bsd)?|original bsd)", True),
+    ("bsd-2-clause", "clause", r"(?:bsd 2|2|two) clause(?: bsd)?", True),
+    ("bsd-2-clause", "bsd", r"simplified bsd", True),
+    ("bsd-2-clause", "freebsd", r"freebsd", True),
+    ("bsd-3-clause", "clause", r"(?:bsd 3|3|three) clause(?: bsd)?", True),
+    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd)", True),
+    ("bsd-4-clause", "clause", r"(?:bsd 4|4|four) clause(?: bsd)?", True),
+    ("bsd-4-clause", "bsd", r"original bsd", True),
     ("bsd", "bsd", r"bsd(?: style)?", True),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 1 1", False),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", False),
@@ -44,7 +51,8 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?: libpng)?", True),
     ("boost-1.0", "boost", r"boost(?: software)?(?: license)?(?: version)?(?: 1 0)?", True),
     ("unlicense", "unlicense", r"unlicense", False),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public", False),
+    ("wtfpl", "wtfpl", r"wtfpl", False),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to public", False),
     ("python-2", "python", r"python(?: software foundation)?(?: license)?(?: version)?(?: 2)?", True),
     ("postgresql", "postgresql", r"postgresql", True),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", True),
@@ -56,7 +64,8 @@ FAMILIES = (
     ("artistic-2", "artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?", False),
     ("ofl-1.1", "sil", r"sil open font(?: license)?(?: version)?(?: 1 1)?", True),
     ("odbl-1.0", "open database", r"open database(?: license)?(?: 1 0)?", True),
-    ("pddl-1.0", "public domain", r"(?:public domain dedication and|pddl)(?: license)?(?: 1 0)?", True),
+    ("pddl-1.0", "public domain", r"public domain dedication and(?: license)?(?: 1 0)?", True),
+    ("pddl-1.0", "pddl", r"pddl(?: license)?(?: 1 0)?", True),
     ("public-domain", "public domain", r"(?:the )?public domain", False),
     ("ms-pl", "microsoft", r"microsoft public", True),
     ("ms-rl", "microsoft", r"microsoft reciprocal", True),
@@ -75,7 +84,7 @@ FAMILIES = (
 # (label stem, keyword, name pattern, versions): a family for each version, alone and "or later".
 VERSIONED = (
     ("gpl", "general public", r"gnu general public(?: license| licence)?", ("1", "2", "3")),
-    ("lgpl", "lesser general", r"gnu (?:lesser|library) general public(?: license| licence)?", ("2", "2 1", "3")),
+    ("lgpl", "gnu l", r"gnu (?:lesser|library) general public(?: license| licence)?", ("2", "2 1", "3")),
     ("agpl", "affero", r"gnu affero general public(?: license| licence)?", ("1", "3")),
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "3")),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl", ("2", "2 1", "3")),
@@ -101,14 +110,14 @@ def default_rules() -> list[Rule]:
 
     def forms(label: str, keyword: str, name: str, bare: bool) -> None:
         out.append(Rule(label, keyword, rf"spdx license identifier (?:{name})", 40, " spdx "))
-        out.append(Rule(label, keyword, rf"{_GRANT}(?:{name}){_LICENSE}", 30, "d under "))
+        out.append(Rule(label, keyword, rf"{_GRANT}(?:{name}){_LICENSE}", 30, " under "))
         out.append(Rule(label, keyword, rf"(?:{name}) licen[sc]e" if bare else rf"(?:{name}){_LICENSE}", 20, " licen" if bare else ""))
 
     for stem, keyword, name, versions in VERSIONED:
         for v in versions:
             number = rf"(?: ?v ?| version )?{v if ' ' in v else v + '(?: 0)?'}"
             label = f"{stem}-{v.replace(' ', '.')}"
-            forms(f"{label}-or-later", keyword, rf"{name}{number}(?: of the license)?(?: or (?:\(at your option\) |at your option )?any later(?: version)?| or later| plus)", False)
+            forms(f"{label}-or-later", keyword, rf"{name} ?{number}(?: of the license)?(?: or (?:\(at your option\) |at your option )?any later(?: version)?| or later| plus)", False)
             forms(label, keyword, rf"{name} ?{number}", False)
         forms(stem, keyword, name, False)
     for kind, words in CC_KINDS:

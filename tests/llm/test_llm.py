@@ -359,6 +359,47 @@ def test_license_scan_equals_brute_force(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def spellings(pattern):
+    """All texts that a pattern of literals, groups, alternatives and optional parts matches in full."""
+    from re import _parser as parser
+
+    def every(items):
+        out = [""]
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                part = [chr(arg)]
+            elif kind == "IN":
+                part = [chr(c) for _, c in arg]
+            elif kind == "SUBPATTERN":
+                part = every(arg[3])
+            elif kind == "BRANCH":
+                part = [x for b in arg[1] for x in every(b)]
+            else:
+                assert kind == "MAX_REPEAT" and arg[:2] == (0, 1)
+                part = ["", *every(arg[2])]
+            out = [a + b for a in out for b in part]
+        return out
+
+    return every(parser.parse(pattern))
+
+
+def test_license_gates_hold_in_every_match(spark):
+    rules = licenses.default_rules()
+    for x in rules:
+        short = x.pattern.replace(licenses._GRANT, "available under ")
+        missed = [t for t in spellings(short) if f" {x.keyword}" not in f" {t} " or x.also not in f" {t} "]
+        assert not missed, (x.label, missed[:3])
+    assert all(" under " in f" {t}" for t in spellings(licenses._GRANT))
+    texts = ["Released under the Expat license", "the X11 License", "FreeBSD license", "two clause license", "3-clause license", "GNU Library General Public License version 2", "PDDL license", "Do What The Fuck You Want To Public License", "SPDX-License-Identifier: GPL-2.0-or-later", "LGPL-2.1+ or later", "available under the ISC", "nothing here"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        body = f" {' '.join(words(t))} "
+        free = sorted((m.start(), m.end(), x.label) for x in rules for m in re.finditer(rf"(?<= )(?:{x.pattern})(?= )", body))
+        assert sorted((d["from"], d["to"], d["label"]) for d in got[i].detections) == free
+    assert [got[i].labels for i in range(len(texts))] == ["mit", "mit", "bsd-2-clause", "bsd-2-clause", "bsd-3-clause", "lgpl-2", "pddl-1.0", "wtfpl", "gpl-2-or-later", "lgpl-2.1-or-later", "isc", ""]
+
+
 def test_url_rules_and_templates(spark):
     rows = [(1, "http://A.Example.COM/en/12?x"), (2, "https://example.com/en/77"), (3, None), (4, "no scheme"), (5, "x://h.net/de/8#t"), (6, "x://example.net/de/81"), (7, "x://com/en/"), (8, "x://xcom/en/"), (9, "a://b://c/d"), (9, "a://b://c/d"), (None, "x://q.org/es/1")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))).collect()
