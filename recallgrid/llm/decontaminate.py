@@ -38,7 +38,7 @@ def normalise(text: str) -> str:
 
 
 def windows(text: str, width: int) -> list[str]:
-    words = normalise(text).split()
+    words = _word.findall(normalise(text))
     if not words:
         return []
     return [f" {' '.join(words[i : i + width])} " for i in range(max(1, len(words) - width + 1))]
@@ -47,7 +47,7 @@ def windows(text: str, width: int) -> list[str]:
 class Scanner:
     """The automaton of some items: ``spans`` finds which words of a text are hit, and by which items."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         found: dict[str, list[int]] = {}
         self.names = [name for name, _ in items]
         for n, (_, text) in enumerate(items):
@@ -61,7 +61,7 @@ class Scanner:
         if found:
             self.automaton.make_automaton()
 
-    def spans(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
+    def spans(self, text: str) -> tuple[int, list[tuple[int, int]], set[str | None]]:
         """(words of the text, merged word intervals [from, to) hit, names of items). Intervals are in ascending order."""
         body = normalise(text)
         n_words = body.count(" ") - 1 if len(body) > 1 else 0
@@ -91,11 +91,12 @@ def original_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[in
     return [(at[a][0], at[b - 1][1]) for a, b in intervals]
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str]], text_col: str = "text", settings: WindowSettings | None = None) -> DataFrame:
+def scan(docs: DataFrame, items: list[tuple[str | None, str]], text_col: str = "text", settings: WindowSettings | None = None) -> DataFrame:
     """All columns of ``docs``, and n_words, hits (array of word_from, word_to, char_from, char_to) and items (sorted names).
 
     A null text has no words. Items are (name, text) pairs; those without words have no window. Repeated items both count,
-    under their names. Every row stays, repeated rows too.
+    under their names. An item whose name is null is searched for as the others are, but has no name to list. Every row
+    stays, repeated rows too.
     """
     settings = settings or WindowSettings()
     blocks = [items[i : i + settings.block_items] for i in range(0, len(items), settings.block_items)]
@@ -123,19 +124,22 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], text_col: str = "text",
                         merged.append((a, b))
                 counts.append(n_words)
                 hits.append([(a, b, c, d) for (a, b), (c, d) in zip(merged, original_spans(text, merged), strict=True)])
-                names.append(sorted(owners))
+                names.append(sorted(owners - {None}))
             rows = [[dict(zip(("word_from", "word_to", "char_from", "char_to"), h, strict=True)) for h in hs] for hs in hits]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(rows, hit_type), pa.array(names, pa.list_(pa.string()))], schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = 64 << 20) -> list[tuple[str, str]]:
-    """The benchmark as (name, text) pairs on the driver, after a check that its texts have at most ``most_bytes`` bytes."""
+def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = 64 << 20) -> list[tuple[str | None, str]]:
+    """The benchmark as (name, text) pairs on the driver, after a check that its texts have at most ``most_bytes`` bytes.
+
+    An item with a null id stays, under a null name and after the others; one with a null text has no windows and is left out.
+    """
     size = benchmark.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     if size > most_bytes:
         raise ValueError(f"the benchmark has {size} bytes of text; scan it in parts of at most {most_bytes}")
-    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("name is not null and text is not null")
-    return sorted((r["name"], r["text"]) for r in rows.collect())
+    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("text is not null")
+    return sorted(((r["name"], r["text"]) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 

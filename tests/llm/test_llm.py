@@ -168,6 +168,20 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
     assert decontaminate.scan(empty, items).count() == 0 and decontaminate.scan(docs, []).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_keeps_wide_spaces_and_items_without_id(spark):
+    plain = [f"w{i}" for i in range(14)]
+    odd = [" ".join([*plain[:6], f"france{x}? la", *plain[6:]]) for x in ("\u00a0", "\u202f", "\u3000", "\u0085")]
+    texts = [*odd, "a passage without any id", "other words"]
+    benchmark = spark.createDataFrame([*enumerate(odd), (None, texts[4]), (9, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.scan(docs, decontaminate.benchmark_items(benchmark)).collect()}
+    for i, t in enumerate(odd):
+        assert sum(h.word_to - h.word_from for h in found[i].hits) == len(words(t)) and found[i]["items"] == [str(i)]
+    assert sum(h.word_to - h.word_from for h in found[4].hits) == 5 and found[4]["items"] == []
+    assert not found[5].hits
+    assert decontaminate.windows(f"a{chr(0x3000)}b c", 2) == [f" a{chr(0x3000)}b c "]
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
