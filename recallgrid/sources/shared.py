@@ -29,4 +29,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, whoever is lost later."""
     path = f"{shared_root(df.sparkSession)}/recallgrid/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote, once nothing that is still to run reads them; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
