@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.shared import stored
+from recallgrid.llm.shared import discard, stored
 
 
 def _order(node: Column, turn: int) -> Column:
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges are allowed; nodes without an edge to another node do not appear.
     """
     left = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels, hops = None, []
     turn = 0
     while not left.isEmpty():
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,9 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             nxt = hop.select(F.col("node").alias("component"), "to")
             labels = labels.join(nxt, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        hops.append(hop)
         ends = left.join(hop.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hop.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        left = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        last, left = left, stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(last)
         turn += 1
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stored(labels, "components")
+    done = stored(labels, "components")
+    discard(left, *hops)
+    return done

@@ -30,9 +30,9 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Ids as arrays of ``dtype`` (two bytes where the vocabulary allows). most: words, and pieces of words, kept."""
+    """Ids as arrays of ``dtype`` (two bytes where the vocabulary allows). most_bytes: of words, and pieces of words, kept."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most_bytes: int = 192 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,7 +47,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 0x10000 else "<u4")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.most = most
+        self.most_bytes, self.held = most_bytes, 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.dtype.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,8 +62,8 @@ class Encoder:
             else:
                 cut.append(None)
         new = set().union(*(c for c in cut if c is not None)).difference(self.words)
-        if len(new) + len(self.words) > self.most:
-            self.words, self.pieces = {}, {}
+        if self.held > self.most_bytes:  # a slice adds at most what its own text needs
+            self.words, self.pieces, self.held = {}, {}, 0
             new = set().union(*(c for c in cut if c is not None))
         self._learn(list(new))
         known = self.words
@@ -82,6 +82,8 @@ class Encoder:
         other = list(set(unseen).difference(plain))
         pieces.update(zip(other, self._whole(other), strict=True))
         self.words.update((w, pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])) for w, ps in zip(new, cut, strict=True))
+        # About 150 bytes of a word beside its letters and ids: two objects and the place in the table.
+        self.held += 3 * (sum(map(len, new)) + sum(map(len, unseen))) + 150 * (len(new) + len(unseen))
 
 
 def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

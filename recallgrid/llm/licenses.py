@@ -1,8 +1,10 @@
 """License scans by ordered signature rules, in DataFrame expressions alone.
 
-A text becomes its lower-case words between single spaces. A text that holds no keyword of any rule is done with; for the
-others only the rules whose keyword it holds run their regular expression. Each match is a detection with an interval and
-a priority. A detection inside another one's interval is suppressed; of equal intervals the higher priority stays.
+A text becomes its words, A-Z lower-cased, between single spaces. A text that holds no keyword of any rule is done with; of
+the others, a keyword's rules run only where one expression of all their patterns matches, and then each for itself. Each
+match is a detection with an interval and a priority. A detection inside another one's interval is suppressed; of equal
+intervals the higher priority stays. The rules are sentences of license texts, notices and deeds (``license_texts``), written
+one by one, and the forms in which licenses are named, from families, versions and forms.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.llm.license_texts import TEXTS
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -105,8 +111,8 @@ _LICENSE = r"(?: licen[sc]es?)?"
 
 
 def default_rules() -> list[Rule]:
-    """All signature rules, from the families and the forms in which a license is named, most specific first."""
-    out: list[Rule] = []
+    """All signature rules: license texts, then the forms in which a license is named, most specific first."""
+    out = [Rule(label, keyword, pattern, priority) for label, keyword, pattern, priority in TEXTS]
 
     def forms(label: str, keyword: str, name: str, bare: bool) -> None:
         out.append(Rule(label, keyword, rf"spdx license identifier (?:{name})", 40, " spdx "))
@@ -117,7 +123,7 @@ def default_rules() -> list[Rule]:
         for v in versions:
             number = rf"(?: ?v ?| version )?{v if ' ' in v else v + '(?: 0)?'}"
             label = f"{stem}-{v.replace(' ', '.')}"
-            forms(f"{label}-or-later", keyword, rf"{name} ?{number}(?: of the license)?(?: or (?:\(at your option\) |at your option )?any later(?: version)?| or later| plus)", False)
+            forms(f"{label}-or-later", keyword, rf"{name} ?{number}(?: of the license)?(?: or (?:at your option )?any later(?: version)?| or later| plus)", False)
             forms(label, keyword, rf"{name} ?{number}", False)
         forms(stem, keyword, name, False)
     for kind, words in CC_KINDS:
@@ -134,35 +140,59 @@ def default_rules() -> list[Rule]:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words of ``text`` with one space before and after each; one space for none."""
-    return F.regexp_replace(F.lower(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    """Words of ``text``, A-Z lower-cased, with one space before and after each; one space for none."""
+    return F.regexp_replace(F.translate(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _rule_groups(rules: list[Rule]) -> Column:
-    """An array of (keyword, rules), so that a text meets each keyword once and only then the rules behind it."""
-
-    def row(i: int, r: Rule) -> Column:
-        return F.struct(F.lit(r.label).alias("label"), F.lit(r.also).alias("also"), F.lit(rf"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(i).alias("turn"))
-
-    by: dict[str, list[Column]] = {}
-    for i, r in enumerate(rules):
-        by.setdefault(r.keyword, []).append(row(i, r))
-    return F.array(*(F.struct(F.lit(f" {k}").alias("keyword"), F.array(*rs).alias("rules")) for k, rs in by.items()))
+_FOUND = "array<struct<from:int,to:int,label:string,priority:int,turn:int>>"
 
 
 def _matches(body: Column, rule: Column) -> Column:
     """Intervals of a rule's matches, from the texts between them."""
     found = F.regexp_extract_all(body, rule["pattern"], F.lit(0))
-    between = F.split(body, rule["pattern"], -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
     item = lambda at, x: F.struct((at + F.length(x["b"])).alias("from"), (at + F.length(x["b"]) + F.length(x["m"])).alias("to"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["turn"].alias("turn"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,label:string,priority:int,turn:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(body, rule["pattern"], -1), 1, F.size(found)).alias("b"))
     placed = F.aggregate(pairs, zero, lambda acc, x: F.struct((acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(item(acc["at"], x))).alias("out")), lambda acc: acc["out"])
-    return F.when(F.rlike(body, rule["pattern"]), placed).otherwise(zero["out"])
+    return placed
+
+
+def _sql(text: str) -> str:
+    """A string literal; the rule table is given as one SQL expression, as thousands of Column calls take long."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _keyword_groups(rules: list[Rule]) -> dict[str, list[Rule]]:
+    by: dict[str, list[Rule]] = {}
+    for r in rules:
+        by.setdefault(r.keyword, []).append(r)
+    return by
+
+
+def _present(body: str, rules: list[Rule]) -> Column:
+    """Numbers of the keyword groups of which some rule matches: one literal expression of a group's patterns, behind its keyword."""
+    tests = []
+    for n, (keyword, own) in enumerate(_keyword_groups(rules).items()):
+        any_of = "|".join(dict.fromkeys(r.pattern for r in own))
+        tests.append(f"CASE WHEN contains({body}, {_sql(' ' + keyword)}) AND rlike({body}, {_sql(f'(?<= )(?:{any_of})(?= )')}) THEN {n} END")
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
+
+
+def _hits(body: Column, present: Column, rules: list[Rule]) -> Column:
+    """All matches of the rules of the groups in ``present``, each rule for itself."""
+    turns = {id(r): i for i, r in enumerate(rules)}
+
+    def row(r: Rule) -> str:
+        return f"struct({_sql(r.label)} AS label, {_sql(r.also)} AS also, {_sql(rf'(?<= )(?:{r.pattern})(?= )')} AS pattern, {r.priority} AS priority, {turns[id(r)]} AS turn)"
+
+    groups = F.expr(f"array({', '.join('array(' + ', '.join(map(row, own)) + ')' for own in _keyword_groups(rules).values())})")
+    named = F.flatten(F.transform(present, lambda n: F.get(groups, n)))
+    tried = F.filter(named, lambda r: F.contains(body, r["also"]) & F.rlike(body, r["pattern"]))
+    return F.flatten(F.transform(tried, lambda r: _matches(body, r)))
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", base=BASE) -> DataFrame:
@@ -170,7 +200,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
 
     detections: all matches, in the order in which suppression reads them (start, longer, higher priority, rule order).
     labels: those of the base phrases and of detections that are not suppressed. score: 1 with a base phrase, else the
-    highest priority of a detection over 40. A null or empty text has no words and no labels. Every row stays.
+    highest priority of a detection over 40, at most 1. A null or empty text has no words and no labels. Every row stays,
+    repeated rows too; texts of any length are scanned whole; an empty table gives an empty one; columns of those names give way.
     """
     rules = default_rules() if rules is None else rules
     own = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
@@ -188,15 +219,10 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
         lasts.append(F.when(has, words - (_spaces(F.element_at(between, -1)) - 1) - size))
     tagged = [F.when(F.contains(body, F.lit(f" {p} ")), F.lit(l)) for l, p in base]
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*tagged))))
-    keywords = sorted({r.keyword for r in rules})
-    gate = F.lit(False)
-    for k in keywords:
-        gate = gate | F.contains(body, F.lit(f" {k}"))
-    named = F.flatten(F.transform(F.filter(_rule_groups(rules), lambda g: F.contains(body, g["keyword"])), lambda g: g["rules"]))
-    hits = F.flatten(F.transform(F.filter(named, lambda r: F.contains(body, r["also"])), lambda r: _matches(body, r)))
-    order = F.transform(hits, lambda h: F.struct(h["from"].alias("from"), (-h["to"]).alias("end"), (-h["priority"]).alias("rank"), h["turn"].alias("turn"), h["label"].alias("label")))
+    rows = rows.withColumn("_present", _present("_body", rules))
+    order = F.transform(_hits(body, F.col("_present"), rules), lambda h: F.struct(h["from"].alias("from"), (-h["to"]).alias("end"), (-h["priority"]).alias("rank"), h["turn"].alias("turn"), h["label"].alias("label")))
     empty = F.array().cast("array<struct<from:int,end:int,rank:int,turn:int,label:string>>")
-    rows = rows.withColumn("_hits", F.when(gate, F.array_sort(order)).otherwise(empty))
+    rows = rows.withColumn("_hits", F.when(F.size("_present") > 0, F.array_sort(order)).otherwise(empty))
     zero = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("labels"))
     merge = lambda acc, h: F.struct(F.greatest(acc["reach"], -h["end"]).alias("reach"), F.when(-h["end"] > acc["reach"], F.array_union(acc["labels"], F.array(h["label"]))).otherwise(acc["labels"]).alias("labels"))
     found = F.aggregate("_hits", zero, merge, lambda acc: acc["labels"])
@@ -210,7 +236,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text
         found.alias("_found"),
         F.transform("_hits", lambda h: F.struct(h["from"].alias("from"), (-h["end"]).alias("to"), h["label"].alias("label"), (-h["rank"]).alias("priority"))).alias("detections"),
     )
-    best = F.coalesce(F.array_max(F.transform("detections", lambda h: h["priority"])), F.lit(0)) / F.lit(40.0)
+    best = F.least(F.coalesce(F.array_max(F.transform("detections", lambda h: h["priority"])), F.lit(0)) / F.lit(40.0), F.lit(1.0))
     return rows.select(
         *(kept.columns), "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),

@@ -4,8 +4,10 @@ Only a piece's length matters, and lengths lie in 1..capacity, so the problem is
 entries, whatever the number of documents. A plan is a list of (pattern, times): a pattern is a filling of one sequence,
 as (length, count) pairs. Best-fit decreasing on the histogram gives the first plan. If it uses more sequences than the
 waste bound allows, bin completion looks for a better one: take the largest length left, enumerate the fillings around it
-that no other filling dominates, fullest first, apply one as often as the counts allow, and cut a branch when its waste
-exceeds what an improvement can afford. Plans found become the new incumbent.
+that no other filling dominates, in the order of their waste, apply one as often as the counts allow, and cut a branch when
+its waste exceeds what an improvement can afford. Plans found become the new incumbent. Fillings are made one by one, as
+the search asks for them; all of them are reached unless the one limit of the search, its ``nodes``, ends it before. The
+column ``proven`` says whether the plan is known to have the fewest sequences: it meets the bound or the search ended.
 
 Pieces are numbered within their length (by part, then by order in the part), and each takes the place that the plan
 gives to its number. The plan has at most a few thousand patterns and is broadcast; pieces are never collected.
@@ -86,40 +88,59 @@ def waste_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-int(tokens[capacity]) // capacity), (alone + halves + more).max(initial=0)))
 
 
-def fillings(counts: dict[int, int], largest: int, capacity: int, most_waste: int, limit: int) -> list[Pattern]:
-    """Undominated fillings around one piece of ``largest``, fullest first, with at most ``most_waste`` left over.
+def _reachable(lengths: list[int], counts: list[int], room: int) -> list[int]:
+    """For each index, the sums up to ``room`` that the lengths from there on can make, as bits of a number."""
+    whole = (1 << (room + 1)) - 1
+    out = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, left, step = out[i + 1], min(counts[i], room // lengths[i]), 1
+        while left:
+            take = min(step, left)
+            sums |= sums << (take * lengths[i]) & whole
+            left, step = left - take, step * 2
+        out[i] = sums
+    return out
+
+
+def fillings(counts: dict[int, int], largest: int, capacity: int, most_waste: int) -> Iterator[Pattern]:
+    """All undominated fillings around one piece of ``largest`` that leave at most ``most_waste``, those that leave least first.
 
-    A filling that could take a further piece, or exchange one for a longer one that is left and fits, is dominated.
+    A filling that could take a further piece, or exchange one for a longer one that is left and fits, is dominated. Sums
+    that the lengths can make are known beforehand, so that every step of the enumeration leads to a filling.
     """
     room = capacity - largest
     lengths = sorted((l for l, n in counts.items() if l <= room and n - (l == largest) > 0), reverse=True)
-    out: list[tuple[int, Pattern]] = []
-    seen = 0
-
-    def undominated(chosen: dict[int, int], left: int) -> bool:
-        for l in lengths:
-            if counts[l] - (l == largest) > chosen.get(l, 0) and (l <= left or any(c < l <= c + left for c in chosen)):
-                return False
+    left_of = [counts[l] - (l == largest) for l in lengths]
+    sums = _reachable(lengths, left_of, room)
+
+    def undominated(chosen: dict[int, int], waste: int) -> bool:
+        if not waste:
+            return True
+        have = sorted(chosen)
+        for l, n in zip(lengths, left_of, strict=True):
+            if n > chosen.get(l, 0):
+                at = bisect_right(have, l - 1)
+                if l <= waste or (at and have[at - 1] + waste >= l):
+                    return False
         return True
 
-    def extend(at: int, left: int, chosen: dict[int, int]) -> None:
-        nonlocal seen
-        seen += 1
-        if seen > 40 * limit or len(out) >= limit:
-            return
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        if at == len(lengths) or not left:
-            if left <= most_waste and undominated(chosen, left):
-                out.append((left, ((largest, 1), *sorted(chosen.items(), reverse=True))))
+    def exact(at: int, total: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not total:
+            yield chosen
             return
-        length = lengths[at]
-        most = min(left // length, counts[length] - (length == largest))
-        for n in range(most, -1, -1):
-            extend(at + 1, left - n * length, chosen | {length: n} if n else chosen)
+        for i in range(at, len(lengths)):
+            for n in range(min(total // lengths[i], left_of[i]), 0, -1):
+                after = total - n * lengths[i]
+                if sums[i + 1] >> after & 1:
+                    yield from exact(i + 1, after, (*chosen, (lengths[i], n)))
+            if not sums[i + 1] >> total & 1:
+                return
 
-    extend(0, room, {})
-    return [p for _, p in sorted(out, key=lambda x: (x[0], [-l for l, _ in x[1]]))]
+    for waste in range(min(most_waste, room) + 1):
+        if sums[0] >> (room - waste) & 1:
+            for chosen in exact(0, room - waste, ()):
+                if undominated(dict(chosen), waste):
+                    yield ((largest, 1), *chosen)
 
 
 def _merged(pattern: Pattern) -> Pattern:
@@ -129,46 +150,56 @@ def _merged(pattern: Pattern) -> Pattern:
     return tuple(sorted(total.items(), reverse=True))
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 200, width: int = 12) -> Plan:
-    """The best plan found within ``nodes`` search nodes; best-fit decreasing is the first incumbent."""
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1000) -> tuple[Plan, bool]:
+    """The best plan found within ``nodes`` search nodes, and whether it is proven; best-fit decreasing is the first incumbent."""
     counts = {l: n for l, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     bound = waste_bound(counts, capacity)
     total = sum(l * n for l, n in counts.items())
-    spent = 0
 
-    def search(left: dict[int, int], plan: Plan, used: int, waste: int) -> None:
+    def affordable() -> int:
+        return (sequences(incumbent) - 1) * capacity - total
+
+    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[Pattern, int, int]]:
+        """(pattern, times, waste of a sequence): as often as counts and waste allow, and, for exactness, fewer times."""
+        for pattern in fillings(left, max(left), capacity, max(0, affordable() - waste)):
+            pattern = _merged(pattern)
+            lost = capacity - sum(l * n for l, n in pattern)
+            most = min(left[l] // n for l, n in pattern)
+            if lost:
+                most = max(1, min(most, (affordable() - waste) // lost))
+            for times in (most, 1) if most > 1 else (1,):
+                yield pattern, times, lost
+
+    stack: list[tuple[dict[int, int], Plan, int, int, Iterator]] = []
+    spent, whole = 0, True
+
+    def enter(left: dict[int, int], plan: Plan, used: int, waste: int) -> None:
         nonlocal incumbent, spent
-        stack = [(left, plan, used, waste)]
-        while stack and spent < nodes and sequences(incumbent) > bound:
-            left, plan, used, waste = stack.pop()
-            spent += 1
-            affordable = (sequences(incumbent) - 1) * capacity - total
-            if waste > affordable:
-                continue
-            rest = best_fit(left, capacity)
-            if used + sequences(rest) < sequences(incumbent):
-                incumbent = plan + rest
-            if not left or used + waste_bound(left, capacity) >= sequences(incumbent):
-                continue
-            largest = max(left)
-            branches = []
-            for pattern in fillings(left, largest, capacity, affordable - waste, width):
-                pattern = _merged(pattern)
-                times = min(left[l] // n for l, n in pattern)
-                lost = capacity - sum(l * n for l, n in pattern)
-                if lost:
-                    times = max(1, min(times, (affordable - waste) // lost))
-                after = dict(left)
-                for l, n in pattern:
-                    after[l] -= n * times
-                    if not after[l]:
-                        del after[l]
-                branches.append((after, [*plan, (pattern, times)], used + times, waste + lost * times))
-            stack.extend(reversed(branches))
-
-    search(counts, [], 0, 0)
-    return incumbent
+        spent += 1
+        rest = best_fit(left, capacity)
+        if used + sequences(rest) < sequences(incumbent):
+            incumbent = plan + rest
+        if left and waste <= affordable() and used + waste_bound(left, capacity) < sequences(incumbent):
+            stack.append((left, plan, used, waste, branches(left, waste)))
+
+    if counts and sequences(incumbent) > bound:
+        enter(counts, [], 0, 0)
+    while stack and sequences(incumbent) > bound:
+        if spent >= nodes:
+            whole = False
+            break
+        left, plan, used, waste, more = stack[-1]
+        step = next(more, None) if used + waste_bound(left, capacity) < sequences(incumbent) else None
+        if step is None:
+            stack.pop()
+            continue
+        pattern, times, lost = step
+        if waste + lost * times > affordable():
+            continue
+        after = {l: n for l, n in ((l, n - times * dict(pattern).get(l, 0)) for l, n in left.items()) if n}
+        enter(after, [*plan, (pattern, times)], used + times, waste + lost * times)
+    return incumbent, whole or sequences(incumbent) <= bound
 
 
 def places(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,7 +221,8 @@ def places(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np
 def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored pieces: doc_id, piece, start, length, ids_crc32, and part and number (order within part and length).
 
-    A null text counts as empty (the end id alone). Rows with a null or repeated number are documents of their own.
+    A null or empty text gives the end id alone, a very long one as many pieces as it needs. Rows with a null or repeated
+    number are documents of their own. An empty table gives an empty one; other columns are dropped, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,14 +246,21 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: s
     return stored(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long"), "pieces")
 
 
-def pack(pieces: DataFrame, capacity: int, nodes: int = 200) -> DataFrame:
-    """Pieces with sequence_id and offset. Two small shuffles of counts by (length, part); pieces move only to join those."""
+def pack(pieces: DataFrame, capacity: int, nodes: int = 1000) -> DataFrame:
+    """Pieces with sequence_id, offset and proven. Counts by (length, part) are shuffled; pieces meet their part's offsets by a merge.
+
+    ``pieces`` comes from ``cut_pieces``; nulls and repeats of doc_id stay as they are, since only lengths decide. Pieces
+    of equal length are interchangeable and placed in the order of their parts. An empty table gives an empty one; further
+    columns are dropped. proven: no plan has fewer sequences.
+    """
     counts = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    shared = pieces.sparkSession.sparkContext.broadcast(places(bin_completion(histogram, capacity, nodes)))
+    plan, proven = bin_completion(histogram, capacity, nodes)
+    shared = pieces.sparkSession.sparkContext.broadcast(places(plan))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stored(counts.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("earlier")), "offsets")
-    ranked = pieces.join(offsets, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("number")).alias("rank"))
+    # The offsets grow with the parts, so they are never broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("number")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -239,4 +278,4 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 200) -> DataFrame:
                 offset[rows] = start[at] + into % each[at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("proven", F.lit(proven))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,13 @@ _SPACE = _codes <= 32
 
 @dataclass(frozen=True)
 class QualitySettings:
-    """sample: most labelled rows that training uses, those with the least hash of their id. l1, l2, alpha, beta: of FTRL-proximal."""
+    """sample, sample_bytes: most labelled rows that training uses, those with the least hash of their id, and the bytes of
+    text from which no further row is taken; the task that trains holds no more. l1, l2, alpha, beta: of FTRL-proximal.
+    """
 
     bits: int = 18
     sample: int = 6000
+    sample_bytes: int = 64 << 20
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -84,8 +87,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 def dot(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, settings: QualitySettings) -> np.ndarray:
     """Sum of weight times value over each document's features; the last weight is the bias."""
     kinds, first, counts = features(data, offsets, settings.bits)
-    total = np.concatenate([[0.0], np.cumsum(weights[kinds].sum(axis=0))])
-    return (total[first[1:]] - total[first[:-1]]) * settings.scale / np.maximum(counts, 1) + weights[-1]
+    total = np.zeros(len(counts))
+    full = np.flatnonzero(counts)
+    if len(full):  # each document is summed by itself, so that equal texts get equal scores wherever they stand
+        total[full] = np.add.reduceat(weights[kinds].sum(axis=0), first[full])
+    return total * settings.scale / np.maximum(counts, 1) + weights[-1]
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -145,11 +151,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, l
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: QualitySettings | None = None) -> np.ndarray:
-    """Weights by feature number, the bias last. Training is one task over at most ``settings.sample`` documents."""
+    """Weights by feature number, the bias last. Training is one task over at most ``settings.sample`` documents, which
+    ends with the document that reaches ``settings.sample_bytes`` of text.
+
+    Null and empty texts teach the bias alone; rows that repeat an id teach as often as they stand. Labels without a
+    document, and without an id or a label of 0 or 1, teach nothing; with no rows at all every weight is 0.
+    """
     settings = settings or QualitySettings()
     chosen = F.broadcast(stored(training_rows(docs, labels, label, id_col, settings.sample), "chosen"))  # at most ``sample`` pairs of numbers
     sample = stored(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "_id"), "sample")
-    ordered = sample.orderBy(F.xxhash64("_id"), "_id", "text").limit(settings.sample)
+    sizes = sample.orderBy(F.xxhash64("_id"), "_id", "text").limit(settings.sample)
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, -1))  # at most ``sample`` rows
+    ordered = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < settings.sample_bytes)
     weights = np.zeros((1 << settings.bits) + 1)
     for row in ordered.select("text", "label").coalesce(1).mapInArrow(_train(settings), "at binary, weights binary").collect():
         weights[np.frombuffer(row["at"], np.int32)] = np.frombuffer(row["weights"], np.float32)
@@ -157,7 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", settings: QualitySettings | None = None) -> DataFrame:
-    """All columns of ``docs`` and quality_score (0 to 1); a null or empty text gets the bias alone. Every row stays."""
+    """All columns of ``docs`` and quality_score (0 to 1); a null or empty text gets the bias alone. Every row stays.
+
+    Equal texts get equal scores, whatever stands beside them. Texts of any length are scored whole. An empty table gives an
+    empty one, a column named quality_score gives way.
+    """
     settings = settings or QualitySettings()
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 

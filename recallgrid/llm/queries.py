@@ -53,8 +53,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark"))
-    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["word_to"] - h["word_from"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -79,7 +78,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.text_to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return tiff.media_digest(media)
+    return tiff.media_digest(media).drop("error")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,31 +112,45 @@ def _case(values: list[str]) -> str:
 
 
 def _url_sql(s: urls.UrlSettings) -> str:
-    levels = []
-    for d in range(1, s.depth + 1):
-        prev = f"t{d - 1}"
+    """The same tree level by level; levels that no path reaches change nothing."""
+    steps, prev = [], "t0"
+
+    def level(d: int, name: str) -> str:
         stem = f"array_to_string(seg[1:{d - 1}], '/')" if d > 1 else "''"
-        levels.append(f"""
-p{d} AS (SELECT *, {stem} AS stem, coalesce(seg[{d}], '') AS part FROM {prev}),
-v{d} AS (SELECT host, stem FROM p{d} GROUP BY host, stem HAVING count(DISTINCT part) >= {s.many} AND count(DISTINCT part) >= {s.fresh} * sum(n)),
-t{d} AS (SELECT p.host, p.shape, p.n, p.bad, p.known, list_transform(p.seg, lambda x, i: CASE WHEN i = {d} AND v.host IS NOT NULL THEN '*' ELSE x END) AS seg
-  FROM p{d} p LEFT JOIN v{d} v ON p.host = v.host AND p.stem = v.stem)""")
+        return f"{name} AS MATERIALIZED (SELECT *, {stem} AS stem, seg[{d}] AS part, CASE WHEN len(seg) > {d} THEN '/' || array_to_string(seg[{d + 1}:], '/') ELSE '' END AS rest FROM {prev})"
+
+    def starred(d: int, source: str, marks: str, keys: str) -> str:
+        return f"SELECT p.host, p.shape, p.n, p.bad, p.known, list_transform(p.seg, lambda x, i: CASE WHEN i = {d} AND v.mark THEN '*' ELSE x END) AS seg FROM {source} p LEFT JOIN {marks} v USING ({keys})"
+
+    for d in range(1, s.levels + 1):
+        steps.append(f"""{level(d, f"p{d}")},
+v{d} AS (SELECT host, stem, true AS mark FROM p{d} WHERE len(seg) >= {d} GROUP BY host, stem HAVING count(DISTINCT part) >= {s.many} AND count(DISTINCT part) >= {s.fresh} * sum(n)),
+t{d} AS MATERIALIZED ({starred(d, f"p{d}", f"v{d}", "host, stem")})""")
+        prev = f"t{d}"
+    for d in range(s.levels, 0, -1):
+        steps.append(f"""{level(d, f"q{d}")},
+c{d} AS (SELECT host, stem, part, rest, sum(n) AS n, sum(bad) AS bad, sum(known) AS known FROM q{d} WHERE len(seg) >= {d} GROUP BY ALL),
+r{d} AS (SELECT host, stem, rest, sum(n) AS rest_n FROM c{d} GROUP BY ALL),
+g{d} AS (SELECT host, stem, sum(n) AS all_n, coalesce(sum(bad)::DOUBLE / nullif(sum(known), 0), 0) AS share, count(DISTINCT rest) - 1 AS free FROM c{d} GROUP BY ALL HAVING count(DISTINCT part) > 1),
+s{d} AS (SELECT host, stem, part, sum(c.n) AS n, sum(bad) AS bad, sum(known) AS known, sum(c.n::DOUBLE * c.n / rest_n) AS squares, sum(CASE WHEN rest <> '' AND rest_n > c.n THEN c.n ELSE 0 END) AS common FROM c{d} c JOIN r{d} USING (host, stem, rest) GROUP BY ALL),
+l{d} AS (SELECT host, stem, part FROM s{d} JOIN g{d} USING (host, stem) WHERE (2 * common >= n OR known >= {s.strength}) AND round(all_n::DOUBLE / n * squares - n, 6) <= round(free + {s.z} * sqrt(2.0 * free), 6)
+  AND round(abs(bad - share * known) / (known + 2), 6) <= round({s.z} * sqrt(greatest(0, share * (1 - share)) / (known + 2)), 6)),
+a{d} AS (SELECT host, stem, part, true AS mark FROM l{d} JOIN (SELECT host, stem FROM l{d} GROUP BY ALL HAVING count(*) > 1) USING (host, stem)),
+u{d} AS MATERIALIZED ({starred(d, f"q{d}", f"a{d}", "host, stem, part")})""")
+        prev = f"u{d}"
+    cut = s.levels - 1
     return rf"""
 WITH u AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {_case([h + p for _, h, p in _RULES_BY_LENGTH])} AS rule, {_case([k for k, _, _ in _RULES_BY_LENGTH])} AS given,
-  array_to_string(list_transform(string_split(regexp_replace(path, '^/', ''), '/')[1:{s.depth}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END), '/') AS shape FROM u),
-t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (given = 'block') AS bad, count(given) AS known, string_split(shape, '/') AS seg FROM r GROUP BY host, shape),
-{','.join(levels)},
-f AS (SELECT host, shape, bad, known, array_to_string(seg, '/') AS template, seg[1] AS branch, array_to_string(seg[2:{s.depth + 1}], '/') AS rest FROM t{s.depth}),
-b AS (SELECT host, rest, branch, sum(bad) AS bad, sum(known) AS known FROM f GROUP BY ALL),
-g AS (SELECT host, rest, sum(bad)::DOUBLE / sum(known) AS share FROM b GROUP BY ALL HAVING sum(known) > 0),
-a AS (SELECT b.host, b.rest, b.branch FROM b JOIN g ON b.host = g.host AND b.rest = g.rest WHERE b.known > 0 AND abs(bad::DOUBLE / known - share) <= {s.z} * sqrt(share * (1 - share) / known)),
-m AS (SELECT f.*, CASE WHEN a.host IS NOT NULL THEN CASE WHEN f.rest <> '' THEN '*/' || f.rest ELSE '*' END ELSE f.template END AS node FROM f LEFT JOIN a ON f.host = a.host AND f.rest = a.rest AND f.branch = a.branch),
-base AS (SELECT coalesce(sum(bad)::DOUBLE / sum(known), 0) AS base FROM f),
-q AS (SELECT host, node, round((sum(bad) + {s.strength} * (SELECT base FROM base)) / (sum(known) + {s.strength}), 6) AS purity FROM m GROUP BY ALL)
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.given, CASE WHEN q.purity >= {s.purity} THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN m ON r.host = m.host AND r.shape = m.shape LEFT JOIN q ON m.host = q.host AND m.node = q.node
+  regexp_replace(regexp_replace(path, '^/', ''), '[^/]*[0-9][^/]*', '*', 'g') AS shape FROM u),
+t0 AS MATERIALIZED (SELECT host, shape, count(*) AS n, count(*) FILTER (given = 'block') AS bad, count(given) AS known,
+  CASE WHEN len(string_split(shape, '/')) <= {s.levels} THEN string_split(shape, '/') ELSE list_append(string_split(shape, '/')[1:{cut}], array_to_string(string_split(shape, '/')[{s.levels}:], '/')) END AS seg FROM r GROUP BY host, shape),
+{", ".join(steps)},
+m AS (SELECT host, shape, n, bad, known, array_to_string(seg, '/') AS node FROM {prev}),
+z AS (SELECT host, node, round(sum(bad) / (sum(known) + {s.strength} + {s.doubt} * (sum(n) - sum(known))), 6) AS purity FROM m GROUP BY ALL)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.given, CASE WHEN z.purity >= {s.purity} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN m ON r.host = m.host AND r.shape = m.shape JOIN z ON m.host = z.host AND m.node = z.node
 """
 
 
@@ -160,7 +173,7 @@ p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'
 x AS (SELECT t.conv_id, participant, CAST(floor(turn / 256) AS BIGINT) AS block, turn, role, text,
   '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head FROM t JOIN p USING (conv_id)),
 y AS (SELECT *, sum(len(head) + len(text) + 11) OVER (PARTITION BY conv_id, participant, block ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS past FROM x)
-SELECT conv_id, participant, block, count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+SELECT conv_id, participant, block, CAST(sum(sum(len(head) + len(text) + 11)) OVER (PARTITION BY conv_id, participant ORDER BY block) - sum(len(head) + len(text) + 11) AS BIGINT) AS start, count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
   coalesce(string_agg(CAST(past - 11 - len(text) AS BIGINT) || '-' || CAST(past - 1 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (role = participant), '') AS mask
 FROM y GROUP BY conv_id, participant, block
 """

@@ -1,5 +1,5 @@
 """Tables in the folder that driver and executors share."""
 
-from recallgrid.sources.shared import shared_root, stored
+from recallgrid.sources.shared import discard, shared_root, stored
 
-__all__ = ["shared_root", "stored"]
+__all__ = ["discard", "shared_root", "stored"]

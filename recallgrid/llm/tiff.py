@@ -1,7 +1,9 @@
 """TIFF as a media column: encode bytes as grey 8-bit pages, walk image directories, decode pages.
 
 Read: both byte orders; strips and tiles; no compression, PackBits, LZW, deflate (8 and 32946); horizontal predictor; one
-or more 8-bit samples, chunky or planar. Written: one page for every ``page_rows`` rows, in strips.
+or more 8-bit samples, chunky or planar. Written: one page for every ``page_rows`` rows, in strips or tiles, with one
+compression and predictor for payloads of any size. A decoder stops at the bytes that its strip can hold, and a page
+that is larger than its file can hold is an error, so a broken file never takes more memory than its pixels would.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+# No code of these compressions stands for more than 4,096 bytes a byte; a page is a binary value of a row, below 2 GB.
+MOST_RATIO, MOST_PIXELS = 4096, (1 << 31) - 1
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -101,10 +105,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int) -> bytes:
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, held, bits, last, out = list(base), 9, 0, 0, b"", []
+    table, width, held, bits, last, out, size = list(base), 9, 0, 0, b"", [], 0
     for byte in data:
+        if size >= most:
+            break
         held, bits = held << 8 | byte, bits + 8
         if bits < width:
             continue
@@ -118,32 +124,39 @@ def lzw_decode(data: bytes) -> bytes:
         if not last:
             last = table[code]
             out.append(last)
+            size += len(last)
             continue
         if code > len(table):
             raise ValueError("LZW code out of order")
         entry = table[code] if code < len(table) else last + last[:1]
         out.append(entry)
-        table.append(last + entry[:1])
+        size += len(entry)
+        if len(table) < 4096:
+            table.append(last + entry[:1])
         last = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     return b"".join(out)
 
 
-_decode = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+# Decoders take the stored bytes and the most bytes that the strip or tile holds.
+_decode = {NONE: lambda data, most: bytes(data[:most]), LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 _encode = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
 
 
 @dataclass(frozen=True)
 class TiffSettings:
-    """compression None: LZW up to ``lzw_bytes`` of payload, deflate above (LZW here is plain Python)."""
+    """page_rows: rows of a page. tile: side of square tiles in place of strips. One compression holds for all sizes."""
 
     width: int = 576
     page_rows: int = 1024
     strip_rows: int = 64
-    compression: int | None = None
-    predictor: int = 1
-    lzw_bytes: int = 576
+    compression: int = DEFLATE
+    predictor: int = 2
     tile: int | None = None
 
 
@@ -153,7 +166,7 @@ def encode(payload: bytes, settings: TiffSettings | None = None) -> bytes:
     if not payload or len(payload) % s.width:
         raise ValueError("the payload must be a positive multiple of the width")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, s.width)
-    kind = s.compression or (LZW if len(payload) <= s.lzw_bytes else DEFLATE)
+    kind = s.compression
     out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
     link = 4
     for top in range(0, len(rows), s.page_rows):
@@ -227,7 +240,7 @@ def pages(data: bytes) -> Iterator[Page]:
                     tags[tag] = struct.unpack_from(order + str(count) + {1: "B", 3: "H", 4: "I"}[form], data, place)
             yield _page(data, tags, number)
             at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
-        except (struct.error, KeyError, zlib.error, IndexError) as e:
+        except (struct.error, KeyError, zlib.error, IndexError, OverflowError, MemoryError) as e:
             raise ValueError(f"broken directory or image data: {e}") from e
         number += 1
 
@@ -243,13 +256,20 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], number: int) -> Page:
     across, down = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(tags.get(ROWS_PER_STRIP, (height,))[0], height))
     offsets, lengths = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
     planes, depth = (samples, 1) if tags.get(PLANAR, (1,))[0] == 2 else (1, samples)
+    if min(width, height, samples, across, down) < 1 or len(offsets) != len(lengths):
+        raise ValueError("a page, strip or tile without extent")
+    size = width * height * samples
+    if size > min(MOST_RATIO * min(len(data), sum(lengths)), MOST_PIXELS):
+        raise ValueError(f"{size} samples are more than the file can hold")
     columns, rows = -(-width // across), -(-height // down)
+    if planes * rows * columns > len(offsets) or across * down > MOST_RATIO * len(data):
+        raise ValueError("strips or tiles are missing")
     pixels = np.zeros((height, width, samples), np.uint8)
     for k in range(planes * rows * columns):
         plane, rest = divmod(k, rows * columns)
         y, x = rest // columns * down, rest % columns * across
         high = down if tiled else min(down, height - y)
-        raw = np.frombuffer(_decode[kind](data[offsets[k] : offsets[k] + lengths[k]]), np.uint8)
+        raw = np.frombuffer(_decode[kind](data[offsets[k] : offsets[k] + lengths[k]], high * across * depth), np.uint8)
         part = raw[: high * across * depth].reshape(high, across, depth)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -266,7 +286,8 @@ def padded(text: bytes, unit: int, fill: int = 255) -> bytes:
 def text_to_media(docs: DataFrame, text_col: str = "text", settings: TiffSettings | None = None, media_col: str = "media") -> DataFrame:
     """``docs`` with a media column in place of its text: the TIFF of the text's UTF-8 bytes, padded to whole rows, and n_bytes.
 
-    A null text counts as empty and gives one row of padding. Equal texts give equal files.
+    A null or empty text gives one row of padding, a very long one as many pages as it needs. Equal texts give equal files.
+    Repeated rows stay, an empty table gives an empty one, columns named like the new ones give way.
     """
     s = settings or TiffSettings()
     rest = [c for c in docs.columns if c not in (text_col, media_col, "n_bytes")]
@@ -284,9 +305,13 @@ def text_to_media(docs: DataFrame, text_col: str = "text", settings: TiffSetting
     return kept.mapInArrow(run, schema)
 
 
-def media_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
+def media_pages(files: DataFrame, media_col: str = "media", batch_bytes: int = 4 << 20) -> DataFrame:
     """One row for each page of each file: the other columns of ``files``, page, width, height, samples, compression,
-    predictor, pixels and error. A null or broken file gives a row with an error and no pixels, after the pages before it.
+    predictor, pixels and error, in the order of the files and of their pages, without a shuffle.
+
+    A null, empty or broken file gives a row with an error and no pixels, after the pages before it. Repeated rows stay, an
+    empty table gives an empty one, columns named like the new ones give way. One file is decoded page by page; a batch
+    of rows holds about ``batch_bytes`` of pixels or one page.
     """
     own = ("page", "width", "height", "samples", "compression", "predictor", "pixels", "error")
     rest = [c for c in files.columns if c != media_col and c not in own]
@@ -294,18 +319,36 @@ def media_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     kinds = [T.IntegerType()] * 6 + [T.BinaryType(), T.StringType()]
     schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(n, k) for n, k in zip(own, kinds, strict=True))])
 
+    def decoded(data: bytes | None) -> Iterator[tuple]:
+        try:
+            for p in pages(data or b""):
+                yield p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None
+        except ValueError as e:
+            yield (None,) * 7 + (str(e),)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
         for batch in batches:
+            rows: list[tuple] = []
+            of: list[int] = []
+
+            def table(batch=batch, rows=rows, of=of) -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                out = [*(c.take(at) for c in batch.columns[: len(rest)]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+                rows.clear(), of.clear()
+                return pa.RecordBatch.from_arrays(out, schema.names)
+
+            held = 0
             for r in range(batch.num_rows):
-                rows: list[tuple] = []
-                try:
-                    for p in pages(batch.column(len(rest))[r].as_py() or b""):
-                        rows.append((p.number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
-                except ValueError as e:
-                    rows.append((None,) * 7 + (str(e),))
-                row = [c.slice(r, 1).take(pa.array([0] * len(rows))) for c in batch.columns[: len(rest)]]
-                yield pa.RecordBatch.from_arrays([*row, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], schema.names)
+                for row in decoded(batch.column(len(rest))[r].as_py()):
+                    rows.append(row)
+                    of.append(r)
+                    held += len(row[6] or b"")
+                    if held >= batch_bytes:
+                        yield table()
+                        held = 0
+            if rows:
+                yield table()
 
     return kept.mapInArrow(run, schema)
 
@@ -321,23 +364,54 @@ def feature(histogram: np.ndarray) -> str:
 
 
 def media_digest(files: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """A row for each file of ``text_to_media``: digests of the payload read back from its pages, of the file, and a feature."""
+    """A row for each file of ``text_to_media``: digests of the payload read back from its pages, of the file, and a feature.
+
+    The pages come from ``media_pages`` in the order of their file, so a file is folded page by page as its rows pass and is
+    never held whole. A null, empty or broken file keeps its row with the error, and null digests of the payload. Repeated
+    rows stay, equal files give equal values, an empty table an empty one; columns beside the three read are dropped.
+    """
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    stored_form = files.select(
+        F.monotonically_increasing_id().alias("_file"), F.col(id_col).cast("long").alias("_id"), F.col("n_bytes").cast("long").alias("_n"),
+        F.octet_length(media_col).cast("long").alias("_size"), F.sha2(F.col(media_col), 256).alias("_sha"), F.col(media_col).alias("media"),
+    )
+    rows = media_pages(stored_form).select("_file", "_id", "_n", "_size", "_sha", "pixels", "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch in batches:
-            rows = []
-            for number, n_bytes, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                media = media.as_py()
-                whole, size, tail, counts = hashlib.sha256(), 0, b"", np.zeros(256, np.int64)
-                for page in pages(media):
-                    part = page.pixels.tobytes()
-                    whole.update(part)
-                    size += len(part)
-                    tail = (tail + part)[-32:]
-                    counts += np.bincount(page.pixels.reshape(-1), minlength=256)
-                rows.append((number, n_bytes, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature(counts)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        file = None
+
+        def opened(key: tuple) -> None:
+            nonlocal file, whole, size, tail, counts, error
+            file, whole, size, tail, counts, error = key, hashlib.sha256(), 0, b"", np.zeros(256, np.int64), None
 
-    return files.select(F.col(id_col).cast("long").alias(id_col), "n_bytes", media_col).mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        def closed() -> tuple:
+            _, number, n_bytes, media_size, sha = file
+            got = (size, whole.hexdigest(), zlib.crc32(tail)) if error is None else (None, None, None)
+            return (number, n_bytes, *got, media_size, sha, feature(counts) if error is None else None, error)
+
+        whole, size, tail, counts, error = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), None
+        for batch in batches:
+            out = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            errors = batch.column(6).to_pylist()
+            for key, pixels, problem in zip(keys, batch.column(5), errors, strict=True):
+                if file is None or key[0] != file[0]:
+                    if file is not None:
+                        out.append(closed())
+                    opened(key)
+                if problem is not None:
+                    error = problem
+                    continue
+                part = pixels.as_buffer()
+                whole.update(part)
+                size += part.size
+                values = np.frombuffer(part, np.uint8)
+                tail = (tail + values[-32:].tobytes())[-32:]
+                counts += np.bincount(values, minlength=256)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        if file is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(closed(), types, strict=True)], names)
+
+    return rows.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

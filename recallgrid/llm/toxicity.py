@@ -1,14 +1,17 @@
 """Weighted lexicon matching with Aho-Corasick after folding look-alike characters and digit substitutions.
 
 The lexicon holds whole words and word beginnings. Seed entries are a parameter; the others and all weights are learned
-from labelled rows as smoothed log-odds. An exception phrase that covers a match takes it away. A document's evidence is
-the sum of matched weights; a logistic function of its logarithm and of its density per word gives the score.
+from labelled rows as smoothed log-odds. An exception phrase that covers a match takes it away; beside the given phrases,
+pairs of words around an entry that stand in clean labelled rows only are learned as exceptions. A document's evidence is
+the sum of matched weights; a logistic function of its logarithm and of its density per word gives the score. That
+function is fitted on evidence from lexicons that were learned without the rows in question.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,36 +22,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallgrid.llm.encode import text_slices
 from recallgrid.llm.quality import logistic, training_rows
 from recallgrid.llm.shared import stored
 
-# Characters that look like Latin letters, and digits and signs written for letters.
+# Cyrillic, Greek, Armenian and Cherokee letters that look like Latin ones, and digits and signs written for letters.
 LOOKALIKES = {
-    "а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c",
-    "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u",
-    "χ": "x", "ⅰ": "i", "ℓ": "l", "ｉ": "i", "ｏ": "o", "ａ": "a", "ｅ": "e", "ｓ": "s", "ｔ": "t", "0": "o", "1": "i", "3": "e", "4": "a",
-    "5": "s", "7": "t", "​": None, "‌": None, "‍": None, "­": None,
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ғ": "f", "ԍ": "g", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m",
+    "п": "n", "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ӡ": "z", "ё": "e", "ї": "i",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Ꭺ": "a", "Ᏼ": "b", "Ꮯ": "c", "Ꭰ": "d", "Ꭼ": "e", "ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l",
 }
-SIGNS = {"@": "a", "$": "s", "!": "i"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 # Seed words and phrases that excuse a word.
-SEEDS = ("idiot", "moron", "scum", "worthless", "pathetic")
-EXCEPTIONS = ("class clown fish", "clown fish", "trash can", "trash bin", "pond scum")
-
-_fold = str.maketrans(LOOKALIKES)
-_sign = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+SEEDS = ("idiot", "moron", "scum", "worthless", "pathetic", "stupid", "imbecile", "loser", "vermin", "filthy", "dumbass", "bastard", "retard", "degenerate", "subhuman")
+EXCEPTIONS = (
+    "clown fish", "class clown", "trash can", "trash bin", "pond scum", "soap scum", "worthless check", "sore loser", "loser pays", "winner and loser", "fire retardant",
+    "degenerate case", "degenerate matter", "degenerate triangle", "pathetic fallacy", "bastard file", "bastard title", "white trash bag", "filthy rich", "the idiot by dostoevsky",
+)
+
+_letter = re.compile(r"(?:LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL )?|(?:NEGATIVE )?(?:CIRCLED|SQUARED|PARENTHESIZED) LATIN (?:SMALL|CAPITAL) LETTER |REGIONAL INDICATOR SYMBOL LETTER )([A-Z])(?: WITH .*)?$")
+
+
+def _letter_table() -> dict[int, str | None]:
+    """Every character that Unicode names as a form of a Latin letter, to that letter; marks and invisible characters to nothing."""
+    table: dict[int, str | None] = {ord(k): v for k, v in LOOKALIKES.items()}
+    for code in (*range(0x80, 0x2E80), *range(0xA640, 0xAB70), *range(0x1F100, 0x1F200)):
+        char = chr(code)
+        if unicodedata.category(char) in ("Mn", "Cf"):
+            table[code] = None
+        elif found := _letter.match(unicodedata.name(char, "")):
+            table.setdefault(code, found[1].lower())
+    return table
+
+
+_fold = _letter_table()
+_digits = str.maketrans(DIGITS)
+_sign = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
+_numbered = re.compile(r"\b\w*[0-9]\w*")
 _gap = re.compile(r"[^a-z\x80-\U0010ffff]+")
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """sample: most labelled rows that training uses. support: least share (and ``least`` count) of toxic rows with an entry."""
+    """sample: most labelled rows that training uses. support: least share (and ``least`` count) of toxic rows with an entry.
+
+    odds: least log-odds of an entry. letters: shortest and longest word that can become an entry. beginnings: letters of
+    word beginnings. most: entries, and learned exceptions, that a model holds; those of the largest odds. excuse: clean
+    rows that a learned exception stands in. folds: parts of the sample; the curve sees each through the others' lexicon.
+    """
 
     sample: int = 10_000
     support: float = 0.01
     least: int = 3
-    odds: float = 2.5
-    beginnings: tuple[int, ...] = (4, 5, 6)
-    most: int = 5000
+    odds: float = 2.0
+    letters: tuple[int, int] = (3, 40)
+    beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)
+    most: int = 20_000
+    excuse: int = 3
+    folds: int = 3
     seeds: tuple[str, ...] = SEEDS
     exceptions: tuple[str, ...] = EXCEPTIONS
 
@@ -63,22 +96,37 @@ class Lexicon:
 
 
 def folded(text: str) -> str:
-    """Lower-case words of ``text`` after folding, with one space before and after each."""
-    text = text.lower().translate(_fold)
-    if "@" in text or "$" in text or "!" in text:
+    """Lower-case words of ``text`` after folding, with one space before and after each.
+
+    Compatibility forms (full-width, mathematical) and accents go first, then look-alikes; digits count as letters only in
+    words that hold a letter, signs only between letters.
+    """
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).lower().translate(_fold)
+    if _numbered.search(text):
+        text = _numbered.sub(lambda m: m[0].translate(_digits) if any(c.isalpha() for c in m[0]) else m[0], text)
+    if "@" in text or "$" in text or "!" in text or "|" in text:
         text = _sign.sub(lambda m: SIGNS[m[0]], text)
     return f" {_gap.sub(' ', text).strip()} "
 
 
-def candidates(text: str, lengths: Iterable[int]) -> set[str]:
+def candidates(text: str, lengths: Iterable[int], letters: tuple[int, int] = (3, 40)) -> set[str]:
     """Possible entries of one document."""
     words = set(folded(text).split())
-    out = {f"={w}" for w in words if 3 <= len(w) <= 40}
+    out = {f"={w}" for w in words if letters[0] <= len(w) <= letters[1]}
     for k in lengths:
         out |= {f"^{w[:k]}" for w in words if len(w) > k}
     return out
 
 
+def word_pairs(text: str, entries: dict[str, float], lengths: Iterable[int]) -> set[str]:
+    """Pairs of neighbouring words of one document of which one is matched by an entry."""
+    words = folded(text).split()
+    hit = [f"={w}" in entries or any(f"^{w[:k]}" in entries for k in lengths if len(w) > k) for w in words]
+    return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y}
+
+
 class Matcher:
     """The automaton of a lexicon and its exception phrases."""
 
@@ -109,7 +157,16 @@ class Matcher:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if excused:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in excused)}
+            covered, reach, starts = {}, 0, sorted(best)
+            at = 0
+            for a, b in sorted(excused):
+                while at < len(starts) and starts[at] < a:
+                    at += 1
+                while at < len(starts) and starts[at] < b:
+                    covered[starts[at]] = True
+                    at += 1
+                reach = max(reach, b)
+            best = {s: w for s, w in best.items() if s not in covered}
         return sum(best.values()), len(best), words
 
 
@@ -131,43 +188,70 @@ def fit_curve(total: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", settings: ToxicitySettings | None = None) -> Lexicon:
-    """Learn entries, weights and curve from at most ``settings.sample`` labelled rows; texts that repeat teach once."""
-    settings = settings or ToxicitySettings()
-    chosen = F.broadcast(stored(training_rows(docs, labels, label, id_col, settings.sample), "chosen"))  # at most ``sample`` pairs of numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "_id")
-    sample = stored(rows.dropDuplicates(["text", "label"]).select("text", "label"), "sample")
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+def _emitted(sample: DataFrame, found) -> DataFrame:
+    """(entry, label) for every member of ``found(text)`` of each row of ``sample``."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column(1).to_pylist()
-            for r, text in enumerate(batch.column(0).to_pylist()):
-                found = sorted(candidates(text, settings.beginnings))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([kind[r]] * len(found), pa.int32())], ["entry", "label"])
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
+            for low, texts in text_slices(batch.column(0)):
+                per = [sorted(found(t)) for t in texts]
+                sizes = [len(p) for p in per]
+                yield pa.RecordBatch.from_arrays([pa.array([e for p in per for e in p], pa.string()), pa.array(np.repeat(kinds[low : low + len(texts)], sizes), pa.int32())], ["entry", "label"])
+
+    return sample.select("text", "label").mapInArrow(run, "entry string, label int")
 
+
+def _lexicon(sample: DataFrame, settings: ToxicitySettings) -> Lexicon:
+    """Entries and exceptions of the rows of ``sample`` (text, label); the curve is left as it is."""
+    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
     entries = {f"={s}": settings.odds for s in settings.seeds}
+    exceptions = settings.exceptions
     if toxic:
-        need = max(settings.least, math.ceil(settings.support * toxic))
-        seen = sample.mapInArrow(emit, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("other"))
+        need = max(min(settings.least, toxic), math.ceil(settings.support * toxic))
+        seen = _emitted(sample, lambda t: candidates(t, settings.beginnings, settings.letters)).groupBy("entry").agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("other"))
         odds = F.log((F.col("hits") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (clean + 1))
         best = seen.where(F.col("hits") >= need).select("entry", odds.alias("odds")).where(F.col("odds") >= settings.odds).orderBy(F.desc("odds"), "entry").limit(settings.most)
         entries |= {r["entry"]: min(float(r["odds"]), 8.0) for r in best.collect()}  # at most ``most`` entries
-    lexicon = Lexicon(entries, exceptions=settings.exceptions)
-    rated = [(r["total"], r["words"], r["label"]) for r in evidence(sample, lexicon, "text").groupBy("total", "words", "label").agg(F.count(F.lit(1)).alias("n")).select("total", "words", "label", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).collect()]
-    total, words, truth = (np.array(c, float) for c in zip(*rated, strict=True)) if rated else (np.zeros(0),) * 3
-    return Lexicon(entries, fit_curve(total, words, truth), settings.exceptions)
+        shared, lengths = dict(entries), settings.beginnings
+        pairs = _emitted(sample, lambda t: word_pairs(t, shared, lengths)).groupBy("entry").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+        excused = pairs.where((F.col("hits") == 0) & (F.col("n") >= settings.excuse)).orderBy(F.desc("n"), "entry").limit(settings.most)
+        exceptions = (*exceptions, *(r["entry"] for r in excused.collect()))  # at most ``most`` pairs
+    return Lexicon(entries, exceptions=exceptions)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", settings: ToxicitySettings | None = None) -> Lexicon:
+    """Learn entries, exceptions, weights and curve from at most ``settings.sample`` labelled rows; texts that repeat teach once.
+
+    Null texts count as empty. Labels without a document, and without an id or a label of 0 or 1, teach nothing. Without
+    rows, or with labels of one kind only, the lexicon holds the seeds and the curve the smoothed base rate.
+    """
+    settings = settings or ToxicitySettings()
+    chosen = F.broadcast(stored(training_rows(docs, labels, label, id_col, settings.sample), "chosen"))  # at most ``sample`` pairs of numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "_id")
+    fold = F.pmod(F.xxhash64("text", F.lit(77)), F.lit(settings.folds))
+    sample = stored(rows.dropDuplicates(["text", "label"]).select("text", "label", fold.cast("int").alias("fold")), "sample")
+    rated = []
+    for k in range(settings.folds):
+        without = _lexicon(sample.where(F.col("fold") != k), settings)
+        rated += [(r["total"], r["words"], r["label"]) for r in evidence(sample.where(F.col("fold") == k).select("text", "label"), without).select("total", "words", "label").collect()]  # at most ``sample`` rows
+    total, words, truth = (np.array(c, float) for c in zip(*sorted(rated), strict=True)) if rated else (np.zeros(0),) * 3
+    whole = _lexicon(sample, settings)
+    return Lexicon(whole.entries, fit_curve(total, words, truth), whole.exceptions)
 
 
 def evidence(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, and total (weights), matches and words of each text; a null text counts as empty."""
+    """All columns of ``docs``, and total (weights), matches and words of each text; a null text counts as empty.
+
+    Whole texts of any length; repeated rows stay, an empty table gives an empty one, columns of those names give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for batch in batches:
-            got = [matcher.evidence(t or "") for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
+            got = [matcher.evidence(t) for _, texts in text_slices(batch.column(batch.schema.names.index(text_col))) for t in texts]
             total, matches, words = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64()), pa.array(matches, pa.int64()), pa.array(words, pa.int64())], [*batch.schema.names, "total", "matches", "words"])
 
