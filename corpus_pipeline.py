@@ -1,6 +1,9 @@
 """The corpus pipeline: quality, toxicity, near-duplicates, benchmark passages, packing.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whole rows only.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whole rows only. A stage looks at
+whole texts and at all that the stage before it kept. A null text counts as empty, an empty table gives an empty one, further
+columns are carried and may have any name but that of a score; what a stage does with nulls, empty texts, ties and repeated
+rows stands in its docstring.
 """
 
 from __future__ import annotations
@@ -16,30 +19,43 @@ from recallgrid.llm.shared import shared_root
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more."""
+    """Documents whose quality score is 0.3 or more; a tie stays.
+
+    Null and empty texts get the score of the bias alone. Rows that repeat are scored alike, and so stay or go together, with
+    or without an id; rows without an id teach nothing. Without labels every score is 0.5 and all rows stay.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, weights).where(F.col("quality_score") >= 0.3).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5; a tie goes.
+
+    Null and empty texts hold no word and get the score of the bias. Rows that repeat stay or go together.
+    """
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).where(F.col("toxicity_score") < 0.5).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of linked documents."""
+    """One document, that of the least id, of each group of linked documents.
+
+    Null and empty texts are one group; a null id comes last; of rows that repeat id and text one stays.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    items = decontaminate.benchmark_items(table(spark, sf_dir, "benchmark"))
-    return decontaminate.scan(docs, items).where(F.size("hits") == 0).select(*docs.columns)
+    """Documents without a benchmark passage; null and empty texts hold none, rows that repeat stay or go together."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of at most 4096 tokens."""
+    """Pieces of the documents with their places in sequences of at most 4096 tokens.
+
+    Null and empty texts are a piece of the end id alone; rows without an id, or that repeat one, are documents of their own.
+    """
     return packing.pack(packing.cut_pieces(docs, tokenizer_path(), END_ID, CAPACITY), CAPACITY)
 
 
