@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def constant(values: list[float]) -> Column:
+    """A stated vector as one literal expression."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,18 @@ def bigrams(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def lexical_score(query: str, content: Column, stop: tuple[str, ...]) -> Column:
-    """0.35 names + 0.30 terms + 0.20 word pairs + 0.15 exact: what share of the query the content holds."""
-    import re
-
+def query_parts(query: str, stop: tuple[str, ...]) -> tuple[list[str], list[str], list[str]]:
+    """Names, terms and word pairs of a query, in lower case."""
     bare = [re.sub(r"^[\W_]+|[\W_]+$", "", t) for t in query.split()]
-    names = sorted({t.lower() for t in bare if len(t) > 1 and t[0].isupper()})
     words = [t.lower() for t in bare if t]
+    names = sorted({t.lower() for t in bare if len(t) > 1 and t[0].isupper()})
     terms = sorted({t for t in words if len(t) > 2 and t not in stop})
-    pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return names, terms, sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+def lexical_score(query: str, content: Column, stop: tuple[str, ...]) -> Column:
+    """0.35 names + 0.30 terms + 0.20 word pairs + 0.15 exact: what share of the query the content holds."""
+    names, terms, pairs = query_parts(query, stop)
     own = bare_words(content)
     share = lambda wanted, have: F.size(F.array_intersect(F.array(*map(F.lit, wanted)), have)) / len(wanted) if wanted else F.lit(0.0)
     exact = F.when(F.contains(F.lower(content), F.lit(query.lower())), 0.15).otherwise(0.0)

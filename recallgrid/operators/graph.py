@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recallgrid.sources.shared import stored
+from recallgrid.operators.components import components as linked
+from recallgrid.sources.shared import discard, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -42,40 +46,68 @@ def spread(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.
     return reached.groupBy("id").agg(F.max("activation").alias("activation"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-10, local_edges: int = 200_000) -> DataFrame:
     """(id, rank): personalised PageRank on the undirected weighted graph; dangling mass returns to the seeds.
 
-    Where two edges join the same pair the larger weight counts. Every round's ranks are written to the shared folder, so
-    neither plan nor lineage grows with the rounds.
+    Where two edges join the same pair the larger weight counts. Rounds end when the ranks change by ``tolerance`` in all,
+    or after ``rounds``. A graph of at most ``local_edges`` directed edges is walked in one task; a larger one by joins, with
+    every fifth round's ranks written to the shared folder, so that neither plan nor lineage grows. Without seeds all is 0.
     """
     both = undirected(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
     share = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     nodes = both.select(F.col("src").alias("id")).unionAll(seeds.select("id")).distinct()
     size = seeds.agg(F.count(F.lit(1)).alias("n"))
-    start = nodes.join(seeds.select("id", F.lit(1.0).alias("s")), "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) / size.scalar()).alias("seed"))
+    start = nodes.join(seeds.select("id", F.lit(1.0).alias("s")).distinct(), "id", "left").select("id", F.coalesce(F.try_divide(F.coalesce("s", F.lit(0.0)), size.scalar()), F.lit(0.0)).alias("seed"))
     start = start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("ends")), "id", "left").select("id", "seed", F.coalesce("ends", F.lit(True)).alias("ends"))
     share, start = stored(share, "shares"), stored(start, "seeds")
-    ranks = start.select("id", "seed", "ends", F.col("seed").alias("rank"))
-    for _ in range(rounds):
+    if share.count() <= local_edges:
+        return _walked(share, start, alpha, rounds, tolerance)
+    ranks, last = start.select("id", "seed", "ends", F.col("seed").alias("rank")), None
+    for turn in range(1, rounds + 1):
         sent = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost")).scalar()
-        joined = start.join(sent.withColumnRenamed("dst", "id"), "id", "left")
-        turned = joined.select("id", "seed", "ends", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed")) + (1 - alpha) * F.col("seed")).alias("rank"))
+        joined = start.join(sent.withColumnRenamed("dst", "id"), "id", "left").join(ranks.select("id", F.col("rank").alias("old")), "id")
+        turned = joined.select("id", "seed", "ends", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed")) + (1 - alpha) * F.col("seed")).alias("rank"), "old")
+        if turn % 5:
+            ranks = turned.drop("old")
+            continue
         ranks = stored(turned, "ranks")
+        discard(last)
+        last = ranks
+        if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= tolerance:
+            break
     return ranks.select("id", "rank")
 
 
-def components(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, component): the least id that is reached by min-label spreading with pointer jumping; 2**rounds steps are covered."""
-    both = stored(undirected(edges.withColumn("weight", F.lit(1.0))).select("src", "dst").distinct(), "edges")
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        labels = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        over = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        labels = stored(labels.join(over, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
-    return labels
+def _walked(share: DataFrame, start: DataFrame, alpha: float, rounds: int, tolerance: float) -> DataFrame:
+    """``page_rank`` of a graph whose size has been checked, in one task."""
+    kind = start.schema["id"].dataType
+    rows = share.select(F.col("src").alias("id"), "dst", "share", F.lit(None).cast("double").alias("seed"), F.lit(None).cast("boolean").alias("ends"))
+    rows = rows.unionAll(start.select("id", F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("share"), "seed", "ends")).withColumn("all", F.lit(0))
+
+    def walk(graph: pd.DataFrame) -> pd.DataFrame:
+        nodes = graph[graph["seed"].notna()].sort_values("id", ignore_index=True)
+        links = graph[graph["share"].notna()]
+        at = pd.Series(np.arange(len(nodes)), index=nodes["id"])
+        src, dst, weight = at[links["id"]].to_numpy(), at[links["dst"]].to_numpy(), links["share"].to_numpy(float)
+        seed, ends = nodes["seed"].to_numpy(float), nodes["ends"].to_numpy(bool)
+        rank = seed
+        for _ in range(rounds):
+            turned = alpha * (np.bincount(dst, rank[src] * weight, len(nodes)) + rank[ends].sum() * seed) + (1 - alpha) * seed
+            moved, rank = np.abs(turned - rank).sum(), turned
+            if moved <= tolerance:
+                break
+        return pd.DataFrame({"id": nodes["id"], "rank": rank})
+
+    return rows.groupBy("all").applyInPandas(walk, T.StructType([T.StructField("id", kind), T.StructField("rank", T.DoubleType())]))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that is reached, for every end of an edge (long ids), whatever the length of the paths."""
+    found = linked(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select(F.col("node").alias("id"), F.col("least").alias("component"))
 
 
 def missing_links(pairs: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
@@ -108,6 +140,17 @@ def transitions(events: DataFrame, key: str, order: list[str], state: str) -> Da
     return events.select(F.lag(state).over(w).alias("src"), F.col(state).alias("dst")).where("src is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def order_votes(events: DataFrame, key: str, kind: str, ts: str, least: int = 3) -> DataFrame:
+    """(a, b, before, after) of kinds a < b: in how many keys a first stands before, or after, b; pairs of ``least`` keys or more.
+
+    Kinds of a key are few; ties in time do not vote.
+    """
+    first = events.groupBy(key, kind).agg(F.min(ts).alias("t"))
+    both = first.select(key, F.col(kind).alias("a"), F.col("t").alias("ta")).join(first.select(key, F.col(kind).alias("b"), F.col("t").alias("tb")), key).where("a < b and ta <> tb")
+    votes = both.groupBy("a", "b").agg(F.count_if(F.col("ta") < F.col("tb")).alias("before"), F.count_if(F.col("ta") > F.col("tb")).alias("after"))
+    return votes.where(F.col("before") + F.col("after") >= least)
+
+
 def stochastic(counts: DataFrame) -> DataFrame:
     """Counts over the sum of their source."""
     return counts.select("src", "dst", (F.col("n") / F.sum("n").over(Window.partitionBy("src"))).alias("p"))
@@ -124,14 +167,32 @@ def successors(chances: DataFrame, gamma: float = 0.9, terms: int = 20) -> DataF
     return total.groupBy("src", "dst").agg(F.sum("m").alias("m"))
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community): label spreading by summed weight, ties to the least label; deterministic, a written table each round."""
+def successors_from(chances: DataFrame, seeds: DataFrame, gamma: float = 0.9, terms: int = 8) -> DataFrame:
+    """(id, m): discounted visits of the states that follow ``seeds`` (id), over ``terms`` steps; the seeds themselves left out."""
+    front = seeds.select(F.col("id").alias("at"), F.lit(1.0).alias("m"))
+    total = None
+    for _ in range(terms):
+        front = front.join(chances, front["at"] == chances["src"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("m") * F.col("p") * gamma).alias("m")).withColumnRenamed("to", "at")
+        total = front if total is None else total.unionAll(front)
+    return total.groupBy(F.col("at").alias("id")).agg(F.sum("m").alias("m")).join(seeds.select("id"), "id", "left_anti")
+
+
+def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, community): label spreading by summed weight, a node's own label with its strongest edge's weight, ties to the
+    least label; deterministic. It ends when no label changes, or after ``rounds`` where labels keep swinging.
+    """
     both = stored(undirected(edges), "edges")
-    labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
+    own = both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")
+    both = stored(both.unionByName(own), "edges")
+    labels = stored(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = seen.groupBy("src").agg(F.min(F.struct((-F.round("w", 6)).alias("w"), "community"))["community"].alias("community"))
-        labels = stored(best.withColumnRenamed("src", "id"), "labels")
+        last, labels = labels, stored(best.withColumnRenamed("src", "id"), "labels")
+        same = labels.join(last, ["id", "community"], "left_anti").isEmpty()
+        discard(last)
+        if same:
+            break
     return labels
 
 

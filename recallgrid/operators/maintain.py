@@ -25,6 +25,13 @@ def strengthen(memories: DataFrame) -> DataFrame:
     return memories.withColumn("importance", F.when((F.col("access_count") > 5) & (F.col("confidence") > 0.8), raised).otherwise(F.col("importance")))
 
 
+def validated(memories: DataFrame, files: DataFrame, path: str = "directory") -> DataFrame:
+    """Memories marked stale where the file at their ``path`` has another hash now; those of unknown files stay as they are."""
+    now = files.select(F.col("path").alias(path), F.col("hash").alias("_hash"))
+    stale = F.when(F.col("_hash").isNull(), F.col("is_stale")).otherwise(F.coalesce(F.col("file_hash") != F.col("_hash"), F.lit(True)))
+    return memories.join(now, path, "left").withColumn("is_stale", stale).drop("_hash")
+
+
 def reweigh(edges: DataFrame, heat: DataFrame) -> DataFrame:
     """Edges between hot ends (mean over 0.7, weight 5 or more) gain 0.5; between cold ends (under 0.1) lose a tenth, not below 0.1."""
     a, b = heat.select(F.col("id").alias("src"), F.col("heat").alias("_a")), heat.select(F.col("id").alias("dst"), F.col("heat").alias("_b"))

@@ -52,11 +52,14 @@ def time_neighbours(rows: DataFrame, minutes: int, ts: str = "created_at") -> Da
 def mentions(rows: DataFrame, entities: DataFrame, text: str = "content") -> DataFrame:
     """(id, name) where the lower-case text holds the lower-case name.
 
-    A name is found by its first word in the words of the text, an equi-join, then checked as a substring that begins a word.
+    A name is found by its first word among the words of a text, an equi-join of (id, word) pairs; then the names found
+    join their text, once by id, and are checked as substrings that begin a word.
     """
-    words = rows.select("id", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("word"), F.lower(text).alias("low"))
-    keyed = entities.select("name", F.lower("name").alias("low_name")).withColumn("word", F.regexp_extract("low_name", r"[\p{L}\p{N}_]+", 0))
-    return words.join(keyed, "word").where(F.contains("low", F.col("low_name"))).select("id", "name").distinct()
+    keyed = entities.select("name", F.regexp_extract(F.lower("name"), r"[\p{L}\p{N}_]+", 0).alias("word")).distinct()
+    words = rows.select("id", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("word"))
+    near = words.join(keyed, "word").groupBy("id").agg(F.collect_set("name").alias("names"))
+    found = rows.select("id", F.lower(text).alias("low")).join(near, "id")
+    return found.select("id", F.explode(F.filter("names", lambda n: F.contains(F.col("low"), F.lower(n)))).alias("name")).distinct()
 
 
 def fired(context: DataFrame, triggers: DataFrame) -> DataFrame:

@@ -95,3 +95,36 @@ def apply_rules(rows: DataFrame, rules: list[Rule], score: str = "score") -> Dat
         else:
             rows = rows.withColumn(score, F.when(test, F.col(score) + (amount if name == "boost" else -amount)).otherwise(F.col(score)))
     return rows
+
+
+def checked(rule: Rule) -> Rule:
+    """The rule, or a ValueError: kinds, scopes, conditions and actions must be known; hard rules filter."""
+    if rule.kind not in ("hard", "soft"):
+        raise ValueError(f"kind must be hard or soft, not {rule.kind!r}")
+    if rule.scope not in ("global", "directory", "file"):
+        raise ValueError(f"scope must be global, directory or file, not {rule.scope!r}")
+    parse(rule.condition)
+    if parse_action(rule.action)[0] != "filter" and rule.kind == "hard":
+        raise ValueError("hard rules filter")
+    return rule
+
+
+def added(rules: DataFrame, rule: Rule) -> DataFrame:
+    """The table of rules (id, condition, action, kind, scope, value, priority, active) with a checked rule under the next id."""
+    r = checked(rule)
+    number = (F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id")
+    fields = {"condition": r.condition, "action": r.action, "kind": r.kind, "scope": r.scope, "value": r.value, "priority": r.priority, "active": r.active}
+    return rules.unionByName(rules.agg(number).select("id", *(F.lit(v).alias(k) for k, v in fields.items())))
+
+
+def retired(rules: DataFrame, number: int) -> DataFrame:
+    """The table with a rule out of use; the row stays."""
+    return rules.withColumn("active", F.col("active") & (F.col("id") != number))
+
+
+def listed(rules: DataFrame) -> DataFrame:
+    """Rules in use with their place, by scope and falling priority."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scope", F.desc("priority"), "id"))  # rules are written by hand
+    return rules.where("active").withColumn("place", place)

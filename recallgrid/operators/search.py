@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,105 @@ def top_by(df: DataFrame, keys: list[str], k: int, score: str, ties: str = "id",
 
 def nearest(memories: DataFrame, query: list[float], k: int = 10, min_heat: float = 0.1, vector: str = "embedding") -> DataFrame:
     """(id, similarity): the k nearest memories by Euclidean distance, heat filtered before the cut."""
-    q = F.array(*(F.lit(float(x)) for x in query))
+    q = V.constant(query)
     scored = memories.where((F.col("heat") >= min_heat) & F.col(vector).isNotNull()).select("id", F.round(V.similarity(F.col(vector), q), 6).alias("similarity"))
     return top(scored, k, "similarity")
 
 
-def nearest_batch(memories: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, min_heat: float = 0.1, vector: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity, rank) for a block of stated queries: each memory is read once for all of them."""
-    block = F.array(*(F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for i, v in queries))
-    hot = memories.where((F.col("heat") >= min_heat) & F.col(vector).isNotNull())
-    pairs = hot.select("id", vector, F.inline(block)).select("query_id", "id", F.round(V.similarity(F.col(vector), F.col("v")), 6).alias("similarity"))
-    return top_by(pairs, ["query_id"], k, "similarity")
+def nearest_batch(memories: DataFrame, queries: DataFrame, k: int = 10, min_heat: float = 0.1, vector: str = "embedding", block: int = 512, chunk: int = 65536) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest memories of each row of ``queries`` (query_id, query), exactly.
+
+    Queries are dealt into blocks and memories into chunks by a hash; a block and a chunk meet in one task as matrices, and
+    only the k best of each query leave it. A memory travels once for each block of queries.
+    """
+    hot = memories.where((F.col("heat") >= min_heat) & F.col(vector).isNotNull()).select("id", F.col(vector).alias("v"))
+    asked = queries.where("query is not null").select("query_id", "query")
+    n = lambda rows, size: rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias("n")).scalar()
+    blocks, chunks = n(asked, block), n(hot, chunk)
+    left = hot.select("id", "v", F.pmod(F.xxhash64("id"), chunks).alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    right = asked.select("query_id", "query", F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("i"))
+
+    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        rows = rows.sort_values("id", ignore_index=True)
+        x = np.stack(rows["v"].map(np.asarray)).astype(float)
+        found = []
+        for number, query in zip(asked["query_id"], asked["query"], strict=True):
+            near = np.round(1 / (1 + np.sqrt(((x - np.asarray(query, float)) ** 2).sum(axis=1))), 6)
+            best = np.argsort(-near, kind="stable")[:k]
+            found.append(pd.DataFrame({"query_id": number, "id": rows["id"].to_numpy()[best], "similarity": near[best]}))
+        return pd.concat(found, ignore_index=True)
+
+    keys = ["i", "j"]
+    left, right = left.withColumn("i", F.col("i").cast("int")), right.select("query_id", "query", "i", "j")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, similarity double")
+    return top_by(met, ["query_id"], k, "similarity")
+
+
+def hot_scores(memories: DataFrame, query: list[float], min_heat: float, most: int, vector: str) -> DataFrame:
+    """(query_id, id, s): dot products of the ``most`` hottest memories with the query; a pool of bounded size."""
+    hot = top(memories.where((F.col("heat") >= min_heat) & F.col(vector).isNotNull()).select("id", "heat", vector), most, "heat")
+    return hot.select(F.lit(0).alias("query_id"), "id", V.dot(F.col(vector), V.constant(query)).alias("s"))
+
+
+def hopfield(memories: DataFrame, query: list[float], beta: float = 8.0, min_heat: float = 0.1, most: int = 5000, sparse: bool = False, vector: str = "embedding") -> DataFrame:
+    """(id, weight): softmax, or sparsemax if ``sparse``, of beta times the dot products of the ``most`` hottest memories."""
+    s = hot_scores(memories, query, min_heat, most, vector)
+    weighed = V.sparsemax(s.withColumn("s", beta * F.col("s")), ["query_id"], "s", "id", "w") if sparse else V.softmax(s, ["query_id"], "s", beta, "w")
+    return weighed.select("id", F.round("w", 6).alias("weight"))
+
+
+def energy(memories: DataFrame, query: list[float], beta: float = 8.0, min_heat: float = 0.1, most: int = 5000, vector: str = "embedding") -> DataFrame:
+    """(energy): half the query's square minus the log-sum-exp of the hottest memories over beta."""
+    z = hot_scores(memories, query, min_heat, most, vector).select((beta * F.col("s")).alias("z"))
+    summed = z.agg(F.collect_list("z").alias("z")).select(F.array_max("z").alias("t"), "z")  # at most ``most`` numbers
+    spread = F.aggregate(F.transform("z", lambda x: F.exp(x - F.col("t"))), F.lit(0.0), lambda a, x: a + x)
+    return summed.select(F.round(-(F.col("t") + F.log(spread)) / beta + 0.5 * sum(x * x for x in query), 6).alias("energy"))
+
+
+def dual_nearest(memories: DataFrame, query: list[float], k: int = 10, min_heat: float = 0.1, weight: float = 0.3, vector: str = "embedding", implicit: str = "implicit") -> DataFrame:
+    """(id, score): the k nearest by either vector, (1 - weight) of the explicit and ``weight`` of the implicit similarity."""
+    a = nearest(memories, query, k, min_heat, vector).select("id", ((1 - weight) * F.col("similarity")).alias("s"))
+    b = nearest(memories, query, k, min_heat, implicit).select("id", (weight * F.col("similarity")).alias("s"))
+    return top(a.unionAll(b).groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")), k, "score")
+
+
+def naming(memories: DataFrame, name: str, min_heat: float = 0.1, text: str = "content") -> DataFrame:
+    """Memories of some heat that hold a name: as a phrase of words or, where no memory has that, as a part of the text."""
+    rows = memories.where(F.col("heat") >= min_heat)
+    words = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
+    spoken = F.concat(F.lit(" "), F.array_join(tokens(F.lit(name)), " "), F.lit(" "))
+    phrase = F.contains(words, spoken)
+    any_phrase = rows.agg(F.coalesce(F.max(phrase), F.lit(False))).scalar()
+    return rows.where(F.when(any_phrase, phrase).otherwise(F.contains(F.lower(text), F.lit(name.lower()))))
+
+
+def passage_clusters(pool: DataFrame, stop: tuple[str, ...], overlap: float = 0.3, size: int = 3, most: int = 20) -> DataFrame:
+    """(query_id, id, cluster) of the ``most`` best rows of each query: a row opens a cluster unless it is in one, and takes
+    the rows that follow it while they share ``overlap`` of the words, until one is taken already or the cluster is full.
+    """
+    ignored = set(stop)
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank", ignore_index=True)
+        words = [set((t or "").lower().split()) - ignored for t in rows["content"]]
+        cluster = np.full(len(rows), -1)
+        for i in range(len(rows)):
+            if cluster[i] >= 0:
+                continue
+            cluster[i], held = i, 1
+            for j in range(i + 1, len(rows)):
+                if cluster[j] >= 0 or held >= size:
+                    break
+                union = len(words[i] | words[j])
+                if union and len(words[i] & words[j]) / union >= overlap:
+                    cluster[j], held = i, held + 1
+        return pd.DataFrame({"query_id": rows["query_id"], "id": rows["id"], "cluster": cluster})
+
+    best = top_by(pool, ["query_id"], most, "score")
+    return best.groupBy("query_id").applyInPandas(group, "query_id long, id long, cluster long")
+
 
 
 LEVEL_WEIGHTS = ((10, (0.3, 0.5, 1.0)), (31, (1.0, 1.0, 1.0)), (None, (1.0, 0.5, 0.3)))  # fixed values: fewer words than this, weights of levels 0, 1, 2
@@ -43,7 +133,7 @@ def tree(memories: DataFrame, query: list[float], text: str, keys: tuple[str, st
     the number of words of the query: short ones prefer the broad levels, long ones the memories.
     """
     weights = next(w for below, w in LEVEL_WEIGHTS if below is None or len(text.split()) < below)
-    q = F.array(*(F.lit(float(x)) for x in query))
+    q = V.constant(query)
     levels = [memories.where(F.col(vector).isNotNull()).select(F.col("id").cast("string").alias("item"), F.round(weights[0] * V.similarity(F.col(vector), q), 6).alias("score"))]
     for key, weight in zip(keys, weights[1:], strict=True):
         levels.append(V.centroid(memories, [key], vector, unit=False).select(F.col(key).cast("string").alias("item"), F.round(weight * V.cosine(F.col("centroid"), q), 6).alias("score")))
@@ -88,8 +178,6 @@ def _occurrences(array: str, value: str) -> Column:
 
 def mmr(candidates: DataFrame, k: int, keep: float = 0.7, score: str = "score", vector: str = "embedding") -> DataFrame:
     """Greedy maximal marginal relevance by query_id: relevance against the closest chosen vector. Pools are cut before (2k rows)."""
-    import numpy as np
-    import pandas as pd
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values([score, "id"], ascending=[False, True], ignore_index=True)

@@ -34,14 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory rows from documents, embeddings and events; all scores are integer arithmetic on the id."""
+    """A memory for every document, with its vector and label where embeddings has them and the time of the event of its
+    id; all scores are integer arithmetic on the id."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     t = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
     i = F.col("id")
     share = lambda k: (i * k % 100) / F.lit(1e2)
     tags = F.array("lang", F.concat(F.lit("t"), i % 5))
-    return d.join(e, "id").join(t, "id").select(
+    return d.join(e, "id", "left").join(t, "id", "left").select(
         "id",
         F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, PHRASES)), (i % len(PHRASES)).cast("int"))).alias("content"),
         "text",
@@ -57,9 +58,13 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories that have a vector."""
+    return memories(spark, sf_dir).where("embedding is not null")
+
+
 _case = " ".join(f"WHEN {n} THEN {quoted(p)}" for n, p in enumerate(PHRASES))
-MEM_SQL = f"""
-mem AS (SELECT d.doc_id AS id, d.text || ' ' || CASE d.doc_id % {len(PHRASES)} {_case} END AS content, d.text, '/src/' || d.source AS directory,
+_BODY = f"""(SELECT d.doc_id AS id, d.text || ' ' || CASE d.doc_id % {len(PHRASES)} {_case} END AS content, d.text, '/src/' || d.source AS directory,
   CASE WHEN d.doc_id % 6 = 0 THEN [d.lang, 't' || (d.doc_id % 5), 'standard'] ELSE [d.lang, 't' || (d.doc_id % 5)] END AS tags,
   CAST(e.embedding AS DOUBLE[]) AS embedding, e.label, (d.doc_id * 37 % 100) / 1e2 AS heat, (d.doc_id * 53 % 100) / 1e2 AS importance,
   (d.doc_id * 29 % 200 - 100) / 1e2 AS valence, (d.doc_id * 71 % 100) / 1e2 AS confidence, (d.doc_id * 17 % 100) / 1e2 AS surprise,
@@ -67,7 +72,9 @@ mem AS (SELECT d.doc_id AS id, d.text || ' ' || CASE d.doc_id % {len(PHRASES)} {
   d.doc_id % 11 = 0 AS is_stale, d.doc_id % 13 = 0 AS is_protected, 'h' || (d.doc_id % 50) AS file_hash,
   CASE WHEN d.doc_id % 3 = 0 THEN 'semantic' ELSE 'episodic' END AS store_type, d.doc_id % 20 AS slot, d.doc_id % 30 AS session_id, 'agent-' || (d.doc_id % 3) AS agent,
   ev.ts AS created_at, ev.ts + to_hours(CAST(d.doc_id % 72 AS INTEGER)) AS last_accessed
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id JOIN events ev ON ev.event_id = d.doc_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN events ev ON ev.event_id = d.doc_id)"""
+MEM_SQL = f"mem AS {_BODY}"
+VEC_SQL = f"every AS {_BODY}, mem AS (SELECT * FROM every WHERE embedding IS NOT NULL)"
 HOURS_SQL = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us({{}})) / 3.6e9"
 
 

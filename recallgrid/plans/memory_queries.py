@@ -10,7 +10,7 @@ from recallgrid.functions import patterns as P
 from recallgrid.functions import scoring as S
 from recallgrid.functions import vectors as V
 from recallgrid.operators import fusion, metrics, relate, replicas, rules, search
-from recallgrid.plans.frames import HOURS_SQL, MEM_SQL, memories, now, quoted, table
+from recallgrid.plans.frames import HOURS_SQL, MEM_SQL, VEC_SQL, memories, now, quoted, table, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,16 @@ def over_memories(name: str, sql: str):
     return add
 
 
+def over_vectors(name: str, sql: str):
+    """A query that is a function of the memories with a vector."""
+
+    def add(f):
+        query(name, sql, VEC_SQL)(lambda spark, d: f(vectors(spark, d)))
+        return f
+
+    return add
+
+
 AGE, IDLE = HOURS_SQL.format("created_at"), HOURS_SQL.format("last_accessed")
 age = lambda: S.hours_between(c("created_at"), now())
 idle = lambda: S.hours_between(c("last_accessed"), now())
@@ -62,7 +72,7 @@ def _(m):
 
 @over_memories("a5_directory_scan", "SELECT id, heat, importance FROM mem WHERE directory = '/src/src3' AND heat >= 0.1")
 def _(m):
-    return m.where("directory = '/src/src3' AND heat >= 0.1").select("id", "heat", "importance").orderBy(F.desc("heat"), "id")
+    return m.where("directory = '/src/src3' AND heat >= 0.1").select("id", "heat", "importance")
 
 
 @over_memories("a6_stale_scan", "SELECT id, file_hash FROM mem WHERE is_stale AND heat > 0")
@@ -70,32 +80,11 @@ def _(m):
     return m.where("is_stale AND heat > 0").select("id", "file_hash")
 
 
-@over_memories("a8_cascade_delete", "SELECT id, directory FROM mem WHERE id NOT IN (SELECT id FROM mem WHERE file_hash IN ('h1', 'h7'))")
-def _(m):
-    return m.join(m.where(c("file_hash").isin("h1", "h7")).select("id"), "id", "left_anti").select("id", "directory")
-
-
-@over_memories("a9_profile_upsert", "SELECT directory, tags[1] AS key, least(1.0, round(min(confidence) + 0.1 * (count(*) - 1), 6)) AS confidence, count(*) AS evidence FROM mem GROUP BY ALL")
-def _(m):
-    grown = F.least(F.lit(1.0), F.round(F.min("confidence") + 0.1 * (F.count(F.lit(1)) - 1), 6))
-    return m.groupBy("directory", F.element_at("tags", 1).alias("key")).agg(grown.alias("confidence"), F.count(F.lit(1)).alias("evidence"))
-
-
-@query("a7_incremental_scan", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 9000", "")
-def _(spark, d):
-    return table(spark, d, "events").where("event_id > 9000").select("event_id", "user_id", "event_type")
-
-
 @query("a14_file_hashes", "SELECT page_id, sha256(html) AS hash FROM pages", "")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("hash"))
 
 
-@query("a15_action_summary", "SELECT event_id, event_type, substr(coalesce(nullif(props, ''), event_type), 1, 200) AS summary FROM events", "")
-def _(spark, d):
-    return table(spark, d, "events").select("event_id", "event_type", F.substring(F.coalesce(F.nullif("props", F.lit("")), "event_type"), 1, 200).alias("summary"))
-
-
 @query("a16_conversation_pairs", """SELECT conv_id, CAST(floor((rn - 1) / 2) AS BIGINT) AS pair, string_agg(role || ': ' || text, chr(10) ORDER BY rn) AS content FROM
   (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role <> 'system') GROUP BY ALL""", "")
 def _(spark, d):
@@ -125,16 +114,6 @@ for _name, _condition, _sql in (
     over_memories(f"b2_condition_{_name}", f"SELECT id FROM mem WHERE {_sql}")(lambda m, x=_condition: m.where(rules.predicate(x, m.columns)).select("id"))
 
 
-@over_memories("b6_prune", "SELECT id FROM mem WHERE heat < 0.2 AND confidence < 0.3 AND access_count < 4")
-def _(m):
-    return m.where("heat < 0.2 AND confidence < 0.3 AND access_count < 4").select("id")
-
-
-@over_memories("b7_strengthen", "SELECT id, round(CASE WHEN access_count > 5 AND confidence > 0.8 THEN least(importance + 0.1, 1.0) ELSE importance END, 6) AS importance FROM mem")
-def _(m):
-    return m.select("id", r6(F.when((c("access_count") > 5) & (c("confidence") > 0.8), F.least(c("importance") + 0.1, F.lit(1.0))).otherwise(c("importance")), "importance"))
-
-
 @over_memories("b9_time_range", "SELECT id FROM mem WHERE created_at BETWEEN TIMESTAMP '2024-01-01 03:00:00' AND TIMESTAMP '2024-01-01 09:00:00' AND month(created_at) = 1")
 def _(m):
     return m.where(c("created_at").between(F.lit("2024-01-01 03:00:00").cast("timestamp_ntz"), F.lit("2024-01-01 09:00:00").cast("timestamp_ntz")) & (F.month("created_at") == 1)).select("id")
@@ -199,16 +178,16 @@ MISMATCH_SQL = f"""x1 AS (SELECT *, 0.5 * (1 - {DOT_SQL.format(a='embedding', b=
 
 
 def _mismatch(m):
-    near = V.cosine(c("embedding"), F.array(*map(F.lit, STATIC)))
+    near = V.cosine(c("embedding"), V.constant(STATIC))
     return m.withColumn("m", S.mismatch(near, c("directory"), F.lit("/src/src3"), idle(), c("tags"), F.array(F.lit("en"), F.lit("t1"), F.lit("standard"))))
 
 
-@over_memories("h20_mismatch", f", {MISMATCH_SQL} SELECT id, round(m, 6) AS mismatch FROM x2")
+@over_vectors("h20_mismatch", f", {MISMATCH_SQL} SELECT id, round(m, 6) AS mismatch FROM x2")
 def _(m):
     return _mismatch(m).select("id", r6(c("m"), "mismatch"))
 
 
-@over_memories("h21_reconsolidate", f""", {MISMATCH_SQL} SELECT id, CASE WHEN is_protected OR round(m, 6) < 0.3 + 0.2 * stability - l THEN 'none' WHEN round(m, 6) < 0.7 + 0.1 * stability - l THEN 'update' ELSE 'archive' END AS decision
+@over_vectors("h21_reconsolidate", f""", {MISMATCH_SQL} SELECT id, CASE WHEN is_protected OR round(m, 6) < 0.3 + 0.2 * stability - l THEN 'none' WHEN round(m, 6) < 0.7 + 0.1 * stability - l THEN 'update' ELSE 'archive' END AS decision
   FROM (SELECT *, CASE WHEN plasticity > 0.5 THEN 0.1 ELSE 0.0 END AS l FROM x2)""")
 def _(m):
     return _mismatch(m).select("id", S.reconsolidation(F.round("m", 6), c("stability"), c("plasticity"), c("is_protected")).alias("decision"))
@@ -324,24 +303,25 @@ def _(m):
 
 
 # Vectors and search
-@over_memories("f1_nearest", f"SELECT id, round(1 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS similarity FROM mem WHERE heat >= 0.1 ORDER BY similarity DESC, id LIMIT 10")
+@over_vectors("f1_nearest", f"SELECT id, round(1 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS similarity FROM mem WHERE heat >= 0.1 ORDER BY similarity DESC, id LIMIT 10")
 def _(m):
     return search.nearest(m, STATIC)
 
 
-@over_memories("f4_cosine_rank", f"SELECT id, round({DOT_SQL.format(a='embedding', b=STATIC_SQL)} / sqrt({DOT_SQL.format(a='embedding', b='embedding')}) / sqrt({DOT_SQL.format(a=STATIC_SQL, b=STATIC_SQL)}), 6) AS cosine FROM mem ORDER BY cosine DESC, id LIMIT 20")
+@over_vectors("f4_cosine_rank", f"SELECT id, round({DOT_SQL.format(a='embedding', b=STATIC_SQL)} / sqrt({DOT_SQL.format(a='embedding', b='embedding')}) / sqrt({DOT_SQL.format(a=STATIC_SQL, b=STATIC_SQL)}), 6) AS cosine FROM mem ORDER BY cosine DESC, id LIMIT 20")
 def _(m):
-    return search.top(m.select("id", r6(V.cosine(c("embedding"), F.array(*map(F.lit, STATIC))), "cosine")), 20, "cosine")
-
-
-QUERY_IDS = (5, 55, 205)
+    return search.top(m.select("id", r6(V.cosine(c("embedding"), V.constant(STATIC)), "cosine")), 20, "cosine")
 
 
-@over_memories("f1_nearest_batch", f""", p AS (SELECT b.id AS query_id, a.id, round(1 / (1 + {DIST_SQL.format(a='a.embedding', b='b.embedding')}), 6) AS similarity FROM mem a, mem b WHERE a.heat >= 0.1 AND b.id IN {QUERY_IDS})
+# The stated query set: every memory whose id is divisible by 100, against all memories.
+@over_vectors("f1_nearest_batch", f""", p AS (SELECT b.id AS query_id, a.id, round(1 / (1 + {DIST_SQL.format(a='a.embedding', b='b.embedding')}), 6) AS similarity FROM mem a, mem b WHERE a.heat >= 0.1 AND b.id % 100 = 0)
   SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p) WHERE rank <= 10""")
 def _(m):
-    queries = [(row["id"], list(row["embedding"])) for row in m.where(c("id").isin(*QUERY_IDS)).select("id", "embedding").collect()]
-    return search.nearest_batch(m, queries)
+    return search.nearest_batch(m, _asked_vectors(m))
+
+
+def _asked_vectors(m):
+    return m.where("id % 100 = 0").select(c("id").alias("query_id"), c("embedding").alias("query"))
 
 
 TERMS = {"the": 1.0, "of": 1.0, "parser": 2.0, "architecture": 1.0, "postgres": 3.0}
@@ -357,54 +337,53 @@ def _(m):
     return search.bm25(m, TERMS)
 
 
-@over_memories("f5_hopfield", f""", s AS (SELECT id, {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS s FROM mem WHERE heat >= 0.3), e AS (SELECT id, exp(8 * (s - max(s) OVER ())) AS e FROM s)
+HOT_SQL = "(SELECT * FROM mem WHERE embedding IS NOT NULL AND heat >= 0.3 ORDER BY heat DESC, id LIMIT 5000)"
+
+
+@over_vectors("f5_hopfield", f""", s AS (SELECT id, {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS s FROM {HOT_SQL}), e AS (SELECT id, exp(8 * (s - max(s) OVER ())) AS e FROM s)
   SELECT id, round(e / sum(e) OVER (), 6) AS weight FROM e ORDER BY weight DESC, id LIMIT 20""")
 def _(m):
-    s = m.where("heat >= 0.3").select(F.lit(0).alias("query_id"), "id", V.dot(c("embedding"), F.array(*map(F.lit, STATIC))).alias("s"))
-    return search.top(V.softmax(s, ["query_id"], "s", 8.0, "weight").select("id", r6(c("weight"), "weight")), 20, "weight")
+    return search.top(search.hopfield(m, STATIC, min_heat=0.3), 20, "weight")
 
 
-@over_memories("f6_hopfield_sparse", f""", s AS (SELECT id, 8 * {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS z FROM mem WHERE heat >= 0.3),
+@over_vectors("f6_hopfield_sparse", f""", s AS (SELECT id, 8 * {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS z FROM {HOT_SQL}),
   k AS (SELECT id, z, row_number() OVER (ORDER BY z DESC, id) AS k, sum(z) OVER (ORDER BY z DESC, id ROWS UNBOUNDED PRECEDING) AS cz FROM s),
   t AS (SELECT (cz - 1) / k AS tau FROM k WHERE 1 + k * z > cz ORDER BY k DESC LIMIT 1) SELECT id, round(z - tau, 6) AS weight FROM k, t WHERE round(z - tau, 6) > 0""")
 def _(m):
-    s = m.where("heat >= 0.3").select(F.lit(0).alias("query_id"), "id", (8 * V.dot(c("embedding"), F.array(*map(F.lit, STATIC)))).alias("z"))
-    return V.sparsemax(s, ["query_id"], "z", "id", "weight").select("id", r6(c("weight"), "weight")).where("weight > 0")
+    return search.hopfield(m, STATIC, min_heat=0.3, sparse=True).where("weight > 0")
 
 
-@over_memories("f8_energy", f""", s AS (SELECT 8 * {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS z FROM mem WHERE heat >= 0.3), mx AS (SELECT max(z) AS mx FROM s)
+@over_vectors("f8_energy", f""", s AS (SELECT 8 * {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS z FROM {HOT_SQL}), mx AS (SELECT max(z) AS mx FROM s)
   SELECT 1 AS one, round(-(max(mx) + ln(sum(exp(z - mx)))) / 8 + 0.5 * {DOT_SQL.format(a=STATIC_SQL, b=STATIC_SQL)}, 6) AS energy FROM s, mx""")
 def _(m):
-    z = m.where("heat >= 0.3").select((8 * V.dot(c("embedding"), F.array(*map(F.lit, STATIC)))).alias("z"))
-    top = z.agg(F.max("z").alias("t")).scalar()
-    return z.agg(F.lit(1).alias("one"), r6(-(top + F.log(F.sum(F.exp(c("z") - top)))) / 8 + 0.5 * sum(x * x for x in STATIC), "energy"))
+    return search.energy(m, STATIC, min_heat=0.3).select(F.lit(1).alias("one"), "energy")
 
 
-@over_memories("h44_quantised", "SELECT id, list_sum(list_transform(embedding, lambda x: greatest(-127, least(127, CAST(round(x * 127) AS INTEGER))))) AS total FROM mem")
+@over_vectors("h44_quantised", "SELECT id, list_sum(list_transform(embedding, lambda x: greatest(-127, least(127, CAST(round(x * 127) AS INTEGER))))) AS total FROM mem")
 def _(m):
     return m.select("id", F.aggregate(V.quantised(c("embedding")), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@over_memories("h44_truncated", f", t AS (SELECT id, embedding[1:16] AS v FROM mem) SELECT id, round(v[1] / sqrt({DOT_SQL.format(a='v', b='v')}), 6) AS first, len(v) AS dims FROM t")
+@over_vectors("h44_truncated", f", t AS (SELECT id, embedding[1:16] AS v FROM mem) SELECT id, round(v[1] / sqrt({DOT_SQL.format(a='v', b='v')}), 6) AS first, len(v) AS dims FROM t")
 def _(m):
     v = V.truncated(c("embedding"), 16)
     return m.select("id", r6(v[0], "first"), F.size(v).cast("long").alias("dims"))
 
 
-@over_memories("d5_centroids", """, p AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL),
+@over_vectors("d5_centroids", """, p AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL),
   n AS (SELECT label, sqrt(sum(x * x)) AS n FROM p GROUP BY label) SELECT p.label, round(x / n, 6) AS first, round(n, 6) AS length FROM p JOIN n USING (label) WHERE pos = 1""")
 def _(m):
     raw = V.centroid(m, ["label"], "embedding", unit=False)
     return raw.select("label", r6(V.normalised(c("centroid"))[0], "first"), r6(V.norm(c("centroid")), "length"))
 
 
-@over_memories("c8_similar_pairs", f"""SELECT a.id AS a, b.id AS b, round({DOT_SQL.format(a='a.embedding', b='b.embedding')} / sqrt({DOT_SQL.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT_SQL.format(a='b.embedding', b='b.embedding')}), 6) AS cosine
+@over_vectors("c8_similar_pairs", f"""SELECT a.id AS a, b.id AS b, round({DOT_SQL.format(a='a.embedding', b='b.embedding')} / sqrt({DOT_SQL.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT_SQL.format(a='b.embedding', b='b.embedding')}), 6) AS cosine
   FROM mem a JOIN mem b ON a.store_type = b.store_type AND a.id < b.id WHERE {DOT_SQL.format(a='a.embedding', b='b.embedding')} / sqrt({DOT_SQL.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT_SQL.format(a='b.embedding', b='b.embedding')}) >= 0.35""")
 def _(m):
     return relate.similar_pairs(m, 0.35, "store_type")
 
 
-@over_memories("i25_duplicate_merge", f""", p AS (SELECT a.id AS a, b.id AS b, a.heat AS ha, b.heat AS hb FROM mem a JOIN mem b ON a.store_type = b.store_type AND a.id < b.id
+@over_vectors("i25_duplicate_merge", f""", p AS (SELECT a.id AS a, b.id AS b, a.heat AS ha, b.heat AS hb FROM mem a JOIN mem b ON a.store_type = b.store_type AND a.id < b.id
   WHERE {DOT_SQL.format(a='a.embedding', b='b.embedding')} / sqrt({DOT_SQL.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT_SQL.format(a='b.embedding', b='b.embedding')}) >= 0.35)
   SELECT id, heat FROM mem WHERE id NOT IN (SELECT CASE WHEN ha >= hb THEN b ELSE a END FROM p)""")
 def _(m):
@@ -430,9 +409,9 @@ def _(m):
 
 
 # Fusion: vector, text and heat as three signals of one query
-SIGNAL_SQL = f"""{BM25_SQL}, vec AS (SELECT id, round(1 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS s FROM mem WHERE heat >= 0.1 ORDER BY s DESC, id LIMIT 60),
+SIGNAL_SQL = f"""{BM25_SQL}, vec AS (SELECT id, round(1 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS s FROM mem WHERE heat >= 0.1 AND embedding IS NOT NULL ORDER BY s DESC, id LIMIT 60), hs AS (SELECT id, {DOT_SQL.format(a='embedding', b=STATIC_SQL)} AS s FROM {HOT_SQL}), he AS (SELECT id, exp(8 * (s - max(s) OVER ())) AS e FROM hs),
 sig AS (SELECT id, 'vector' AS signal, s AS score FROM vec UNION ALL SELECT id, 'fts', bm25 FROM (SELECT id, bm25 FROM bm ORDER BY bm25 DESC, id LIMIT 50)
-  UNION ALL SELECT id, 'hopfield', heat FROM (SELECT id, heat FROM mem ORDER BY heat DESC, id LIMIT 40))"""
+  UNION ALL SELECT id, 'hopfield', w FROM (SELECT id, round(e / sum(e) OVER (), 6) AS w FROM he ORDER BY w DESC, id LIMIT 40))"""
 NORM_SQL = "nrm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM sig WHERE score > 0 WINDOW w AS (PARTITION BY signal))"
 MIX = {"vector": 1.0, "fts": 0.5, "hopfield": 0.2}
 WEIGHT_SQL = "CASE signal WHEN 'vector' THEN 1.0 WHEN 'fts' THEN 0.5 ELSE 0.2 END"
@@ -443,7 +422,7 @@ def signals(m):
     q0 = F.lit(0).alias("query_id")
     vec = search.nearest(m, STATIC, 60).select(q0, "id", F.lit("vector").alias("signal"), c("similarity").alias("score"))
     fts = search.bm25(m, TERMS).select(q0, "id", F.lit("fts").alias("signal"), c("bm25").alias("score"))
-    hot = search.top(m.select("id", "heat"), 40, "heat").select(q0, "id", F.lit("hopfield").alias("signal"), c("heat").alias("score"))
+    hot = search.top(search.hopfield(m, STATIC, min_heat=0.3), 40, "weight").select(q0, "id", F.lit("hopfield").alias("signal"), c("weight").alias("score"))
     return vec.unionByName(fts).unionByName(hot)
 
 
@@ -503,31 +482,15 @@ def _(m):
     return fusion.result_confidence(fusion.convex(signals(m), MIX)).select("confidence", "uncertain", "abstain")
 
 
-ASK = "Postgres storage parser"
-
-
-@over_memories("i1_recall", f""", {CONVEX_SQL}, words AS (SELECT id, list_filter(list_transform(string_split_regex(lower(content), '\\s+'), lambda t: regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda t: t <> '') AS w, lower(content) AS low FROM mem WHERE heat >= 0.1),
-  rr AS (SELECT id, 0.35 * len(list_intersect(['postgres'], w)) + 0.30 * len(list_intersect(['parser', 'postgres', 'storage'], w)) / 3
-   + 0.20 * len(list_filter(['postgres storage', 'storage parser'], lambda b: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || b || ' '))) / 2 + CASE WHEN contains(low, '{ASK.lower()}') THEN 0.15 ELSE 0 END AS lex FROM words)
-  SELECT id, round(0.85 * score + 0.15 * lex, 6) AS score FROM fused JOIN rr USING (id) ORDER BY score DESC, id LIMIT 10""")
-def recall(m):
-    """The flagship: three signals, gated convex fusion, heat filter, lexical rerank, top 10."""
-    fused = fusion.convex(signals(m), MIX).select("id", "score")
-    pool = search.top(fused.join(m.where("heat >= 0.1").select("id", "content"), "id"), 1000, "score")
-    lexical = fusion.lexical_score(ASK, c("content"), P.STOP_WORDS)
-    return search.top(pool.select("id", r6(0.85 * c("score") + 0.15 * lexical, "score")), 10, "score")
-
-
-@over_memories("d17_retrieval_metrics", f""", rel AS (SELECT b.id AS query_id, a.id FROM mem a JOIN mem b ON a.label = b.label AND a.id <> b.id AND b.id IN {QUERY_IDS}),
-  p AS (SELECT b.id AS query_id, a.id, round(1 / (1 + {DIST_SQL.format(a='a.embedding', b='b.embedding')}), 6) AS s FROM mem a, mem b WHERE a.heat >= 0.1 AND b.id IN {QUERY_IDS}),
+@over_vectors("d17_retrieval_metrics", f""", rel AS (SELECT b.id AS query_id, a.id FROM mem a JOIN mem b ON a.label = b.label AND a.id <> b.id AND b.id % 100 = 0),
+  p AS (SELECT b.id AS query_id, a.id, round(1 / (1 + {DIST_SQL.format(a='a.embedding', b='b.embedding')}), 6) AS s FROM mem a, mem b WHERE a.heat >= 0.1 AND b.id % 100 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p), h AS (SELECT query_id, min(rank) AS f, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM k JOIN rel USING (query_id, id) WHERE rank <= 10 GROUP BY query_id),
   n AS (SELECT query_id, count(*) AS wanted FROM rel GROUP BY query_id) SELECT query_id, round(coalesce(1 / f, 0), 6) AS mrr, round(coalesce(hits / wanted, 0), 6) AS recall,
   round(coalesce(dcg / list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM n LEFT JOIN h USING (query_id)""")
 def _(m):
-    queries = [(row["id"], list(row["embedding"])) for row in m.where(c("id").isin(*QUERY_IDS)).select("id", "embedding").collect()]
-    asked = m.where(c("id").isin(*QUERY_IDS)).select(c("id").alias("query_id"), "label")
+    asked = m.where("id % 100 = 0").select(c("id").alias("query_id"), "label")
     relevant = asked.join(m.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
-    return metrics.retrieval_metrics(search.nearest_batch(m, queries), relevant)
+    return metrics.retrieval_metrics(search.nearest_batch(m, _asked_vectors(m)), relevant)
 
 
 @over_memories("d17_token_f1", f""", p AS (SELECT a.id, {TOK_SQL.format('a.text')} AS p, {TOK_SQL.format('b.text')} AS t FROM mem a JOIN mem b ON b.id = a.id + 1),
@@ -558,13 +521,13 @@ def _(m):
     return m.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("plasticity"), "excitability"), r6(F.max("heat"), "hottest"))
 
 
-@over_memories("d4_cluster_directory", "SELECT label, directory, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, directory) AS r FROM (SELECT label, directory, count(*) AS n FROM mem GROUP BY ALL)) WHERE r = 1")
+@over_vectors("d4_cluster_directory", "SELECT label, directory, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, directory) AS r FROM (SELECT label, directory, count(*) AS n FROM mem GROUP BY ALL)) WHERE r = 1")
 def _(m):
     n = m.groupBy("label", "directory").agg(F.count(F.lit(1)).alias("n"))
     return search.top_by(n, ["label"], 1, "n", "directory").drop("rank")
 
 
-@over_memories("d6_cluster_terms", f""", n AS (SELECT label, t, count(*) AS n FROM (SELECT label, unnest({TOK_SQL.format('content')}) AS t FROM mem) GROUP BY ALL)
+@over_vectors("d6_cluster_terms", f""", n AS (SELECT label, t, count(*) AS n FROM (SELECT label, unnest({TOK_SQL.format('content')}) AS t FROM mem) GROUP BY ALL)
   SELECT label, t, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, t) AS rank FROM n) WHERE rank <= 5""")
 def _(m):
     n = m.select("label", F.explode(X.tokens(c("content"))).alias("t")).groupBy("label", "t").agg(F.count(F.lit(1)).alias("n"))
@@ -626,7 +589,7 @@ def _(m):
     return search.top_by(m.select("session_id", "id", "created_at"), ["session_id"], 10, "created_at", rank="r").drop("created_at")
 
 
-@over_memories("h30_topic_boundary", f""", p AS (SELECT session_id, id, embedding AS a, lag(embedding) OVER (PARTITION BY session_id ORDER BY created_at, id) AS b FROM mem)
+@over_vectors("h30_topic_boundary", f""", p AS (SELECT session_id, id, embedding AS a, lag(embedding) OVER (PARTITION BY session_id ORDER BY created_at, id) AS b FROM mem)
   SELECT id, round(1 - {DOT_SQL.format(a='a', b='b')} / sqrt({DOT_SQL.format(a='a', b='a')}) / sqrt({DOT_SQL.format(a='b', b='b')}), 6) AS boundary FROM p WHERE b IS NOT NULL""")
 def _(m):
     before = F.lag("embedding").over(Window.partitionBy("session_id").orderBy("created_at", "id"))

@@ -13,11 +13,11 @@ from recallgrid.functions import subqueries as U
 from recallgrid.functions import vectors as V
 from recallgrid.operators import causal, graph, ingest, jobs, maintain, ordered, relate, rerank, search
 from recallgrid.plans.frames import EDGE_SQL, HOURS_SQL, edges, memories, now, quoted, table
-from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DIST_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, query, r6
+from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DIST_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, over_vectors, query, r6
 from recallgrid.plans.memory_queries import _domain_sql as DOMAIN_SQL
 
 q = quoted
-static = lambda: F.array(*map(F.lit, STATIC))
+static = lambda: V.constant(STATIC)
 
 ASKED = (
     "What is the parser?", "When did we deploy v2?", "fix the login bug", "relationship of orders and parts", "hello world", "the big red fox", "one two three four five six",
@@ -25,7 +25,9 @@ ASKED = (
     "Would Carol prefer a quiet beach or the old mountain cabin?", "Is Dana going to a national park or theme park, or home?", "What are Alice's plans?",
     "Does Erin enjoy classical music like Vivaldi?", "what kind of degree does Frank want", "which one is it.",
 )
-ASKED_SQL = "asked(id, text) AS (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(ASKED)) + ")"
+# Every user turn asks: two of three begin with, or are, one of the questions above, as the raw turns hold no question.
+ASKED_SQL = f"""asked AS (SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN p WHEN 1 THEN p || ' ' || text ELSE text END AS text
+  FROM (SELECT *, CASE (conv_id * 7 + turn) % {len(ASKED)} {" ".join(f"WHEN {i} THEN {q(t)}" for i, t in enumerate(ASKED))} END AS p FROM conversations WHERE role = 'user'))"""
 _any_sql = lambda keys: "(" + " OR ".join(f"contains(low, {q(k.lower())})" for k in keys) + ")"
 
 
@@ -38,15 +40,17 @@ OPTION_SQL = f"""ow AS (SELECT id, {_word_sql('lower(text)')} AS w FROM asked),
   opt AS (SELECT * FROM (SELECT id, o, min(place) AS place, row_number() OVER (PARTITION BY id ORDER BY min(place)) AS r FROM (SELECT id, place, array_to_string(CASE WHEN place % 2 = 0 THEN list_reverse(b) ELSE b END, ' ') AS o FROM os) WHERE o <> '' GROUP BY id, o) WHERE r <= 2)"""
 
 
-def _asked(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "id int, text string")
+def _asked(spark, d):
+    n, phrase = c("conv_id") + c("turn"), F.get(F.array(*map(F.lit, ASKED)), ((c("conv_id") * 7 + c("turn")) % len(ASKED)).cast("int"))
+    text = F.when(n % 3 == 0, phrase).when(n % 3 == 1, F.concat(phrase, F.lit(" "), "text")).otherwise(c("text"))
+    return table(spark, d, "conversations").where("role = 'user'").select((c("conv_id") * 1000 + c("turn")).alias("id"), text.alias("text"))
 
 
 @query("h9_query_kind", f"""WITH {ASKED_SQL}, {OPTION_SQL}, w AS (SELECT id, trim(lower(text)) AS low, string_split_regex(trim(lower(text)), '\\s+') AS w FROM asked)
   SELECT id, CASE WHEN {_any_sql(P.TEMPORAL_KEYS)} THEN 'temporal' WHEN {_any_sql(P.CUE_PHRASES)} OR {_any_sql([t for t, _ in P.TOPICS])} OR id IN (SELECT id FROM opt) OR (list_has_any(w, {list(P.MODAL_WORDS)}) AND {_any_sql(P.RELATION_KEYS)}) OR regexp_matches(low, '^(?:would|could|might) ') THEN 'open_domain'
   WHEN list_has_any(w, {list(P.QUESTION_WORDS)}) THEN 'factoid' WHEN {_any_sql(P.CODE_KEYS)} THEN 'code' WHEN {_any_sql(P.RELATION_KEYS)} THEN 'relational' WHEN len(w) <= 2 THEN 'keyword' WHEN len(w) < 5 THEN 'simple' ELSE 'complex' END AS kind FROM w""", "")
 def _(spark, d):
-    return _asked(spark).select("id", Q.kind(c("text")).alias("kind"))
+    return _asked(spark, d).select("id", Q.kind(c("text")).alias("kind"))
 
 
 _statement_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN trim(regexp_replace(regexp_replace(t, {q(p)}, {q(chr(92) + '1' + a)}), '[?.!]+$', ''))" for p, a in P.STATEMENTS) + f""" ELSE CASE WHEN regexp_matches(t, {q(Q.LEAD)}) AND trim(regexp_replace(regexp_replace(t, {q(Q.LEAD)}, ''), '[?.!]+$', '')) <> '' THEN trim(regexp_replace(regexp_replace(t, {q(Q.LEAD)}, ''), '[?.!]+$', '')) ELSE trim(regexp_replace(t, '[?]+$', '')) END END"""
@@ -54,7 +58,7 @@ _statement_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN trim(r
 
 @query("h6_statement", f"WITH {ASKED_SQL}, t AS (SELECT id, trim(text) AS t FROM asked) SELECT id, {_statement_sql} AS statement FROM t", "")
 def _(spark, d):
-    return _asked(spark).select("id", Q.statement(c("text")).alias("statement"))
+    return _asked(spark, d).select("id", Q.statement(c("text")).alias("statement"))
 
 
 _plain_sql = "trim(regexp_replace(trim(text), '[?]+$', ''))"
@@ -63,22 +67,22 @@ _confirmed_sql = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN regexp
 
 @query("h7_confirmed", f"WITH {ASKED_SQL}, t AS (SELECT id, {_plain_sql} AS t FROM asked) SELECT id, {_confirmed_sql} AS statement FROM t", "")
 def _(spark, d):
-    return _asked(spark).select("id", U.confirmed(c("text")).alias("statement"))
+    return _asked(spark, d).select("id", U.confirmed(c("text")).alias("statement"))
 
 
 @query("h8_content_terms", f"WITH {ASKED_SQL}, w AS (SELECT id, list_filter({_word_sql('text')}, lambda x: length(x) >= 3 AND lower(x) NOT IN ({_listed(P.QUERY_STOPS)})) AS w FROM asked), l AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w) SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(l, lower(x)) = i), ' ') AS terms FROM l", "")
 def _(spark, d):
-    return _asked(spark).select("id", F.array_join(U.content_terms(c("text")), " ").alias("terms"))
+    return _asked(spark, d).select("id", F.array_join(U.content_terms(c("text")), " ").alias("terms"))
 
 
 @query("h8_options", f"WITH {ASKED_SQL}, {OPTION_SQL} SELECT asked.id, coalesce(string_agg(o, '; ' ORDER BY r), '') AS options FROM asked LEFT JOIN opt ON asked.id = opt.id GROUP BY asked.id", "")
 def _(spark, d):
-    return _asked(spark).select("id", F.array_join(U.options(c("text")), "; ").alias("options"))
+    return _asked(spark, d).select("id", F.array_join(U.options(c("text")), "; ").alias("options"))
 
 
 @query("h10_subqueries")
 def _(spark, d):
-    return _asked(spark).select("id", F.explode(U.subqueries(c("text"), Q.statement(c("text")))).alias("subquery"))
+    return _asked(spark, d).select("id", F.explode(U.subqueries(c("text"), Q.statement(c("text")))).alias("subquery"))
 
 
 @query("h10_implied_facts")
@@ -92,7 +96,7 @@ _bare_sql = rf"""list_transform({_cut_sql}, lambda t: regexp_replace(t, '^[?!,;:
 
 @query("h2_query_terms", f"WITH {ASKED_SQL} SELECT id, array_to_string(list_filter({_bare_sql}, lambda t: length(t) >= 2 AND lower(t) NOT IN {P.STOP_WORDS}), ' ') AS terms FROM asked", "")
 def _(spark, d):
-    return _asked(spark).select("id", F.array_join(X.query_terms(c("text")), " ").alias("terms"))
+    return _asked(spark, d).select("id", F.array_join(X.query_terms(c("text")), " ").alias("terms"))
 
 
 @over_memories("i26_decay_pass", f", {DECAY_SQL} SELECT count(*) FILTER (h >= 0.05) AS warm, count(*) FILTER (h < 0.05) AS cold, round(sum(CASE WHEN h < 0.05 THEN 0 ELSE h END), 4) AS heat FROM d4")
@@ -132,13 +136,13 @@ def _(m):
 COS_SQL = f"({DOT_SQL.format(a='embedding', b=STATIC_SQL)} / sqrt({DOT_SQL.format(a='embedding', b='embedding')}) / sqrt({DOT_SQL.format(a=STATIC_SQL, b=STATIC_SQL)}))"
 
 
-@over_memories("i30_consensus", f""", v AS (SELECT id, 0.6 * {COS_SQL} + 0.4 * heat AS base, unnest(CASE WHEN len(l) = 0 THEN ['code-patterns'] ELSE l END) AS domain FROM (SELECT *, list_filter([{DOMAIN_SQL}], lambda x: x IS NOT NULL) AS l FROM mem WHERE heat > 0)),
+@over_vectors("i30_consensus", f""", v AS (SELECT id, 0.6 * {COS_SQL} + 0.4 * heat AS base, unnest(CASE WHEN len(l) = 0 THEN ['code-patterns'] ELSE l END) AS domain FROM (SELECT *, list_filter([{DOMAIN_SQL}], lambda x: x IS NOT NULL) AS l FROM mem WHERE heat > 0)),
   w AS (SELECT id, base * CASE domain WHEN 'errors' THEN 1.5 WHEN 'dependencies' THEN 1.5 ELSE 1.0 END AS s FROM v) SELECT id, round(max(s) * (1 + 0.15 * (count(*) - 1)), 6) AS score FROM w GROUP BY id ORDER BY score DESC, id LIMIT 5""")
 def _(m):
     return maintain.consensus(m, "bug in the package", V.cosine(c("embedding"), static()))
 
 
-@over_memories("c17_roll_up", "SELECT id, label AS l1, directory AS l2, count(*) OVER (PARTITION BY label) AS n1, count(*) OVER (PARTITION BY directory) AS n2 FROM mem")
+@over_vectors("c17_roll_up", "SELECT id, label AS l1, directory AS l2, count(*) OVER (PARTITION BY label) AS n1, count(*) OVER (PARTITION BY directory) AS n2 FROM mem")
 def _(m):
     one = m.groupBy(c("label").alias("l1")).agg(F.count(F.lit(1)).alias("n1"))
     two = m.groupBy(c("directory").alias("l2")).agg(F.count(F.lit(1)).alias("n2"))
@@ -153,7 +157,7 @@ def _(m):
     return stale(m, changes)
 
 
-@over_memories("i16_tree_search", f""", cen AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL) GROUP BY label),
+@over_vectors("i16_tree_search", f""", cen AS (SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL) GROUP BY label),
   l1 AS (SELECT label, {COS_SQL.replace('embedding', 'v')} AS s FROM cen), m0 AS (SELECT id, label, {COS_SQL} AS s FROM mem) SELECT id, round(0.3 * m0.s + 0.5 * l1.s, 6) AS score FROM m0 JOIN l1 USING (label) ORDER BY score DESC, id LIMIT 20""")
 def _(m):
     centre = V.centroid(m, ["label"], "embedding").select("label", V.cosine(c("centroid"), static()).alias("s1"))
@@ -164,7 +168,7 @@ def _(m):
 _level_sql = lambda key: f"(SELECT {key} AS k, list(x ORDER BY pos) AS v FROM (SELECT {key}, pos, avg(x) AS x FROM (SELECT {key}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM mem) GROUP BY ALL) GROUP BY {key})"
 
 
-@over_memories("i16_tree_levels", f""", s AS (SELECT 0 AS level, id::VARCHAR AS item, round(0.3 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS score FROM mem UNION ALL SELECT 1, k::VARCHAR, round(0.5 * {COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('label')} UNION ALL SELECT 2, k::VARCHAR, round({COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('directory')})
+@over_vectors("i16_tree_levels", f""", s AS (SELECT 0 AS level, id::VARCHAR AS item, round(0.3 / (1 + {DIST_SQL.format(a='embedding', b=STATIC_SQL)}), 6) AS score FROM mem UNION ALL SELECT 1, k::VARCHAR, round(0.5 * {COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('label')} UNION ALL SELECT 2, k::VARCHAR, round({COS_SQL.replace('embedding', 'v')}, 6) FROM {_level_sql('directory')})
   SELECT level, item, score FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, item) AS r FROM s) WHERE r <= 10""")
 def _(m):
     return search.tree(m, STATIC, "where is the parser", ("label", "directory"))
@@ -176,13 +180,13 @@ def _(m):
     return search.top(hit.select("id", r6(c("importance") * F.when(c("directory") == "/src/src3", 1.5).otherwise(1.0) * (1 + c("heat")), "score")), 15, "score")
 
 
-@over_memories("i31_recurring", """SELECT label, count(*) AS members, count(DISTINCT session_id) AS sessions FROM mem WHERE store_type = 'episodic' GROUP BY label HAVING count(*) >= 3 AND count(DISTINCT session_id) >= 2""")
+@over_vectors("i31_recurring", """SELECT label, count(*) AS members, count(DISTINCT session_id) AS sessions FROM mem WHERE store_type = 'episodic' GROUP BY label HAVING count(*) >= 3 AND count(DISTINCT session_id) >= 2""")
 def _(m):
     g = m.where("store_type = 'episodic'").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("session_id").alias("sessions"))
     return g.where("members >= 3 and sessions >= 2")
 
 
-@over_memories("i31_dual_query", f"""SELECT id, store_type, score FROM (SELECT *, row_number() OVER (PARTITION BY store_type ORDER BY score DESC, id) AS r FROM (SELECT id, store_type, round({COS_SQL} * CASE store_type WHEN 'semantic' THEN 2.0 ELSE 1.0 END, 6) AS score FROM mem)) WHERE r <= 10""")
+@over_vectors("i31_dual_query", f"""SELECT id, store_type, score FROM (SELECT *, row_number() OVER (PARTITION BY store_type ORDER BY score DESC, id) AS r FROM (SELECT id, store_type, round({COS_SQL} * CASE store_type WHEN 'semantic' THEN 2.0 ELSE 1.0 END, 6) AS score FROM mem)) WHERE r <= 10""")
 def _(m):
     s = m.select("id", "store_type", r6(V.cosine(c("embedding"), static()) * F.when(c("store_type") == "semantic", 2.0).otherwise(1.0), "score"))
     return search.top_by(s, ["store_type"], 10, "score").drop("rank")
@@ -200,7 +204,7 @@ def _new_and_known(m):
 _set_sql = r"list_distinct(string_split_regex(lower({}), '\s+'))"
 
 
-@over_memories("i24_curation", KNOWN_SQL + f""" SELECT b.id, CASE WHEN cosine >= 0.35 AND len(list_intersect({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))::DOUBLE / len(list_distinct(list_concat({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))) > 0.02 THEN 'merge'
+@over_vectors("i24_curation", KNOWN_SQL + f""" SELECT b.id, CASE WHEN cosine >= 0.35 AND len(list_intersect({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))::DOUBLE / len(list_distinct(list_concat({_set_sql.format('b.content')}, {_set_sql.format('k.content')}))) > 0.02 THEN 'merge'
   WHEN cosine >= 0.3 THEN 'link' ELSE 'create' END AS action, CASE WHEN cosine >= 0.3 THEN near END AS near_id FROM b JOIN nr USING (id) JOIN k ON k.id = nr.near""")
 def _(m):
     return ingest.curate(*_new_and_known(m), merge=0.35, link=0.3, overlap=0.02).select("id", "action", "near_id")
@@ -234,7 +238,7 @@ GATE_SQL = KNOWN_SQL + f""", eb AS MATERIALIZED ({_typed_sql('b')}), ek AS MATER
     b.directory IN (SELECT directory FROM k) AS known FROM b JOIN nr USING (id) LEFT JOIN en USING (id) LEFT JOIN tm USING (id))"""
 
 
-@over_memories("h29_write_gate", GATE_SQL + " SELECT id, round(CASE WHEN known THEN 0.4 * vector + 0.25 * names + 0.2 * topic + 0.15 * structure ELSE 0.8 END, 6) AS surprisal FROM g")
+@over_vectors("h29_write_gate", GATE_SQL + " SELECT id, round(CASE WHEN known THEN 0.4 * vector + 0.25 * names + 0.2 * topic + 0.15 * structure ELSE 0.8 END, 6) AS surprisal FROM g")
 def _(m):
     new, known = _new_and_known(m)
     typed = X.typed_entities(known, "id", "content")
@@ -264,21 +268,6 @@ def _(m):
     return hot.select("id", F.substring(F.get(X.sentences(c("content")), F.lit(0)), 1, 60).alias("topic"))
 
 
-@over_memories("k7_active_checkpoint", "SELECT agent, max(id % 10) AS epoch, max(id % 10) + 1 AS next_epoch, arg_max(id, id) AS active FROM mem WHERE is_protected GROUP BY agent")
-def _(m):
-    return m.where("is_protected").groupBy("agent").agg(F.max(c("id") % 10).alias("epoch"), (F.max(c("id") % 10) + 1).alias("next_epoch"), F.max_by("id", "id").alias("active"))
-
-
-@over_memories("k3_reinforce", "SELECT id, round(least(1.0, heat + 0.1), 6) AS heat FROM mem WHERE heat >= 0.5")
-def _(m):
-    return m.where("heat >= 0.5").select("id", r6(F.least(F.lit(1.0), c("heat") + 0.1), "heat"))
-
-
-@over_memories("i41_validate", "SELECT id, file_hash <> 'h' || ((id * 3) % 50) AS is_stale FROM mem")
-def _(m):
-    return m.select("id", (c("file_hash") != F.concat(F.lit("h"), c("id") * 3 % 50)).alias("is_stale"))
-
-
 _hyper = ", ".join(f"CASE WHEN contains(low, '{k}') THEN '{v}' END" for k, v in E.HYPERNYMS.items())
 _nominal = ", ".join(f"CASE WHEN list_contains(w, '{k}') THEN '{v}' END" for k, v in E.NOMINALS.items())
 
@@ -340,11 +329,6 @@ def _(spark, d):
     return ordered.chunks(pool)
 
 
-@query("e10_episodes")
-def _(spark, d):
-    return ordered.episodes(table(spark, d, "conversations"), "conv_id", "turn", "text", 4000, 400)
-
-
 @query("i37_slots")
 def _(spark, d):
     return ordered.slots(memories(spark, d).select("agent", "id", c("created_at").alias("ts")), 20)

@@ -10,7 +10,7 @@ from recallgrid.functions import patterns as P
 from recallgrid.functions import vectors as V
 from recallgrid.operators import search
 from recallgrid.plans.frames import EDGE_SQL, edges, memories, quoted, table
-from recallgrid.plans.memory_queries import ATTR_SQL, STATIC, TOK_SQL, c, over_memories, query, r6
+from recallgrid.plans.memory_queries import ATTR_SQL, STATIC, TOK_SQL, c, over_memories, over_vectors, query, r6
 from recallgrid.plans.more_queries import ASKED_SQL, COS_SQL, _asked
 
 q = quoted
@@ -45,11 +45,6 @@ def _(spark, d):
     return edges(spark, d).join(cause, "src").join(effect, "dst").select("cause", "effect", "weight")
 
 
-@over_memories("c7_entity_memories", "SELECT id, heat FROM mem WHERE contains(lower(content), 'user_profile.py') AND heat >= 0.1")
-def _(m):
-    return m.where(F.contains(F.lower("content"), F.lit("user_profile.py")) & (c("heat") >= 0.1)).select("id", "heat")
-
-
 @over_memories("c13_signal_alignment", """, s AS (SELECT id, 'heat' AS signal, heat AS score FROM mem WHERE heat >= 0.5 UNION ALL SELECT id, 'importance', importance FROM mem WHERE importance >= 0.5 UNION ALL SELECT id, 'confidence', confidence FROM mem WHERE confidence >= 0.5)
   SELECT id, coalesce(max(score) FILTER (signal = 'heat'), 0) AS heat, coalesce(max(score) FILTER (signal = 'importance'), 0) AS importance, coalesce(max(score) FILTER (signal = 'confidence'), 0) AS confidence FROM s GROUP BY id""")
 def _(m):
@@ -58,11 +53,11 @@ def _(m):
     return rows.groupBy("id").agg(*(F.coalesce(F.max(F.when(c("signal") == s, c("score"))), F.lit(0.0)).alias(s) for s in signals))
 
 
-@over_memories("c14_merged_lists", f""", a AS (SELECT id, heat AS score FROM mem ORDER BY heat DESC, id LIMIT 20), b AS (SELECT id, round({COS_SQL}, 6) AS score FROM mem ORDER BY score DESC, id LIMIT 20)
+@over_vectors("c14_merged_lists", f""", a AS (SELECT id, heat AS score FROM mem ORDER BY heat DESC, id LIMIT 20), b AS (SELECT id, round({COS_SQL}, 6) AS score FROM mem ORDER BY score DESC, id LIMIT 20)
   SELECT id, max(score) AS score, count(*) AS lists FROM (FROM a UNION ALL FROM b) GROUP BY id""")
 def _(m):
     hot = search.top(m.select("id", c("heat").alias("score")), 20, "score")
-    near = search.top(m.select("id", r6(V.cosine(c("embedding"), F.array(*map(F.lit, STATIC))), "score")), 20, "score")
+    near = search.top(m.select("id", r6(V.cosine(c("embedding"), V.constant(STATIC)), "score")), 20, "score")
     return hot.unionByName(near).groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("lists"))
 
 
@@ -83,7 +78,7 @@ _cut = r"[A-Za-z][\p{L}\p{N}_'.-]*"
 @query("h3_boosted_terms", rf"""WITH {ASKED_SQL}, w AS (SELECT id, regexp_replace(unnest(regexp_extract_all(text, {q(_cut)})), '[.,'']+$', '') AS w FROM asked)
   SELECT id, lower(w) AS term, sum(CASE WHEN length(w) <= 1 OR lower(w) IN ({_stops}) THEN 1 WHEN regexp_matches(w, '^[A-Z]') THEN 3 ELSE 2 END)::BIGINT AS weight FROM w GROUP BY ALL""", "")
 def _(spark, d):
-    words = _asked(spark).select("id", F.explode(X.all_of(c("text"), _cut)).alias("w")).select("id", F.regexp_replace("w", "[.,']+$", "").alias("w"))
+    words = _asked(spark, d).select("id", F.explode(X.all_of(c("text"), _cut)).alias("w")).select("id", F.regexp_replace("w", "[.,']+$", "").alias("w"))
     weight = F.when((F.length("w") <= 1) | F.lower("w").isin(*P.QUERY_STOPS), 1).when(c("w").rlike("^[A-Z]"), 3).otherwise(2)
     return words.groupBy("id", F.lower("w").alias("term")).agg(F.sum(weight).alias("weight"))
 
@@ -93,16 +88,16 @@ _names = " UNION ".join(f"SELECT id, unnest(regexp_extract_all(text, {q(p)})) AS
 
 @query("h5_query_entities", rf"""WITH {ASKED_SQL}, n AS (SELECT id, name FROM ({_names}) WHERE length(name) > 1 UNION SELECT id, w FROM (SELECT id, regexp_replace(unnest(string_split_regex(text, '\s+')), '^[.,;:!?()\[\]{{}}"'']+|[.,;:!?()\[\]{{}}"'']+$', '', 'g') AS w FROM asked) WHERE length(w) > 2) SELECT DISTINCT id, name FROM n""", "")
 def _(spark, d):
-    return _asked(spark).select("id", F.explode(X.query_entities(c("text"))).alias("name"))
+    return _asked(spark, d).select("id", F.explode(X.query_entities(c("text"))).alias("name"))
 
 
-@over_memories("h32_consistency", f", n AS (SELECT label, regexp_matches(content, {q(P.NEGATION)}) AS no FROM mem) SELECT label, count(*) FILTER (no) AS negated, count(*) FILTER (NOT no) AS plain, NOT (bool_or(no) AND bool_or(NOT no)) AS consistent FROM n GROUP BY label")
+@over_vectors("h32_consistency", f", n AS (SELECT label, regexp_matches(content, {q(P.NEGATION)}) AS no FROM mem) SELECT label, count(*) FILTER (no) AS negated, count(*) FILTER (NOT no) AS plain, NOT (bool_or(no) AND bool_or(NOT no)) AS consistent FROM n GROUP BY label")
 def _(m):
     no = c("content").rlike(P.NEGATION)
     return m.groupBy("label").agg(F.count_if(no).alias("negated"), F.count_if(~no).alias("plain"), (~(F.max(no) & F.max(~no))).alias("consistent"))
 
 
-@over_memories("h33_schema", f""", w AS (SELECT DISTINCT label, id, unnest({TOK_SQL.format('content')}) AS w FROM mem), z AS (SELECT label, count(*) AS n FROM mem GROUP BY label), k AS (SELECT label, w, count(*) AS k FROM w WHERE length(w) > 3 GROUP BY ALL)
+@over_vectors("h33_schema", f""", w AS (SELECT DISTINCT label, id, unnest({TOK_SQL.format('content')}) AS w FROM mem), z AS (SELECT label, count(*) AS n FROM mem GROUP BY label), k AS (SELECT label, w, count(*) AS k FROM w WHERE length(w) > 3 GROUP BY ALL)
   SELECT label, string_agg(w, ' ' ORDER BY r) AS words FROM (SELECT label, w, row_number() OVER (PARTITION BY label ORDER BY k DESC, w) AS r FROM k JOIN z USING (label) WHERE k >= greatest(n / 2, 2)) WHERE r <= 15 GROUP BY label""")
 def _(m):
     words = m.select("label", F.explode(F.array_distinct(X.tokens(c("content")))).alias("w")).where("length(w) > 3").groupBy("label", "w").agg(F.count(F.lit(1)).alias("k"))
@@ -112,9 +107,9 @@ def _(m):
     return best.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("l")).select("label", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("words"))
 
 
-@over_memories("h42_noise_filter", f"SELECT id, round({COS_SQL}, 6) AS cosine FROM mem WHERE round({COS_SQL}, 6) >= 0.25")
+@over_vectors("h42_noise_filter", f"SELECT id, round({COS_SQL}, 6) AS cosine FROM mem WHERE round({COS_SQL}, 6) >= 0.25")
 def _(m):
-    return m.select("id", r6(V.cosine(c("embedding"), F.array(*map(F.lit, STATIC))), "cosine")).where("cosine >= 0.25")
+    return m.select("id", r6(V.cosine(c("embedding"), V.constant(STATIC)), "cosine")).where("cosine >= 0.25")
 
 
 @over_memories("h43_contextual_prefix", "SELECT id, '[' || directory || '] [' || array_to_string(tags, ', ') || '] ' || substr(content, 1, 80) AS prefixed FROM mem")
@@ -128,12 +123,6 @@ def _(m):
     return coded.select("id", "json", F.size(F.from_json("json", "array<string>")).cast("long").alias("n"))
 
 
-@over_memories("k2_point_updates", "SELECT id, round(coalesce(u, heat), 6) AS heat FROM mem LEFT JOIN (SELECT id AS uid, confidence AS u FROM mem WHERE is_stale) ON uid = id")
-def _(m):
-    updates = m.where("is_stale").select("id", c("confidence").alias("u"))
-    return m.select("id", "heat").join(updates, "id", "left").select("id", r6(F.coalesce("u", "heat"), "heat"))
-
-
 @query("k4_sufficient", ", t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) SELECT src, count(*) AS n, count(*) >= 20 AS sufficient FROM t WHERE dst IS NOT NULL GROUP BY src")
 def _(spark, d):
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -141,7 +130,7 @@ def _(spark, d):
     return rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")).withColumn("sufficient", c("n") >= 20)
 
 
-@over_memories("k5_cluster_scan", "SELECT label, count(*) AS members, max(heat) AS heat FROM mem GROUP BY label ORDER BY heat DESC, label LIMIT 100")
+@over_vectors("k5_cluster_scan", "SELECT label, count(*) AS members, max(heat) AS heat FROM mem GROUP BY label ORDER BY heat DESC, label LIMIT 100")
 def _(m):
     return m.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.max("heat").alias("heat")).orderBy(F.desc("heat"), "label").limit(100)
 
@@ -163,7 +152,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.concat(F.lit("[ACTION:"), "event_type", F.lit("] "), F.coalesce("props", F.lit(""))).alias("text"))
 
 
-@over_memories("k23_cluster_summary", "SELECT label, string_agg(substr(content, 1, 100), ' | ' ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY heat DESC, id) AS r FROM mem) WHERE r <= 3 GROUP BY label")
+@over_vectors("k23_cluster_summary", "SELECT label, string_agg(substr(content, 1, 100), ' | ' ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY heat DESC, id) AS r FROM mem) WHERE r <= 3 GROUP BY label")
 def _(m):
     best = search.top_by(m.select("label", "id", "heat", F.substring("content", 1, 100).alias("text")), ["label"], 3, "heat")
     return best.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")).select("label", F.array_join(F.transform("l", lambda x: x["text"]), " | ").alias("summary"))

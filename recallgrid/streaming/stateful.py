@@ -99,3 +99,21 @@ def continued(stores: DataFrame, most: int = 10, hour_us: int = 3_600_000_000) -
         yield pd.DataFrame({"session_id": key[0], "id": rows["id"], "continuity": out})
 
     return stores.groupBy("session_id").applyInPandasWithState(run, "session_id long, id long, continuity double", "recent string", "append", GroupStateTimeout.NoTimeout)
+
+
+def plastic(recalls: DataFrame, spike: float = 0.3, half_life: float = 6.0) -> DataFrame:
+    """(id, us, plasticity) of a stream of (id, us): each recall of a memory adds ``spike`` to what is left after its half-life in
+    hours, at most 1. Recalls of a batch are taken in time order, batches in order; equal times follow each other.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        level, seen = state.get if state.exists else (0.0, 0)
+        rows, out = pd.concat(list(batches), ignore_index=True).sort_values("us", ignore_index=True), []
+        for us in rows["us"]:
+            level = min(1.0, level * 2.0 ** (-max(0, us - seen) / 3.6e9 / half_life) + spike)
+            seen = int(us)
+            out.append(round(level, 6))
+        state.update((float(level), int(seen)))
+        yield pd.DataFrame({"id": key[0], "us": rows["us"], "plasticity": out})
+
+    return recalls.groupBy("id").applyInPandasWithState(run, "id long, us long, plasticity double", "level double, us long", "append", GroupStateTimeout.NoTimeout)
