@@ -9,6 +9,7 @@ one by one, and the forms in which licenses are named, from families, versions a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm.license_texts import TEXTS
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 @dataclass(frozen=True)
 class Rule:
     """pattern: over words between single spaces; it must not take the space before or after. Order in the list breaks ties.
@@ -140,8 +138,13 @@ def default_rules() -> list[Rule]:
 
 
 def words_of(text: Column) -> Column:
-    """Words of ``text``, A-Z lower-cased, with one space before and after each; one space for none."""
-    return F.regexp_replace(F.translate(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    """Words of ``text``, lower-cased, with one space before and after each; one space for none.
+
+    Beyond A-Z, lower-casing moves only characters that stand in no phrase or pattern; the one that would become an ASCII
+    letter, the Kelvin sign, is put aside.
+    """
+    own = F.replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), F.lit("\u212a"), F.lit("\u24c0"))
+    return F.regexp_replace(F.lower(own), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
 def _spaces(text: Column) -> Column:
@@ -166,6 +169,17 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def any_of(words: list[str]) -> str:
+    """An expression that matches any of ``words``, as a tree by letters: at each place few branches are tried."""
+    if "" in words:
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(first) + any_of(rest) for first, rest in sorted(by.items())]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def _keyword_groups(rules: list[Rule]) -> dict[str, list[Rule]]:
     by: dict[str, list[Rule]] = {}
     for r in rules:
@@ -176,10 +190,11 @@ def _keyword_groups(rules: list[Rule]) -> dict[str, list[Rule]]:
 def _present(body: str, rules: list[Rule]) -> Column:
     """Numbers of the keyword groups of which some rule matches: one literal expression of a group's patterns, behind its keyword."""
     tests = []
-    for n, (keyword, own) in enumerate(_keyword_groups(rules).items()):
-        any_of = "|".join(dict.fromkeys(r.pattern for r in own))
-        tests.append(f"CASE WHEN contains({body}, {_sql(' ' + keyword)}) AND rlike({body}, {_sql(f'(?<= )(?:{any_of})(?= )')}) THEN {n} END")
-    return F.expr(f"array_compact(array({', '.join(tests)}))")
+    groups = _keyword_groups(rules)
+    for n, (keyword, own) in enumerate(groups.items()):
+        either = "|".join(dict.fromkeys(r.pattern for r in own))
+        tests.append(f"CASE WHEN contains({body}, {_sql(' ' + keyword)}) AND rlike({body}, {_sql(f'(?<= )(?:{either})(?= )')}) THEN {n} END")
+    return F.expr(f"CASE WHEN rlike({body}, {_sql(' ' + any_of(list(groups)))}) THEN array_compact(array({', '.join(tests)})) ELSE CAST(array() AS array<int>) END")
 
 
 def _hits(body: Column, present: Column, rules: list[Rule]) -> Column:
