@@ -35,6 +35,7 @@ def nearest_known(batch: DataFrame, known: DataFrame, block: int = 1024) -> Data
         counts = other.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
         return rows.join(counts, "directory").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
+    batch, known = (rows.where("embedding is not null") for rows in (batch, known))
     keys = ["directory", "i", "j"]
     new = met(dealt(batch, "i"), known, "j").select(*keys, "id", "embedding")
     old = met(dealt(known, "j"), batch, "i").select(*keys, "id", "embedding")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 
 def similar_pairs(rows: DataFrame, threshold: float, key: str = "directory", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(a, b, cosine), a < b within a key, cosine of the threshold or more.
+    """(a, b, cosine), a < b within a key, cosine of the threshold or more; rows without a vector are in no pair.
 
     Rows of a key are dealt into blocks of about ``block`` by a hash of their id; two blocks meet in one task, as matrices.
     A row travels once for each block of its key, so a hot key costs the square of its blocks, not of its rows.
     """
+    rows = rows.where(F.col(vector).isNotNull())
     sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     dealt = rows.select("id", key, vector).join(sizes, key).withColumn("_own", own)

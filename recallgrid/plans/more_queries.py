@@ -25,9 +25,9 @@ ASKED = (
     "Would Carol prefer a quiet beach or the old mountain cabin?", "Is Dana going to a national park or theme park, or home?", "What are Alice's plans?",
     "Does Erin enjoy classical music like Vivaldi?", "what kind of degree does Frank want", "which one is it.",
 )
-# Every user turn asks: two of three begin with, or are, one of the questions above, as the raw turns hold no question.
-ASKED_SQL = f"""asked AS (SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN p WHEN 1 THEN p || ' ' || text ELSE text END AS text
-  FROM (SELECT *, CASE (conv_id * 7 + turn) % {len(ASKED)} {" ".join(f"WHEN {i} THEN {q(t)}" for i, t in enumerate(ASKED))} END AS p FROM conversations WHERE role = 'user'))"""
+# Every user turn asks, in ASCII: two of three begin with, or are, one of the questions above, as the raw turns hold none.
+ASKED_SQL = f"""asked AS (SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN p WHEN 1 THEN p || ' ' || t ELSE t END AS text
+  FROM (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS t, CASE (conv_id * 7 + turn) % {len(ASKED)} {" ".join(f"WHEN {i} THEN {q(t)}" for i, t in enumerate(ASKED))} END AS p FROM conversations WHERE role = 'user'))"""
 _any_sql = lambda keys: "(" + " OR ".join(f"contains(low, {q(k.lower())})" for k in keys) + ")"
 
 
@@ -42,7 +42,8 @@ OPTION_SQL = f"""ow AS (SELECT id, {_word_sql('lower(text)')} AS w FROM asked),
 
 def _asked(spark, d):
     n, phrase = c("conv_id") + c("turn"), F.get(F.array(*map(F.lit, ASKED)), ((c("conv_id") * 7 + c("turn")) % len(ASKED)).cast("int"))
-    text = F.when(n % 3 == 0, phrase).when(n % 3 == 1, F.concat(phrase, F.lit(" "), "text")).otherwise(c("text"))
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    text = F.when(n % 3 == 0, phrase).when(n % 3 == 1, F.concat(phrase, F.lit(" "), plain)).otherwise(plain)
     return table(spark, d, "conversations").where("role = 'user'").select((c("conv_id") * 1000 + c("turn")).alias("id"), text.alias("text"))
 
 
