@@ -157,24 +157,33 @@ def stochastic(counts: DataFrame) -> DataFrame:
 
 
 def successors(chances: DataFrame, gamma: float = 0.9, terms: int = 20) -> DataFrame:
-    """(src, dst, m): the series of gamma**t T**t, t from 0 to ``terms``, by joins in long form."""
+    """(src, dst, m): the series of gamma**t T**t, t from 0 to ``terms``, as terms of total = 1 + gamma T total: one join a term.
+
+    Every fourth total is written to the shared folder, so that the plan stays short.
+    """
     nodes = chances.select(F.col("src").alias("n")).unionAll(chances.select(F.col("dst").alias("n"))).distinct()
-    power = nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(1.0).alias("m"))
-    total, step = power, chances.select(F.col("src").alias("mid"), F.col("dst").alias("to"), "p")
-    for _ in range(terms):
-        power = power.join(step, power["dst"] == step["mid"]).groupBy("src", "to").agg(F.sum(F.col("m") * F.col("p") * gamma).alias("m")).withColumnRenamed("to", "dst")
-        total = total.unionAll(power)
-    return total.groupBy("src", "dst").agg(F.sum("m").alias("m"))
+    one = stored(nodes.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(1.0).alias("m")), "ones")
+    step = stored(chances.select("src", F.col("dst").alias("mid"), "p"), "steps")
+    total = one
+    for t in range(1, terms + 1):
+        moved = step.join(total.select(F.col("src").alias("mid"), "dst", "m"), "mid").select("src", "dst", (F.col("p") * F.col("m") * gamma).alias("m"))
+        total = moved.unionByName(one).groupBy("src", "dst").agg(F.sum("m").alias("m"))
+        if t % 4 == 0:
+            total = stored(total, "total")
+    return total
 
 
 def successors_from(chances: DataFrame, seeds: DataFrame, gamma: float = 0.9, terms: int = 8) -> DataFrame:
     """(id, m): discounted visits of the states that follow ``seeds`` (id), over ``terms`` steps; the seeds themselves left out."""
-    front = seeds.select(F.col("id").alias("at"), F.lit(1.0).alias("m"))
-    total = None
-    for _ in range(terms):
-        front = front.join(chances, front["at"] == chances["src"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("m") * F.col("p") * gamma).alias("m")).withColumnRenamed("to", "at")
-        total = front if total is None else total.unionAll(front)
-    return total.groupBy(F.col("at").alias("id")).agg(F.sum("m").alias("m")).join(seeds.select("id"), "id", "left_anti")
+    step = stored(chances.select("src", "dst", "p"), "steps")
+    start = stored(seeds.select("id", F.lit(1.0).alias("m")), "starts")
+    total = start
+    for t in range(1, terms + 1):
+        moved = step.join(total.select(F.col("id").alias("src"), "m"), "src").select(F.col("dst").alias("id"), (F.col("p") * F.col("m") * gamma).alias("m"))
+        total = moved.unionByName(start).groupBy("id").agg(F.sum("m").alias("m"))
+        if t % 4 == 0:
+            total = stored(total, "total")
+    return total.join(start.select("id"), "id", "left_anti")
 
 
 def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -210,8 +219,9 @@ def neighbourhood(edges: DataFrame, start: int, depth: int = 2) -> tuple[DataFra
 
 
 def dream_pairs(memories: DataFrame, pairs: int = 20, salt: int = 1) -> DataFrame:
-    """(a, b): disjoint pairs of memories in hash order, the sampling step of replay; 2 * ``pairs`` rows leave the scan."""
-    drawn = memories.select("id").orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(2 * pairs)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id", F.lit(salt)), "id")) - 1
+    """(a, b): disjoint pairs of memories in the order of a digest, the sampling step of replay; 2 * ``pairs`` rows leave the scan."""
+    order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(salt))))
+    drawn = memories.select("id", order.alias("o")).orderBy("o", "id").limit(2 * pairs)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o", "id")) - 1  # of 2 * pairs rows
     placed = drawn.withColumn("r", rank).withColumn("pair", F.floor(F.col("r") / 2))
     return placed.groupBy("pair").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")

@@ -18,6 +18,7 @@ from recallgrid.functions import extract as X
 from recallgrid.functions import patterns as P
 from recallgrid.functions import vectors as V
 from recallgrid.operators import fusion, graph, ordered, search
+from recallgrid.sources.shared import stored
 
 # Month names in their order.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -103,13 +104,14 @@ def signals(memories: DataFrame, mentions: DataFrame, visits: DataFrame | None,
     label, directory, tags, store_type for fractal and hdc. mentions: (id, name). visits: (key, ts, id), the order of visits.
     """
     wanted, parts = settings.signals, {}
+    mentions = stored(mentions.select("id", "name").distinct(), "mentions")  # read by several signals, and far smaller than the texts
     hot = memories.where(F.col("heat") >= min_heat)
-    near = search.nearest(memories, query, pool, min_heat)
+    near = stored(search.nearest(memories, query, pool, min_heat), "near")
     parts["vector"] = near.select("id", F.col("similarity").alias("score"))
     if "fts" in wanted:
         parts["fts"] = _best(search.bm25(memories, boosted_terms(text), pool).select("id", F.col("bm25").alias("score")), pool)
     seen = mentions.join(hot.select("id"), "id", "left_semi") if min_heat > 0 else mentions
-    edges = name_edges(mentions) if {"ppr", "spread"} & set(wanted) else None
+    edges = stored(name_edges(mentions), "names") if {"ppr", "spread"} & set(wanted) else None
     if "ppr" in wanted:
         seeds = mentions.select(F.col("name").alias("id")).where(F.lower("name").isin(*query_names(text))).distinct()
         parts["ppr"] = _best(named_scores(seen, graph.page_rank(edges, seeds).select("id", F.col("rank").alias("score")), True), pool)

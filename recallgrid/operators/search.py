@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors as V
 from recallgrid.functions.extract import tokens
+from recallgrid.sources.shared import stored
 
 
 def top(df: DataFrame, k: int, score: str, ties: str = "id") -> DataFrame:
@@ -153,23 +154,42 @@ def postings(docs: DataFrame, text: str = "content") -> DataFrame:
 def bm25(docs: DataFrame, terms: dict[str, float], k: int = 50, text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, bm25): BM25 of weighted query terms, the k best.
 
-    Two scans without a shuffle of rows: one aggregate gives the row count, mean length and each term's document count, and
-    the second scores every row by itself; only its top k leaves a task.
+    Texts are read and cut into words once: a row's length and its counts of the query's terms, a few numbers, are written to
+    the shared folder. One aggregate of them gives the row count, mean length and document counts, a second pass the scores;
+    only the top k of each task leaves it. Where postings are stored, ``bm25_postings`` reads those of the terms alone.
     """
     if not terms:
         return docs.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    split = docs.select("id", tokens(F.col(text)).alias("w"))
-    rows = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("w"))
     listed = sorted(terms.items())
-    counts = [F.count_if(F.array_contains("w", t)).alias(f"df{i}") for i, (t, _) in enumerate(listed)]
+    split = docs.select("id", tokens(F.col(text)).alias("w"))
+    hit = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(*terms)).alias("w"))
+    rows = stored(hit.select("id", "dl", *(_occurrences("w", t).alias(f"tf{i}") for i, (t, _) in enumerate(listed))), "counts")
+    counts = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(listed))]
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *counts).select(F.struct("*").alias("s")).scalar()
     total = F.lit(0.0)
-    for i, (t, weight) in enumerate(listed):
-        tf, df = _occurrences("w", t), stats[f"df{i}"]
-        idf = F.log((stats["n"] - df + 0.5) / (df + 0.5))
-        part = weight * F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / stats["mean"]))
-        total = total + F.when(tf > 0, part).otherwise(0.0)
-    return top(rows.where(F.size("w") > 0).select("id", F.round(total, 6).alias("bm25")), k, "bm25")
+    for i, (_, weight) in enumerate(listed):
+        total = total + F.when(F.col(f"tf{i}") > 0, weight * _bm25_part(F.col(f"tf{i}"), stats[f"df{i}"], F.col("dl"), stats["n"], stats["mean"], k1, b)).otherwise(0.0)
+    some = F.greatest(*(F.col(f"tf{i}") for i in range(len(listed))), F.lit(0)) > 0
+    return top(rows.where(some).select("id", F.round(total, 6).alias("bm25")), k, "bm25")
+
+
+def _bm25_part(tf: Column, df: Column, dl: Column, n: Column, mean: Column, k1: float, b: float) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+
+
+def bm25_postings(index: DataFrame, sizes: DataFrame, terms: dict[str, float], k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, bm25) from a stored index (term, id, tf, dl), of which only the query's terms are read; sizes: one row (n, mean)."""
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    found = index.where(F.col("term").isin(*terms))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+    weight = F.lit(0.0)
+    for t, w in terms.items():
+        weight = F.when(F.col("term") == t, float(w)).otherwise(weight)
+    s = sizes.select(F.struct("n", "mean").alias("s")).scalar()
+    part = weight * _bm25_part(F.col("tf"), F.col("df"), F.col("dl"), s["n"], s["mean"], k1, b)
+    return top(found.join(df, "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("bm25")), k, "bm25")
 
 
 def _occurrences(array: str, value: str) -> Column:

@@ -13,7 +13,7 @@ from recallgrid.functions import subqueries as U
 from recallgrid.functions import vectors as V
 from recallgrid.operators import causal, graph, ingest, jobs, maintain, ordered, relate, rerank, search
 from recallgrid.plans.frames import EDGE_SQL, HOURS_SQL, edges, memories, now, quoted, table
-from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DIST_SQL, DOT_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, over_vectors, query, r6
+from recallgrid.plans.memory_queries import ATTR_SQL, DECAY_SQL, DIST_SQL, DOT_SQL, GENERAL_SQL, SENTENCE_SQL, STATIC, STATIC_SQL, c, over_memories, over_vectors, query, r6
 from recallgrid.plans.memory_queries import _domain_sql as DOMAIN_SQL
 
 q = quoted
@@ -296,9 +296,9 @@ def _(spark, d):
     return graph.neighbourhood(edges(spark, d), 2)[0]
 
 
-@query("i33_dream_pairs")
-def _(spark, d):
-    return graph.dream_pairs(memories(spark, d))
+@over_memories("i33_dream_pairs", """, o AS (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR || ':1'), id) - 1 AS r FROM mem) SELECT min(id) AS a, max(id) AS b FROM o WHERE r < 40 GROUP BY r // 2 HAVING count(*) = 2""")
+def _(m):
+    return graph.dream_pairs(m)
 
 
 @query("i23_remember")
@@ -309,9 +309,15 @@ def _(spark, d):
 
 
 # Results that SQL does not express; the tests hold them against plain Python
-@query("f10_mmr")
-def _(spark, d):
-    m = memories(spark, d)
+def _mmr_sql(k: int = 10) -> str:
+    steps = [f"pool AS MATERIALIZED (SELECT id, {COS_SQL} AS score, embedding AS v FROM mem ORDER BY score DESC, id LIMIT {2 * k})", f"""cs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {DOT_SQL.format(a='a.v', b='b.v')} / sqrt({DOT_SQL.format(a='a.v', b='a.v')}) / sqrt({DOT_SQL.format(a='b.v', b='b.v')}) AS c FROM pool a, pool b)""", "got0 AS (SELECT NULL::BIGINT AS id, 0 AS position WHERE false)"]
+    for t in range(k):
+        steps.append(f"""got{t + 1} AS MATERIALIZED (FROM got{t} UNION ALL (SELECT id, {t + 1} FROM (SELECT p.id, p.score, 0.7 * p.score - 0.3 * coalesce((SELECT max(c) FROM cs WHERE cs.a = p.id AND cs.b IN (SELECT id FROM got{t})), 0) AS gain FROM pool p WHERE p.id NOT IN (SELECT id FROM got{t})) ORDER BY gain DESC, score DESC, id LIMIT 1))""")
+    return ", " + ", ".join(steps) + f" SELECT 0 AS query_id, id, position FROM got{k}"
+
+
+@over_vectors("f10_mmr", _mmr_sql())
+def _(m):
     pool = m.select(F.lit(0).cast("long").alias("query_id"), "id", V.cosine(c("embedding"), static()).alias("score"), "embedding")
     return search.mmr(pool, 10)
 
@@ -344,9 +350,10 @@ def _(spark, d):
     return spark.createDataFrame(rows, "src string, dst string, kind string")
 
 
-@query("i29_cycle")
-def _(spark, d):
-    return maintain.cycle(memories(spark, d), now()).select("id", r6(c("heat"), "heat"), r6(c("importance"), "importance"), "store_type")
+@over_memories("i29_cycle", f""", {DECAY_SQL}, n AS (SELECT *, CASE WHEN h < 0.05 THEN 0 ELSE h END AS nh FROM d4) SELECT id, round(nh, 6) AS heat, round(CASE WHEN access_count > 5 AND confidence > 0.8 THEN least(importance + 0.1, 1.0) ELSE importance END, 6) AS importance,
+  CASE WHEN list_has_any(tags, {list(P.SEMANTIC_TAGS)}) THEN 'semantic' WHEN regexp_matches(content, {q(P.SPECIFIC)}) THEN 'episodic' WHEN {GENERAL_SQL} THEN 'semantic' ELSE 'episodic' END AS store_type FROM n WHERE NOT (nh < 0.01 AND confidence < 0.3 AND access_count = 0)""")
+def _(m):
+    return maintain.cycle(m, now()).select("id", r6(c("heat"), "heat"), r6(c("importance"), "importance"), "store_type")
 
 
 @query("i29_consolidation")
@@ -367,6 +374,13 @@ def _bundle(spark, d):
     return {"memories": memories(spark, d), "edges": edges(spark, d), "heat": heat, "actions": e.select("user_id", "ts", "event_type")}
 
 
-@query("i14_communities")
+def _community_sql(rounds: int = 50) -> str:
+    steps = ["bw AS MATERIALIZED (SELECT src, dst, weight FROM both_ways UNION ALL SELECT src, src, max(weight) FROM both_ways GROUP BY src), l0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS community FROM both_ways)"]
+    for t in range(rounds):
+        steps.append(f"l{t + 1} AS MATERIALIZED (SELECT id, community FROM (SELECT src AS id, community, row_number() OVER (PARTITION BY src ORDER BY round(sum(weight), 6) DESC, community) AS r FROM bw JOIN l{t} ON l{t}.id = bw.dst GROUP BY src, community) WHERE r = 1)")
+    return ", " + ", ".join(steps) + f" SELECT id, community FROM l{rounds}"
+
+
+@query("i14_communities", _community_sql(), EDGE_SQL)
 def _(spark, d):
     return graph.communities(edges(spark, d))

@@ -11,7 +11,7 @@ from recallgrid.functions import patterns as P
 from recallgrid.functions import scoring as S
 from recallgrid.operators import graph, lifecycle, maintain, recall, relate, rules, search, store
 from recallgrid.plans.frames import EDGE_SQL, HOURS_SQL, MEM_SQL, NOW, VEC_SQL, edges, memories, now, quoted, table, vectors
-from recallgrid.plans.memory_queries import ATTR_SQL, DIST_SQL, DOT_SQL, IMPORTANCE_SQL, MISMATCH_SQL, STATIC, STATIC_SQL, TOK_SQL, _mismatch, c, over_memories, over_vectors, query, r6
+from recallgrid.plans.memory_queries import ATTR_SQL, BM25_SQL, DIST_SQL, DOT_SQL, IMPORTANCE_SQL, MISMATCH_SQL, STATIC, STATIC_SQL, TERMS, TOK_SQL, _mismatch, c, over_memories, over_vectors, query, r6
 from recallgrid.plans.more_queries import COS_SQL, DOMAIN_SQL, _typed_sql
 from recallgrid.sources.shared import shared_root, stored
 
@@ -174,6 +174,13 @@ def _(spark, d):
     return search.passage_clusters(m.select(c("session_id").alias("query_id"), "id", "content", c("heat").alias("score")), P.STOP_WORDS)
 
 
+@over_memories("f3_bm25_postings", f", {BM25_SQL} SELECT id, bm25 FROM bm ORDER BY bm25 DESC, id LIMIT 50")
+def _(m):
+    index = stored(search.postings(m), "postings")
+    sizes = m.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(X.tokens(c("content")))).alias("mean"))
+    return search.bm25_postings(index, sizes, TERMS)
+
+
 # I. Graph building, gaps, checkpoints
 EPISODE_SQL = f"""te AS MATERIALIZED (SELECT DISTINCT id, name, kind, context FROM ({_typed_sql('mem')})), one AS (SELECT id, name, min(kind) AS kind FROM te GROUP BY ALL),
   mod AS (SELECT id, min(name) AS dst FROM te WHERE kind = 'dependency' GROUP BY id),
