@@ -18,13 +18,13 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.llm.encode import text_slices
 from recallgrid.llm.quality import logistic, training_rows
-from recallgrid.llm.shared import stored
+from recallgrid.llm.shared import discard, stored
 
 # Cyrillic, Greek, Armenian and Cherokee letters that look like Latin ones, and digits and signs written for letters.
 LOOKALIKES = {
@@ -188,37 +188,43 @@ def fit_curve(total: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[
     return tuple(float(v) for v in w)
 
 
-def _emitted(sample: DataFrame, found) -> DataFrame:
-    """(entry, label) for every member of ``found(text)`` of each row of ``sample``."""
+def _counted(sample: DataFrame, found, folds: int) -> DataFrame:
+    """(entry, bad0, all0, bad1, ...) of every member of ``found(text)``: in how many toxic rows, and rows, of each fold it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.column(1).to_numpy(zero_copy_only=False)
+            kinds, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for low, texts in text_slices(batch.column(0)):
                 per = [sorted(found(t)) for t in texts]
-                sizes = [len(p) for p in per]
-                yield pa.RecordBatch.from_arrays([pa.array([e for p in per for e in p], pa.string()), pa.array(np.repeat(kinds[low : low + len(texts)], sizes), pa.int32())], ["entry", "label"])
+                own, sizes = slice(low, low + len(texts)), [len(p) for p in per]
+                yield pa.RecordBatch.from_arrays([pa.array([e for p in per for e in p], pa.string()), pa.array(np.repeat(kinds[own], sizes), pa.int32()), pa.array(np.repeat(parts[own], sizes), pa.int32())], ["entry", "label", "fold"])
 
-    return sample.select("text", "label").mapInArrow(run, "entry string, label int")
+    rows = sample.select("text", "label", "fold").mapInArrow(run, "entry string, label int, fold int")
+    sums = [x for k in range(folds) for x in (F.count_if((F.col("fold") == k) & (F.col("label") == 1)).alias(f"bad{k}"), F.count_if(F.col("fold") == k).alias(f"all{k}"))]
+    return stored(rows.groupBy("entry").agg(*sums), "entries")
 
 
-def _lexicon(sample: DataFrame, settings: ToxicitySettings) -> Lexicon:
-    """Entries and exceptions of the rows of ``sample`` (text, label); the curve is left as it is."""
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+def _sum(what: str, folds: Iterable[int]) -> Column:
+    return sum((F.col(f"{what}{k}") for k in folds), F.lit(0))
+
+
+def _entries(seen: DataFrame, toxic: int, clean: int, folds: list[int], settings: ToxicitySettings) -> dict[str, float]:
+    """Weights of the entries that the rows of ``folds`` teach, with the seeds."""
     entries = {f"={s}": settings.odds for s in settings.seeds}
-    exceptions = settings.exceptions
-    if toxic:
-        need = max(min(settings.least, toxic), math.ceil(settings.support * toxic))
-        seen = _emitted(sample, lambda t: candidates(t, settings.beginnings, settings.letters)).groupBy("entry").agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("other"))
-        odds = F.log((F.col("hits") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (clean + 1))
-        best = seen.where(F.col("hits") >= need).select("entry", odds.alias("odds")).where(F.col("odds") >= settings.odds).orderBy(F.desc("odds"), "entry").limit(settings.most)
-        entries |= {r["entry"]: min(float(r["odds"]), 8.0) for r in best.collect()}  # at most ``most`` entries
-        shared, lengths = dict(entries), settings.beginnings
-        pairs = _emitted(sample, lambda t: word_pairs(t, shared, lengths)).groupBy("entry").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
-        excused = pairs.where((F.col("hits") == 0) & (F.col("n") >= settings.excuse)).orderBy(F.desc("n"), "entry").limit(settings.most)
-        exceptions = (*exceptions, *(r["entry"] for r in excused.collect()))  # at most ``most`` pairs
-    return Lexicon(entries, exceptions=exceptions)
+    if not toxic:
+        return entries
+    need = max(min(settings.least, toxic), math.ceil(settings.support * toxic))
+    hits = _sum("bad", folds)
+    odds = F.log((hits + 0.5) / (toxic + 1)) - F.log((_sum("all", folds) - hits + 0.5) / (clean + 1))
+    best = seen.where(hits >= need).select("entry", odds.alias("odds")).where(F.col("odds") >= settings.odds).orderBy(F.desc("odds"), "entry").limit(settings.most)
+    return entries | {r["entry"]: min(float(r["odds"]), 8.0) for r in best.collect()}  # at most ``most`` entries
+
+
+def _excused(pairs: DataFrame, folds: list[int], settings: ToxicitySettings) -> tuple[str, ...]:
+    """The given exceptions and the pairs of words that stand in enough rows of ``folds``, all of them clean."""
+    n = _sum("all", folds)
+    found = pairs.where((_sum("bad", folds) == 0) & (n >= settings.excuse)).select("entry", n.alias("n")).orderBy(F.desc("n"), "entry").limit(settings.most)
+    return (*settings.exceptions, *(r["entry"] for r in found.collect()))  # at most ``most`` pairs
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", settings: ToxicitySettings | None = None) -> Lexicon:
@@ -232,13 +238,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "_id")
     fold = F.pmod(F.xxhash64("text", F.lit(77)), F.lit(settings.folds))
     sample = stored(rows.dropDuplicates(["text", "label"]).select("text", "label", fold.cast("int").alias("fold")), "sample")
+    counts = {(r["label"], r["fold"]): r["n"] for r in sample.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows a fold
+    known = lambda label, folds: sum(counts.get((label, k), 0) for k in folds)
+    seen = _counted(sample, lambda t: candidates(t, settings.beginnings, settings.letters), settings.folds)
+    every = list(range(settings.folds))
+    whole = _entries(seen, known(1, every), known(0, every), every, settings)
+    pairs = _counted(sample, lambda t: word_pairs(t, whole, settings.beginnings), settings.folds)
     rated = []
-    for k in range(settings.folds):
-        without = _lexicon(sample.where(F.col("fold") != k), settings)
+    for k in every:
+        others = [j for j in every if j != k]
+        without = Lexicon(_entries(seen, known(1, others), known(0, others), others, settings), exceptions=_excused(pairs, others, settings))
         rated += [(r["total"], r["words"], r["label"]) for r in evidence(sample.where(F.col("fold") == k).select("text", "label"), without).select("total", "words", "label").collect()]  # at most ``sample`` rows
     total, words, truth = (np.array(c, float) for c in zip(*sorted(rated), strict=True)) if rated else (np.zeros(0),) * 3
-    whole = _lexicon(sample, settings)
-    return Lexicon(whole.entries, fit_curve(total, words, truth), whole.exceptions)
+    exceptions = _excused(pairs, every, settings) if known(1, every) else settings.exceptions
+    discard(seen, pairs, sample)
+    return Lexicon(whole, fit_curve(total, words, truth), exceptions)
 
 
 def evidence(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
