@@ -65,11 +65,3 @@ def enriched(text: Column) -> Column:
     """The text and its expansions, appended in brackets; unchanged without any."""
     more = expansions(text)
     return F.when(F.size(more) > 0, F.concat(text, F.lit(" ["), F.array_join(more, ", "), F.lit("]"))).otherwise(text)
-
-
-def comparison_options(text: Column) -> Column:
-    """Up to three words on each side of the first ``or``, as two options; empty without one."""
-    before = F.regexp_extract(F.lower(text), r"((?:[a-z][\w'-]*\s+){1,3})or\s+(?:(?:a|an|the)\s+)?[a-z]", 1)
-    after = F.regexp_extract(F.lower(text), r"\bor\s+(?:(?:a|an|the)\s+)?([a-z][\w'-]*(?:\s+[a-z][\w'-]*){0,2})", 1)
-    articles = lambda c: F.trim(F.regexp_replace(c, r"^(?:(?:would|could|might|is|are|does|did|a|an|the|it|he|she|they|be)\s+)+", ""))
-    return F.filter(F.array(articles(before), articles(after)), lambda x: x != "")

@@ -104,3 +104,16 @@ def pc(rows: DataFrame, variables: list[str], alpha: float = 0.05, most: int = 3
     name = lambda e: (variables[e[0]], variables[e[1]])
     plain = {(i, j) for i in range(k) for j in near[i] if i < j and (i, j) not in directed and (j, i) not in directed}
     return {name(e) for e in directed - both}, {name(e) for e in plain | {(min(e), max(e)) for e in both}}
+
+
+def partial_table(rows: DataFrame, variables: list[str]) -> DataFrame:
+    """(a, b, given, r, t, p) of every pair under each single other variable: partial correlation, its t and two-sided p."""
+    m, n = correlation_matrix(rows, variables)
+    out = []
+    for i, j in combinations(range(len(variables)), 2):
+        for k in range(len(variables)):
+            if k not in (i, j):
+                r = partial(m, i, j, (k,))
+                t = r * math.sqrt(max(n - 3, 0) / max(1 - r * r, 1e-300))
+                out.append((variables[i], variables[j], variables[k], round(r, 6), round(t, 6), round(p_value(r, n, 1), 6)))
+    return rows.sparkSession.createDataFrame(out, "a string, b string, given string, r double, t double, p double")

@@ -88,7 +88,7 @@ def write_gate(batch: DataFrame, known: DataFrame, names: DataFrame, relations:
     found = X.typed_entities(batch, "id", "content")
     listed = names.select("name").distinct()
     kinds = relations.select("context").distinct().withColumn("_old", F.lit(True))
-    judged = found.join(listed.withColumn("_known", F.lit(True)), "name", "left").join(F.broadcast(kinds), "context", "left")  # kinds of relations: a fixed few
+    judged = found.join(listed.withColumn("_known", F.lit(True)), "name", "left").join(kinds, "context", "left")
     own = judged.groupBy("id").agg(
         F.avg(F.when(F.col("_known"), 0.0).otherwise(1.0)).alias("entity"), F.max((F.col("context") != "") & F.col("_old").isNull()).alias("_new")
     )

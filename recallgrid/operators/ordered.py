@@ -120,6 +120,20 @@ def hypervector(directory: str | None, tags: list[str], names: list[str], store:
     return np.where(total == 0, atom("tie", dims), np.sign(total)).astype(np.int8)
 
 
+def permuted(vector: np.ndarray, steps: int = 1) -> np.ndarray:
+    """The vector turned by ``steps`` places: marks an order."""
+    return np.roll(vector, steps)
+
+
+def to_bytes(vector: np.ndarray) -> bytes:
+    """One bit for each sign."""
+    return np.packbits(vector > 0).tobytes()
+
+
+def from_bytes(data: bytes, dims: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8))[:dims].astype(np.int8) * 2 - 1
+
+
 def hyper_search(memories: DataFrame, query: np.ndarray, k: int = 10) -> DataFrame:
     """(id, similarity): cosine of each memory's hypervector with the query's; vectors are made and compared in one pass."""
     shared = memories.sparkSession.sparkContext.broadcast(query.astype(np.float32))

@@ -63,8 +63,9 @@ def mentions(rows: DataFrame, entities: DataFrame, text: str = "content") -> Dat
     return found.select("id", F.explode(F.filter("names", lambda n: F.contains(F.col("low"), F.lower(n)))).alias("name")).distinct()
 
 
-def fired(context: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(id, trigger_id): contexts that fire a trigger by directory, keyword, entity or time. Triggers are a stated, small set.
+def fired(context: DataFrame, triggers: DataFrame, block: int = 1000) -> DataFrame:
+    """(id, trigger_id): contexts that fire a trigger by directory, keyword, entity or time. Triggers are a stated set; more than
+    ``block`` of them are tried in blocks, each of which reads the contexts once.
 
     context: id, directory, content, entities, ts. triggers: trigger_id, kind, condition, target.
     """
@@ -77,8 +78,13 @@ def fired(context: DataFrame, triggers: DataFrame) -> DataFrame:
         F.when(kind == "directory_match", (place != "") & F.contains("directory", place)).when(kind == "keyword_match", keywords)
         .when(kind == "entity_match", F.exists("entities", lambda e: F.lower(e) == F.lower(condition))).when(kind == "time_based", clock).otherwise(False)
     )
-    listed = triggers.agg(F.collect_list(F.struct("trigger_id", "kind", "condition", "target")).alias("t")).scalar()
-    return context.select("*", F.inline(listed)).where(test).select("id", "trigger_id")
+    blocks, out = max(1, -(-triggers.count() // block)), None
+    for n in range(blocks):
+        own = triggers.where(F.pmod(F.xxhash64("trigger_id"), F.lit(blocks)) == n) if blocks > 1 else triggers
+        listed = own.agg(F.collect_list(F.struct("trigger_id", "kind", "condition", "target")).alias("t")).scalar()
+        found = context.select("*", F.inline(listed)).where(test).select("id", "trigger_id")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def embed(rows: DataFrame, dims: int = 64, text: str = "content", out: str = "embedding", encoder=None) -> DataFrame:

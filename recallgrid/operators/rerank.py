@@ -35,8 +35,8 @@ def scored(pool: DataFrame, scorer: Scorer = word_overlap, out: str = "pair_scor
     return pool.mapInPandas(run, schema)
 
 
-def cross_rerank(pool: DataFrame, k: int, scorer: Scorer = word_overlap, weight: float = 0.6, short: int = 10, brief: int = 20) -> DataFrame:
-    """The k best by (1 - weight) * score + weight * pair score (min-max by query; 1 if constant).
+def cross_rerank(pool: DataFrame, k: int, scorer: Scorer = word_overlap, weight: float = 0.6, short: int = 10, brief: int = 20, most: int = 75) -> DataFrame:
+    """The k best of a query's ``most`` best by (1 - weight) * score + weight * pair score (min-max by query; 1 if constant).
 
     The pair score of passages under ``short`` words is halved, under ``brief`` words it counts 0.8.
     """
@@ -45,7 +45,8 @@ def cross_rerank(pool: DataFrame, k: int, scorer: Scorer = word_overlap, weight:
     norm = F.when(high == low, 1.0).otherwise((F.col("pair_score") - low) / (high - low))
     words = F.size(F.split(F.trim("content"), r"\s+"))
     held = norm * F.when(words < short, 0.5).when(words < brief, 0.8).otherwise(1.0)
-    blended = scored(pool, scorer).withColumn("score", F.round((1 - weight) * F.col("score") + weight * held, 6))
+    cut = top_by(pool, ["query_id"], most, "score").drop("rank")
+    blended = scored(cut, scorer).withColumn("score", F.round((1 - weight) * F.col("score") + weight * held, 6))
     return top_by(blended, ["query_id"], k, "score").drop("pair_score")
 
 

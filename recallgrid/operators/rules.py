@@ -86,6 +86,18 @@ def applicable(rules: list[Rule], directory: str, file: str = "") -> list[Rule]:
     return sorted((r for r in rules if r.active and fits[r.scope](r)), key=lambda r: -r.priority)
 
 
+def applicable_to(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, rule) for rows (id, directory, file) and a table of rules: global ones, those whose directory begins the row's, and
+    those whose glob fits its file. The table is written by hand, so it is taken along as one array.
+    """
+    listed = rules.where("active").agg(F.collect_list(F.struct("id", "scope", "value")).alias("r")).scalar()
+    quoted = F.regexp_replace(F.col("r.value"), r"([.^$+(){}|\[\]\\])", r"\\$1")
+    glob = F.concat(F.lit("^(?s)"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    scope = F.col("r.scope")
+    fits = (scope == "global") | ((scope == "directory") & F.col("directory").startswith(F.col("r.value"))) | ((scope == "file") & F.coalesce(F.rlike("file", glob), F.lit(False)))
+    return rows.select("id", "directory", "file", F.explode(listed).alias("r")).where(fits).select("id", F.col("r.id").alias("rule"))
+
+
 def apply_rules(rows: DataFrame, rules: list[Rule], score: str = "score") -> DataFrame:
     """Rows after all rules in order: hard rules keep or drop, soft rules raise or lower the score."""
     for rule in rules:

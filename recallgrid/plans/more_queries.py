@@ -284,7 +284,7 @@ def _(m):
 
 
 @over_memories("i5_cross_rerank", f"""SELECT id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(0.4 * heat + 0.6 * (CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END) * CASE WHEN n < 10 THEN 0.5 WHEN n < 20 THEN 0.8 ELSE 1.0 END, 6) AS score FROM
-  (SELECT *, max(s) OVER () AS hi, min(s) OVER () AS lo FROM (SELECT id, heat, len(string_split_regex(trim(content), '\\s+')) AS n, len(list_intersect(['the', 'parser', 'success.'], list_distinct(string_split_regex(lower(content), '\\s+')))) / 3 AS s FROM mem WHERE heat >= 0.5)))) WHERE rank <= 10""")
+  (SELECT *, max(s) OVER () AS hi, min(s) OVER () AS lo FROM (SELECT id, heat, len(string_split_regex(trim(content), '\\s+')) AS n, len(list_intersect(['the', 'parser', 'success.'], list_distinct(string_split_regex(lower(content), '\\s+')))) / 3 AS s FROM (SELECT * FROM mem WHERE heat >= 0.5 ORDER BY heat DESC, id LIMIT 75))))) WHERE rank <= 10""")
 def _(m):
     pool = m.where("heat >= 0.5").select(F.lit(0).alias("query_id"), "id", F.lit("the parser success.").alias("query"), "content", c("heat").alias("score"))
     return rerank.cross_rerank(pool, 10).select("id", "score", c("rank").cast("long").alias("rank"))

@@ -13,6 +13,7 @@ from recallgrid.operators import graph, lifecycle, maintain, recall, relate, rul
 from recallgrid.plans.frames import EDGE_SQL, HOURS_SQL, MEM_SQL, NOW, VEC_SQL, edges, memories, now, quoted, table, vectors
 from recallgrid.plans.memory_queries import ATTR_SQL, BM25_SQL, DIST_SQL, DOT_SQL, IMPORTANCE_SQL, MISMATCH_SQL, STATIC, STATIC_SQL, TERMS, TOK_SQL, _mismatch, c, over_memories, over_vectors, query, r6
 from recallgrid.plans.more_queries import COS_SQL, DOMAIN_SQL, _typed_sql
+from recallgrid.sources import project
 from recallgrid.sources.shared import shared_root, stored
 
 q = quoted
@@ -97,15 +98,13 @@ def _(spark, d):
 
 
 @query("a14_file_diff", """WITH a AS (SELECT url AS path, sha256(html) AS hash FROM pages), o AS (SELECT url AS path, sha256(CASE WHEN page_id % 5 = 0 THEN html || 'x' ELSE html END) AS hash FROM pages WHERE page_id % 7 <> 0)
-  SELECT coalesce(a.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT DISTINCT * FROM a) a FULL JOIN (SELECT DISTINCT * FROM o) o ON a.path = o.path WHERE o.path IS NULL OR a.path IS NULL OR a.hash <> o.hash""", "")
+  SELECT coalesce(a.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'gone' ELSE 'changed' END AS change FROM (SELECT DISTINCT * FROM a) a FULL JOIN (SELECT DISTINCT * FROM o) o ON a.path = o.path WHERE o.path IS NULL OR a.path IS NULL OR a.hash <> o.hash""", "")
 def _(spark, d):
     p = table(spark, d, "pages")
     new = p.select(c("url").alias("path"), F.sha2("html", 256).alias("hash")).distinct()
     changed = F.when(c("page_id") % 5 == 0, F.concat("html", F.lit("x"))).otherwise(c("html"))
     old = p.where("page_id % 7 <> 0").select(c("url").alias("path"), F.sha2(changed, 256).alias("hash")).distinct()
-    both = new.alias("n").join(old.alias("o"), c("n.path") == c("o.path"), "full_outer")
-    kind = F.when(c("o.path").isNull(), "added").when(c("n.path").isNull(), "removed").when(c("n.hash") != c("o.hash"), "changed")
-    return both.select(F.coalesce("n.path", "o.path").alias("path"), kind.alias("change")).where("change is not null")
+    return project.changed(old, new).select("path", c("state").alias("change"))
 
 
 @query("a15_action_log", """SELECT event_id AS id, user_id AS session_id, event_type AS tool, '/u/' || (user_id % 9) AS directory, substr(coalesce(nullif(props, ''), event_type), 1, 200) AS summary, ts, false AS processed FROM events""", "")

@@ -188,6 +188,21 @@ def test_gaps_of_all_kinds(spark):
     assert got == [("isolated_entity", "x", 0.6), ("isolated_entity", "y", 0.6), ("low_confidence", "/a", 0.4), ("missing_connection", "x + y", 0.4), ("one_sided_knowledge", "x", 0.5), ("stale_region", "/a", 0.5)]
 
 
+def test_triggers_in_blocks(spark):
+    x = spark.createDataFrame([(i, f"/d{i % 5}", "say hello" if i % 2 else "bye", []) for i in range(20)], "id long, directory string, content string, entities array<string>").withColumn("ts", now())
+    t = spark.createDataFrame([(n, "directory_match", "x", f"/d{n % 7}") for n in range(9)] + [(50, "keyword_match", "hello", "")], "trigger_id int, kind string, condition string, target string")
+    whole = sorted(map(tuple, relate.fired(x, t).collect()))
+    assert whole and whole == sorted(map(tuple, relate.fired(x, t, block=2).collect())) and relate.fired(x, t.limit(0)).count() == 0
+
+
+def test_hypervector_codec():
+    from recallgrid.operators import ordered
+
+    v = ordered.hypervector("/a", ["x"], ["n"], None, 1000)
+    assert np.array_equal(ordered.from_bytes(ordered.to_bytes(v), 1000), v)
+    assert np.array_equal(ordered.permuted(ordered.permuted(v, 3), -3), v) and abs(float(ordered.permuted(v).astype(int) @ v)) < 200
+
+
 def test_drain_adds_a_checkpoint_only_where_the_active_one_lags(spark):
     rows = [(1, "s", "/a", "t", 3, True, 1), (2, "s", "/a", "t", 4, False, 2), (3, "u", "/a", "t", 1, True, 1), (4, "u", "/a", "t", 5, False, 1), (5, "v", "/a", "t", 2, False, 1)]
     c = spark.createDataFrame(rows, "id long, session string, directory string, task string, epoch long, active boolean, at int").withColumn("created_at", F.timestamp_seconds("at")).drop("at")
