@@ -46,13 +46,23 @@ CONCEPTS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once a row however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def expansions(text: Column) -> Column:
-    """Hypernyms of names in the text and nominal forms of its gerunds, each once, in the order of the dictionaries."""
-    low = F.lower(text)
-    up = [F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in HYPERNYMS.items()]
-    words = F.split(low, r"[^a-z0-9_]+")
-    nouns = [F.when(F.array_contains(words, k), F.lit(v)) for k, v in NOMINALS.items()]
-    return F.array_distinct(F.array_compact(F.array(*up, *nouns)))
+    """Hypernyms of names in the text and nominal forms of its gerunds, each once, in the order of the dictionaries.
+
+    A gerund is looked for as a part of the text first, and only where it is one, as a whole word; texts are not cut into words.
+    """
+
+    def found(low: Column) -> Column:
+        up = [F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in HYPERNYMS.items()]
+        nouns = [F.when(F.contains(low, F.lit(k)) & low.rlike(f"(?<![a-z0-9_]){k}(?![a-z0-9_])"), F.lit(v)) for k, v in NOMINALS.items()]
+        return F.array_distinct(F.array_compact(F.array(*up, *nouns)))
+
+    return _let(F.lower(text), found)
 
 
 def concepts(words: Column, least_overlap: int = 0) -> Column:
@@ -63,5 +73,4 @@ def concepts(words: Column, least_overlap: int = 0) -> Column:
 
 def enriched(text: Column) -> Column:
     """The text and its expansions, appended in brackets; unchanged without any."""
-    more = expansions(text)
-    return F.when(F.size(more) > 0, F.concat(text, F.lit(" ["), F.array_join(more, ", "), F.lit("]"))).otherwise(text)
+    return _let(expansions(text), lambda more: F.when(F.size(more) > 0, F.concat(text, F.lit(" ["), F.array_join(more, ", "), F.lit("]"))).otherwise(text))

@@ -128,3 +128,13 @@ def test_spectral_form_equals_the_series(spark):
 def test_dream_pairs_are_disjoint(spark):
     pairs = graph.dream_pairs(spark.range(100), 20).collect()
     assert len(pairs) == 20 and len({x for r in pairs for x in (r.a, r.b)}) == 40
+
+
+def test_expansions_lower_a_text_once_and_find_whole_words(spark):
+    texts = ["camping", "Running, camping!", "decamping camping_trip campings", "éCAMPINGé", "", None, "a reading7 reading"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), E.expansions(F.col("t")).alias("e"), E.enriched(F.col("t")).alias("x"))
+    rows = df.collect()
+    assert [r.e for r in rows] == [["camping trip"], ["camping trip", "running exercise"], [], ["camping trip"], [], [], ["reading hobby"]]
+    assert [r.x for r in rows][:2] == ["camping [camping trip]", "Running, camping! [camping trip, running exercise]"] and rows[5].x is None
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan and plan.count("lower(") == 2  # one for each of the two columns
