@@ -28,10 +28,8 @@ def _counts(steps: dict[str, DataFrame]) -> DataFrame:
 
 def duplicates(memories: DataFrame, similar: float = 0.95) -> DataFrame:
     """(id) of the colder of two similar memories of a store and directory, of equals the later one."""
-    heat = memories.select("id", "heat")
     keyed = memories.withColumn("_key", F.concat_ws("\u0001", "store_type", "directory"))
-    pairs = relate.similar_pairs(keyed, similar, "_key").join(heat.toDF("a", "ha"), "a").join(heat.toDF("b", "hb"), "b")
-    return pairs.select(F.when(F.col("ha") >= F.col("hb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return relate.outranked(keyed, similar, "_key")
 
 
 def promoted(memories: DataFrame, members: int = 3, sessions: int = 2, key: str = "label") -> DataFrame:

@@ -6,38 +6,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def similar_pairs(rows: DataFrame, threshold: float, key: str = "directory", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(a, b, cosine), a < b within a key, cosine of the threshold or more; rows without a vector are in no pair.
+TILE = 2048  # rows of a tile of cosines, 32 MB
+MOST_BLOCKS = 16  # of a key: a row travels at most that often, however many rows there are
+
+
+def block_count(rows: DataFrame, key: str, block: int, most: int, name: str) -> DataFrame:
+    """(key, name): blocks of about ``block`` rows for each key, at most ``most`` of them, which then grow with the rows."""
+    return rows.groupBy(key).agg(F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias(name))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over all shuffle partitions: few bytes may be much work, so partitions are not joined by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def unit_rows(vectors) -> np.ndarray:
+    """A matrix of unit rows of an Arrow list column; rows without length stay 0."""
+    v = vectors.combine_chunks() if hasattr(vectors, "combine_chunks") else vectors
+    v = np.asarray(v.flatten(), float).reshape(len(v), -1)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
-    Rows of a key are dealt into blocks of about ``block`` by a hash of their id; two blocks meet in one task, as matrices.
-    A row travels once for each block of its key, so a hot key costs the square of its blocks, not of its rows.
+
+def tiles(n: int, m: int, size: int) -> Iterator[tuple[slice, slice]]:
+    for i in range(0, n, size):
+        for j in range(0, m, size):
+            yield slice(i, i + size), slice(j, j + size)
+
+
+def _met(rows: DataFrame, key: str, vector: str, block: int, most: int, run, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``run(ids, extras, units, other's, same)`` of every two blocks of a key, and of each with itself; yields Arrow batches.
+
+    Blocks of a key are dealt by a hash of the id; of two blocks a row travels with its vector, as the key's ``most`` blocks say.
     """
     rows = rows.where(F.col(vector).isNotNull())
-    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    dealt = rows.select("id", key, vector).join(sizes, key).withColumn("_own", own)
-    dealt = dealt.select("id", key, vector, "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("id", vector, key, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-        v = np.stack(group[vector].map(np.asarray)).astype(float)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-        own, ids = group["_own"].to_numpy(), group["id"].to_numpy()
-        i, j = group["_i"].iat[0], group["_j"].iat[0]
-        cosine = v @ v.T
-        found = (cosine >= threshold) & np.triu(np.ones_like(cosine, bool), 1)
-        if i != j:
-            found &= own[:, None] != own[None, :]
-        a, b = np.nonzero(found)
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "cosine": np.round(cosine[a, b], 6)})
-
-    return dealt.groupBy(key, "_i", "_j").applyInPandas(meet, "a long, b long, cosine double")
+    dealt = rows.select("id", key, vector, *extra).join(block_count(rows, key, block, most, "_blocks"), key).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.select("id", key, vector, *extra, "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("id", vector, key, *extra, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+
+    def meet(keys, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = keys[1].as_py(), keys[2].as_py()
+        sides: list[list] = [[], []]
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("_own")).to_numpy(zero_copy_only=False)
+            for side, number in enumerate((i, j)):
+                if side == 0 or i != j:
+                    at = own == number
+                    part = batch.filter(pa.array(at))
+                    column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: E731, B023
+                    if len(part):
+                        sides[side].append((column("id").to_numpy(zero_copy_only=False), [column(x).to_numpy(zero_copy_only=False) for x in extra], unit_rows(column(vector))))
+
+        def whole(parts: list):
+            ids = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.int64)
+            _, first = np.unique(ids, return_index=True)  # by id, each once
+            return ids[first], [np.concatenate([x[1][n] for x in parts])[first] for n in range(len(extra))] if parts else [], np.concatenate([x[2] for x in parts])[first] if parts else np.zeros((0, 1))
+
+        left = whole(sides[0])
+        sides[0] = []
+        right = left if i == j else whole(sides[1])
+        sides[1] = []
+        if len(left[0]) and len(right[0]):
+            yield from run(left, right, i == j)
+
+    return spread(dealt, key, "_i", "_j").groupBy(key, "_i", "_j").applyInArrow(_as_arrow(meet), schema)
+
+
+def _as_arrow(f):
+    """The function with the annotations by which Spark knows that it takes and gives batches one by one."""
+    f.__annotations__ = {"keys": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return f
+
+
+def similar_pairs(rows: DataFrame, threshold: float, key: str = "directory", vector: str = "embedding", block: int = 1024, most: int = MOST_BLOCKS) -> DataFrame:
+    """(a, b, cosine), a < b within a key, cosine of the threshold or more; rows without a vector are in no pair.
+
+    Rows of a key are dealt into blocks of about ``block``, at most ``most`` of them, by a hash of their id; two blocks meet in one
+    task tile by tile, and each tile's pairs leave it at once. A row travels once for each block of its key, so what is shuffled
+    grows with the rows; the cosines that are computed, and the pairs, grow with their square.
+    """
+
+    def run(left, right, same):
+        (a, _, x), (b, _, y) = left, right
+        for r, c in tiles(len(a), len(b), TILE):
+            if same and c.stop <= r.start:
+                continue
+            cosine = x[r] @ y[c].T
+            at, to = np.nonzero(cosine >= threshold)
+            if same:
+                keep = a[r][at] < b[c][to]
+                at, to = at[keep], to[keep]
+            if len(at):
+                p, q = a[r][at], b[c][to]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.round(cosine[at, to], 6))], ["a", "b", "cosine"])
+
+    return _met(rows, key, vector, block, most, run, "a long, b long, cosine double")
+
+
+def outranked(rows: DataFrame, threshold: float, key: str = "directory", rank: str = "heat", vector: str = "embedding", block: int = 1024, most: int = MOST_BLOCKS) -> DataFrame:
+    """(id) of rows with a row of their key at a cosine of the threshold or more and of a greater ``rank``, or of the same and a
+    smaller id: what ``similar_pairs`` leaves to drop, without the pairs. Where a rank is null the smaller id is dropped.
+    """
+
+    def run(left, right, same):
+        (a, (ra,), x), (b, (rb,), y) = left, right
+        lost, lost_too = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for r, c in tiles(len(a), len(b), TILE):
+            at, to = np.nonzero(x[r] @ y[c].T >= threshold)
+            p, q = at + r.start, to + c.start
+            first, other = a[p] < b[q], a[p] != b[q]
+            kept_first = np.where(first, ra[p], rb[q]) >= np.where(first, rb[q], ra[p])  # false for null ranks: the first is dropped
+            lost[p[other & (first != kept_first)]] = True
+            lost_too[q[other & (first == kept_first)]] = True
+        ids = a[lost] if same else np.concatenate([a[lost], b[lost_too]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
+
+    return _met(rows, key, vector, block, most, run, "id long", (rank,)).distinct()
 
 
 def time_neighbours(rows: DataFrame, minutes: int, ts: str = "created_at") -> DataFrame:

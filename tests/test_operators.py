@@ -212,3 +212,21 @@ def test_limited_triggers(spark, tmp_path):
     for r in spark.table("limited").collect():
         got.setdefault(r.trigger_id, []).append((r["count"], r.id))
     assert sorted(got[1]) == [(i + 1, i) for i in range(4)] and sorted(got[2]) == [(i + 1, i) for i in range(5)]
+
+
+def test_outranked_rows_are_those_that_pairs_drop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i % 3 else "b", x.tolist(), None if i == 11 else float(i * 7 % 5)) for i, x in enumerate(rng.normal(size=(90, 6)))]
+    df = spark.createDataFrame(rows, "id long, directory string, embedding array<double>, heat double")
+    heat = {r[0]: r[3] for r in rows}
+    pairs = [(r.a, r.b) for r in relate.similar_pairs(df, 0.4).collect()]
+    want = {b if None not in (heat[a], heat[b]) and heat[a] >= heat[b] else a for a, b in pairs}
+    for block, most in ((1024, 16), (7, 16), (7, 3)):
+        assert sorted(r.id for r in relate.outranked(df, 0.4, block=block, most=most).collect()) == sorted(want)
+        assert sorted((r.a, r.b) for r in relate.similar_pairs(df, 0.4, block=block, most=most).collect()) == sorted(pairs)
+
+
+def test_rows_travel_to_a_bounded_number_of_blocks(spark):
+    df = spark.range(400).select("id", F.lit("a").alias("directory"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    counts = [relate.block_count(df, "directory", 10, most, "n").first().n for most in (16, 100)]
+    assert counts == [16, 40]
