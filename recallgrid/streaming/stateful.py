@@ -65,14 +65,21 @@ def slotted(stores: DataFrame, n_slots: int = 100, half_life: float = 6.0, boost
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "id"], ignore_index=True)
+        parts = [(b["us"].to_numpy(np.int64), b["id"].to_numpy(np.int64)) for b in batches]  # two numbers a row, no more
+        us, ids = (np.concatenate([p[n] for p in parts]) for n in (0, 1))
+        parts.clear()
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
+        del order
         if state.exists:
             slots = SlotState(*(np.array(v, t) for v, t in zip(json.loads(state.get[0]), (float, np.int64, np.int64), strict=True)))
         else:
-            slots = SlotState.new(n_slots, int(rows["us"].iloc[0]))
-        got = [slots.take(int(us), half_life, boost, inhibit, reach) for us in rows["us"]]
-        state.update((json.dumps([slots.level.tolist(), slots.seen.tolist(), slots.held.tolist()]),))
-        yield pd.DataFrame({"agent": key[0], "id": rows["id"], "slot": [s for s, _ in got], "linked": [n for _, n in got]})
+            slots = SlotState.new(n_slots, int(us[0]))
+        for at in range(0, len(us), 10_000):
+            got = [slots.take(int(t), half_life, boost, inhibit, reach) for t in us[at : at + 10_000]]
+            if at + 10_000 >= len(us):
+                state.update((json.dumps([slots.level.tolist(), slots.seen.tolist(), slots.held.tolist()]),))
+            yield pd.DataFrame({"agent": key[0], "id": ids[at : at + 10_000], "slot": [s for s, _ in got], "linked": [n for _, n in got]})
 
     return stores.groupBy("agent").applyInPandasWithState(run, "agent string, id long, slot long, linked long", "slots string", "append", GroupStateTimeout.NoTimeout)
 

@@ -232,3 +232,26 @@ def test_discard_deletes_stored_tables(spark, tmp_path):
     discard(df, spark.range(1))
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|FileNotFound"):
         spark.read.parquet(df._stored_at).count()
+
+
+def test_slot_stream_gives_its_rows_in_bounded_frames():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from recallgrid.streaming.stateful import slotted
+
+    made = {}
+    slotted(SimpleNamespace(groupBy=lambda k: SimpleNamespace(applyInPandasWithState=lambda run, *a: made.update(run=run))), 5)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"agent": "a", "id": np.arange(23_000), "us": rng.integers(0, 10**12, 23_000)})
+
+    def run(parts):
+        state = SimpleNamespace(exists=False, update=lambda v: state.__dict__.update(exists=True, get=v))
+        return [f for p in parts for f in made["run"](("a",), iter([p.iloc[:9000], p.iloc[9000:]]), state)], state.get
+
+    frames, end = run([rows])
+    assert max(map(len, frames)) <= 10_000 and sum(map(len, frames)) == len(rows)
+    ordered = rows.sort_values(["us", "id"])
+    halves, end_too = run([ordered.iloc[:12_000], ordered.iloc[12_000:]])
+    assert pd.concat(frames, ignore_index=True).equals(pd.concat(halves, ignore_index=True)) and end == end_too
