@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -139,6 +139,29 @@ def time_neighbours(rows: DataFrame, minutes: int, ts: str = "created_at") -> Da
     return left.join(right, "bucket").where(after & (gap <= width)).select("a", "b", gap.alias("seconds"))
 
 
+def time_maxima(rows: DataFrame, marked: Column, value: str, minutes: int, ts: str = "created_at") -> DataFrame:
+    """(id, best): the greatest ``value`` of the other rows that are ``marked`` and within ``minutes`` of a row, null without one.
+
+    Buckets are as long as the reach: what a row reaches is the end of the bucket before its own, its own bucket (whose two best
+    rows are kept, as the row itself does not count) and the beginning of the next. Rows of a second are one value in the first
+    and last, so a window holds a bucket's seconds however many rows there are. No pair is made. Ids are unique.
+    """
+    width = minutes * 60
+    timed = rows.select("id", F.unix_seconds(F.col(ts).cast("timestamp")).alias("at"), F.when(marked, F.col(value)).alias("v")).where("at is not null")
+    timed = timed.withColumn("bucket", F.floor(F.col("at") / width))
+    seconds = timed.groupBy("at").agg(F.max("v").alias("v"))
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), (F.col("at") + s * width).alias("place"), F.when(F.lit(s == 0), F.col("v")).alias("x")) for s in (-1, 0, 1)))
+    placed = seconds.select("at", F.inline(sides)).withColumn("bucket", F.floor(F.col("place") / width))
+    ends = Window.partitionBy("bucket")
+    reached = placed.withColumns({"later": F.max("x").over(ends.orderBy(F.desc("place"))), "earlier": F.max("x").over(ends.orderBy("place"))})
+    outer = reached.where("side <> 0").groupBy("at").agg(F.max(F.when(F.col("side") == -1, F.col("later")).otherwise(F.col("earlier"))).alias("outer"))
+    first = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("v"), "id"))
+    two = timed.where("v is not null").select("bucket", "id", "v", first.alias("n")).where("n <= 2")
+    own = two.groupBy("bucket").agg(*(F.max(F.when(F.col("n") == n, F.col(x))).alias(f"{x}{n}") for n in (1, 2) for x in ("id", "v")))
+    met = timed.select("id", "at", "bucket").join(outer, "at").join(own, "bucket", "left")
+    return met.select("id", F.greatest("outer", F.when(F.col("id1") == F.col("id"), F.col("v2")).otherwise(F.col("v1"))).alias("best"))
+
+
 def mentions(rows: DataFrame, entities: DataFrame, text: str = "content") -> DataFrame:
     """(id, name) where the lower-case text holds the lower-case name.
 

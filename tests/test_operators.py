@@ -230,3 +230,28 @@ def test_rows_travel_to_a_bounded_number_of_blocks(spark):
     df = spark.range(400).select("id", F.lit("a").alias("directory"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     counts = [relate.block_count(df, "directory", 10, most, "n").first().n for most in (16, 100)]
     assert counts == [16, 40]
+
+
+def test_time_maxima_are_those_of_all_neighbours(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *range(-4000, 9000, 300), *range(100, 140)]), rng.random() < 0.4, rng.choice([0.1, 0.5, 0.9, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, s long, strong boolean, heat double").withColumn("created_at", F.timestamp_seconds("s"))
+    for minutes in (1, 30):
+        near = lambda a, b, m=minutes: a[1] is not None and b[1] is not None and abs(a[1] - b[1]) <= 60 * m and a[0] != b[0]
+        want = {b[0]: max((a[3] for a in rows if a[2] and a[3] is not None and near(a, b)), default=None) for b in rows if b[1] is not None}
+        assert {r.id: r.best for r in relate.time_maxima(df, F.col("strong"), "heat", minutes).collect()} == want
+
+
+def test_words_are_counted_within_a_row(spark):
+    from recallgrid.functions import extract as X
+
+    df = spark.createDataFrame([(1, "b a B c a b"), (2, ""), (3, None), (4, "x " * 500)], "id long, content string")
+    got = {r.id: r.c for r in df.select("id", X.counted(X.tokens(F.col("content"))).alias("c")).collect()}
+    assert [tuple(x) for x in got[1]] == [("a", 2), ("b", 3), ("c", 1)] and got[2] == [] and not got[3] and [tuple(x) for x in got[4]] == [("x", 500)]
+    rows = sorted(map(tuple, search.postings(df).select("id", "term", "tf", "dl").collect()))
+    assert rows == [(1, "a", 2, 6), (1, "b", 3, 6), (1, "c", 1, 6), (4, "x", 500, 500)]
+    pairs = spark.createDataFrame([(1, "a a b", "A b b c"), (2, "", ""), (3, None, "x"), (4, "x y", "z")], "id long, p string, t string")
+    f1 = metrics.token_f1(pairs, "p", "t")
+    assert {r.id: r.f1 for r in f1.collect()} == {1: round(4 / 7, 6), 2: 0.0, 3: 0.0, 4: 0.0}
+    for plan in (f1, search.postings(df)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
