@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.functions import extract as X
+from recallgrid.operators import search
 
 # The tables of the engine: columns, and the column that names a row.
 SCHEMAS = {
@@ -112,9 +113,7 @@ class Store:
         self.insert("memories", known)
         if "embedding" in rows.columns:
             self.insert("vectors", rows.where("embedding is not null"))
-        words = known.select("id", X.tokens(F.col("indexed")).alias("w"))
-        listed = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        self.insert("postings", listed.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+        self.insert("postings", search.postings(known, "indexed"))
 
 
 def upserted(stored: DataFrame, rows: DataFrame, keys: list[str], merged: dict[str, Column] | None = None) -> DataFrame:
