@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.functions.extract import numbered, tokens
+
 
 def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, mrr, recall, ndcg) at k with binary relevance; queries without hits get 0, those without relevant rows none."""
@@ -24,15 +26,11 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int = 10) -> D
 
 
 def token_f1(pairs: DataFrame, prediction: str, truth: str, key: str = "id") -> DataFrame:
-    """(key, f1) of lower-case words, each as often as both texts have it; 0 without a common word."""
-
-    def counted(text: str, n: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        return pairs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias(n))
-
-    both = counted(prediction, "p").join(counted(truth, "t"), [key, "word"], "full_outer").groupBy(key)
-    sums = both.agg(F.coalesce(F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), F.least("p", "t"))), F.lit(0)).alias("common"), F.sum(F.coalesce("p", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("all"))
-    return pairs.select(key).join(sums, key, "left").select(key, F.round(F.coalesce(2.0 * F.col("common") / F.col("all"), F.lit(0.0)), 6).alias("f1"))
+    """(key, f1) of lower-case words, each as often as both texts have it; 0 without a common word. Counted within a row."""
+    words = lambda text: F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    rows = pairs.select(key, words(prediction).alias("p"), words(truth).alias("t"))
+    common = F.size(F.array_intersect(numbered(F.col("p")), numbered(F.col("t"))))
+    return rows.select(key, F.round(F.coalesce(2.0 * common / F.nullif(F.size("p") + F.size("t"), F.lit(0)), F.lit(0.0)), 6).alias("f1"))
 
 
 def paired_bootstrap(a: list[float], b: list[float], rounds: int = 5000, seed: int = 1337, level: float = 0.95) -> tuple[float, float, float]:
