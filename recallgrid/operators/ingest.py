@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import extract as X
 from recallgrid.functions import patterns as P
 from recallgrid.functions import scoring as S
-from recallgrid.operators.relate import embed, mentions
+from recallgrid.operators.relate import MOST_BLOCKS, TILE, block_count, embed, mentions, spread, tiles, unit_rows
 
 # What the write gate always lets pass.
 PASS_ERRORS = r"(?i)\b(error|exception|traceback|failed|bug|crash)\b"
@@ -19,42 +19,42 @@ PASS_TAGS = ("important", "critical")
 BYPASS_TAGS = ("important", "remember", "decision", "critical")
 
 
-def nearest_known(batch: DataFrame, known: DataFrame, block: int = 1024) -> DataFrame:
+def nearest_known(batch: DataFrame, known: DataFrame, block: int = 1024, most: int = MOST_BLOCKS) -> DataFrame:
     """(id, near_id, cosine) of each new row's most similar known row of its directory, ties to the least id.
 
-    New and known rows of a directory are dealt into blocks; a new and a known block meet as matrices, and only the best
-    of each new row leaves the task.
+    New and known rows of a directory are dealt into blocks of about ``block``, at most ``most`` of each, which then grow with the
+    rows; a new and a known block meet tile by tile, and only the best of each new row leaves the task. A row travels at most
+    ``most`` times.
     """
+    batch, known = (rows.where("embedding is not null").select("id", "directory", "embedding") for rows in (batch, known))
+    sizes = block_count(batch, "directory", block, most, "_is").join(block_count(known, "directory", block, most, "_js"), "directory")
 
-    def dealt(rows: DataFrame, own: str) -> DataFrame:
-        sizes = rows.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(own + "s"))
-        return rows.select("id", "directory", "embedding").join(sizes, "directory").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own + "s")).cast("int"))
-
-    def met(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """A row for each block of the other side in the row's directory."""
-        counts = other.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-        return rows.join(counts, "directory").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        placed = rows.join(sizes, "directory").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"_{own}s")).cast("int"))
+        return placed.select("directory", "id", "embedding", own, F.explode(F.sequence(F.lit(0), F.col(f"_{other}s") - 1)).alias(other))
 
-    batch, known = (rows.where("embedding is not null") for rows in (batch, known))
     keys = ["directory", "i", "j"]
-    new = met(dealt(batch, "i"), known, "j").select(*keys, "id", "embedding")
-    old = met(dealt(known, "j"), batch, "i").select(*keys, "id", "embedding")
-
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        v = np.stack(frame["embedding"].map(np.asarray)).astype(float)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "near_id": [], "cosine": []})
-        right = right.sort_values("id", ignore_index=True)
-        cosine = np.round(unit(left) @ unit(right).T, 6)
-        at = cosine.argmax(axis=1)
-        return pd.DataFrame({"id": left["id"], "near_id": right["id"].to_numpy()[at], "cosine": cosine[np.arange(len(left)), at]})
-
-    found = new.groupBy(*keys).cogroup(old.groupBy(*keys)).applyInPandas(best, "id long, near_id long, cosine double")
-    top = found.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("near_id")).alias("n"))).alias("m"))
+    new = dealt(batch, "i", "j").select(*keys, "id", "embedding")
+    old = dealt(known, "j", "i").select(*keys, "id", "embedding")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, found, near = left.column("id").to_numpy(), np.zeros(0), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            numbers = right.column("id").to_numpy()
+            order = np.argsort(numbers, kind="stable")
+            numbers, x, y = numbers[order], unit_rows(left.column("embedding")), unit_rows(right.column("embedding"))[order]
+            found, near = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+            for r, c in tiles(len(x), len(y), TILE):
+                cosine = x[r] @ y[c].T
+                at = np.argmax(np.round(cosine, 6, out=cosine), axis=1)  # the first of equals has the least id
+                top = cosine[np.arange(len(at)), at]
+                better = top > found[r]
+                near[r][better], found[r][better] = numbers[c][at[better]], top[better]
+        return pa.table({"id": ids[: len(found)], "near_id": near, "cosine": found})
+
+    met = spread(new, *keys).groupBy(*keys).cogroup(spread(old, *keys).groupBy(*keys)).applyInArrow(best, "id long, near_id long, cosine double")
+    top = met.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("near_id")).alias("n"))).alias("m"))
     return top.select("id", (-F.col("m.n")).alias("near_id"), F.col("m.cosine").alias("cosine"))
 
 
