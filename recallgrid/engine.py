@@ -42,6 +42,7 @@ class Engine:
     def recall(self, text: str, query: list[float], k: int = 5, min_heat: float = 0.1) -> DataFrame:
         """(id, score) of the k best memories."""
         m = self.memories().join(self.store.read("vectors").select("id", "embedding"), "id", "left").withColumn("label", F.lit(0))
+        m = recall.gathered(m)
         return recall.recall(m, recall.mentioned(m), text, query, k, min_heat)
 
     def decay_entities(self, now: Column) -> None:

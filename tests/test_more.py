@@ -138,3 +138,19 @@ def test_expansions_lower_a_text_once_and_find_whole_words(spark):
     assert [r.x for r in rows][:2] == ["camping [camping trip]", "Running, camping! [camping trip, running exercise]"] and rows[5].x is None
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in plan and plan.count("lower(") == 2  # one for each of the two columns
+
+
+def test_nearest_known_in_few_blocks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(80, 5)).round(1)
+    new, known = (spark.createDataFrame([(i, "/d", v[i].tolist()) for i in ids], "id long, directory string, embedding array<double>") for ids in (range(40), range(40, 80)))
+    one, few = ({(r.id, r.near_id, r.cosine) for r in ingest.nearest_known(new, known, *how).collect()} for how in ((1024,), (5, 3)))
+    assert one == few and len(one) == 40
+
+
+def test_a_recall_reads_texts_that_are_written_once(spark):
+    from recallgrid.operators import recall
+
+    df = spark.createDataFrame([(1, "a", 0.5, [1.0], "x")], "id long, content string, heat double, embedding array<double>, text string")
+    got = recall.gathered(df.join(df.select("id"), "id"))
+    assert got.columns == ["id", "content", "heat", "embedding"] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
