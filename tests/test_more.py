@@ -29,6 +29,49 @@ def test_nearest_known_in_blocks(spark):
         assert {r.id: r.near_id for r in ingest.nearest_known(new, known, block).collect()} == want
 
 
+def near_in_time(rows, width):
+    """Pairs by their definition; of a second only those whose ids are both known are in an order."""
+    at = [(i, t) for i, t in rows if t is not None]
+    return sorted(((i, j, u - t) for i, t in at for j, u in at if 0 < u - t <= width or u == t and None not in (i, j) and i < j), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_time_neighbours(spark, kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(t)) for i, t in enumerate(rng.integers(-400, 400, 90))] + [(200 + i, 60) for i in range(30)]  # before 1970 too; many of one second
+    rows += [(7, 10), (7, 10), (7, 30), (500, None), (None, 60), (None, 60), (None, 61), (900, 5000), (901, 5060), (902, 5061)]
+    rows = [(str(i) if kind == "string" and i is not None else i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"id {kind}, t long").select("id", F.timestamp_seconds("t").alias("created_at"))
+    want = near_in_time(rows, 60)
+    monkeypatch.setattr(relate, "PAIRS", 50)  # many batches
+    for block, most in ((4096, 16), (7, 16), (7, 3)):
+        got = relate.time_neighbours(df, 1, block=block, most=most)
+        assert got.dtypes == [("a", df.dtypes[0][1]), ("b", df.dtypes[0][1]), ("seconds", "bigint")]
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert relate.time_neighbours(df.limit(0), 1).count() == 0 and relate.time_neighbours(df.where("id = '500'"), 1).count() == 0
+
+
+def test_time_neighbours_are_dealt_out(spark):
+    at = lambda rows: rows.withColumn("created_at", F.timestamp_seconds("t"))
+    tasks = lambda pairs: pairs.select(F.spark_partition_id()).distinct().count()
+    spaced = at(spark.range(0, 400).withColumn("t", F.col("id") * 120))  # many buckets of few rows
+    assert tasks(relate.time_neighbours(spaced, 30)) > 1
+    crowded = at(spark.range(0, 300).withColumn("t", F.col("id") % 3))  # one bucket
+    assert tasks(relate.time_neighbours(crowded, 30, block=20)) > 1 and relate.time_neighbours(crowded, 30, block=20).count() == 300 * 299 // 2
+
+
+def test_time_neighbours_read_the_memories_once(spark):
+    from recallgrid.plans.memory_queries import QUERIES
+
+    df = QUERIES["c9_time_window"](spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is taken again
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("events.parquet") == 1
+
+
 def test_remember(spark):
     known = relate.embed(spark.createDataFrame([(1, "the parser reads tokens in order and then builds a tree of nodes", "/a")], "id long, content string, directory string"))
     batch = spark.createDataFrame(
